@@ -35,6 +35,11 @@ def grid_units(x: Column) -> Column:
     return (q + F.when(up, 1).otherwise(0)).cast("bigint")
 
 
+def snapped(x: Column) -> Column:
+    """``x`` on a grid of 1e-11: two routes to the same fraction become the same double."""
+    return F.floor(x * F.lit(1e11) + 0.5) / F.lit(1e11)
+
+
 def from_units(units: Column) -> Column:
     return units / F.lit(float(GRID))
 
@@ -72,12 +77,12 @@ def sqrt_weight(articles: Column) -> Column:
     return F.round(F.sqrt(articles.cast("double")) * F.lit(float(WEIGHT_SCALE))).cast("bigint")
 
 
-def share_term(n: Column, source_total: Column, weight: Column, weight_sum: Column) -> Column:
-    """One source's part of a subject's share, on the fixed grid."""
-    share = n.cast("double") / source_total.cast("double")
-    return F.round(
-        share * (weight.cast("double") / weight_sum.cast("double")) * F.lit(float(TERM_SCALE))
-    ).cast("bigint")
+def share_term(weight: Column, weight_sum: Column, part: Column | None = None) -> Column:
+    """A source's weight in its bucket, or ``part`` of that weight, on the fixed grid."""
+    share = weight.cast("double") / weight_sum.cast("double")
+    if part is not None:
+        share = part * share
+    return F.round(share * F.lit(float(TERM_SCALE))).cast("bigint")
 
 
 def ratio_or_null(now: Column, usual: Column) -> Column:

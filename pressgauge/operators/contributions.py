@@ -23,7 +23,7 @@ def apportion(terms: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame
     """
     value = [*keys, "subject"]
     scaled = F.col("term") * numeric.GRID
-    parts = terms.join(folded.select(*value, "raw_count", "den", "units"), value).select(
+    parts = terms.join(folded.select(*value, "raw_count", "units"), value).select(
         *value,
         "source_id",
         "n",

@@ -67,12 +67,11 @@ def newest_first() -> list[Column]:
     return [F.col("collected_at").desc(), F.col("record_id").desc()]
 
 
-def hour_picks(labelled: DataFrame) -> DataFrame:
-    """Newest observation of each article per axis and hour."""
-    hours = labelled.select(
+def unit_picks(labelled: DataFrame, units: tuple[str, ...] = buckets.UNITS) -> DataFrame:
+    """Newest observation of each article per axis and bucket, for every unit in one pass."""
+    placed = labelled.select(
         "axis",
-        F.lit("hour").alias("bucket_unit"),
-        buckets.bucket_label(F.col("collected_at"), "hour").alias("time_bucket"),
+        F.inline(buckets.bucket_labels(F.col("collected_at"), units)),
         "article",
         "collected_at",
         "record_id",
@@ -80,24 +79,11 @@ def hour_picks(labelled: DataFrame) -> DataFrame:
         "keys",
         "sentiment",
     )
-    return first_by(hours, [*BUCKET_KEYS, "article"], newest_first())
-
+    return first_by(placed, [*BUCKET_KEYS, "article"], newest_first())
 
-def unit_picks(hours: DataFrame, units: tuple[str, ...] = buckets.UNITS) -> DataFrame:
-    """Picks of every unit, out of the hour picks.
 
-    Days and weeks are whole hours, so the newest observation in a day is the newest of its
-    hours' newest: the wide buckets read the reduced rows instead of all observations.
-    """
-    coarse = [u for u in units if u != "hour"]
-    out = hours if "hour" in units else None
-    if coarse:
-        wide = hours.drop("bucket_unit", "time_bucket").select(
-            "*", F.inline(buckets.bucket_labels(F.col("collected_at"), tuple(coarse)))
-        )
-        picked = first_by(wide, [*BUCKET_KEYS, "article"], newest_first()).select(*hours.columns)
-        out = picked if out is None else out.unionByName(picked)
-    return out
+def hour_picks(labelled: DataFrame) -> DataFrame:
+    return unit_picks(labelled, ("hour",))
 
 
 def article_picks(picks: DataFrame) -> DataFrame:

@@ -35,43 +35,68 @@ def mentions(picks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def source_totals(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per source: its mentions, its weight, and the sums its bucket is normalised by.
+
+    ``den`` is what the terms of all subjects in the bucket add up to: a source with mentions
+    hands out its whole weight. ``axes`` is how many axes have a subject in the bucket. The
+    windows run over one row per source, not over mentions.
+    """
+    bucket = W.partitionBy(*keys)
+    every_axis = W.partitionBy(*[k for k in keys if k != "axis"])
+    share = numeric.share_term(F.col("weight"), F.col("weight_sum"))
+    speaks = F.col("source_total") > 0
+    axes = reduce(
+        lambda a, b: a + b,
+        [F.max(((F.col("axis") == a) & speaks).cast("int")).over(every_axis) for a in V.AXES],
+    )
     return (
         counted.groupBy(*keys, "source_id")
         .agg(F.sum("n").alias("source_total"), F.sum("articles").alias("articles"))
         .withColumn("weight", numeric.sqrt_weight(F.col("articles")))
+        .withColumn("weight_sum", F.sum("weight").over(bucket))
+        .withColumn("den", F.sum(F.when(speaks, share).otherwise(0)).over(bucket))
+        .withColumn("axes", axes)
+        .drop("articles")
     )
 
 
 def share_terms(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Each source's part of each subject's share, before the bucket is renormalised."""
-    totals = source_totals(counted, keys)
-    weights = totals.groupBy(*keys).agg(F.sum("weight").alias("weight_sum"))
-    per_source = totals.join(weights, keys)
+    """Each source's part of each subject's share, before the bucket is renormalised.
+
+    The filter on counts (and not on the subject, which would move below the count) leaves both
+    sides of the join with the same shuffled counts, so Spark computes them once.
+    """
+    term = numeric.share_term(
+        F.col("weight"),
+        F.col("weight_sum"),
+        F.col("n").cast("double") / F.col("source_total").cast("double"),
+    )
     return (
-        counted.filter(F.col("subject").isNotNull())
-        .select(*keys, "source_id", "subject", "n")
-        .join(per_source, [*keys, "source_id"])
-        .select(
-            *keys,
-            "subject",
-            "source_id",
-            "n",
-            numeric.share_term(
-                F.col("n"), F.col("source_total"), F.col("weight"), F.col("weight_sum")
-            ).alias("term"),
-        )
+        counted.filter((F.col("n") > 0) & (F.col("articles") >= 0))
+        .drop("articles")
+        .join(source_totals(counted, keys), [*keys, "source_id"])
+        .select(*keys, "subject", "source_id", "n", "den", "axes", term.alias("term"))
     )
 
 
 def fold_terms(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Share (in grid units) and raw count per subject, with the sums they came from."""
-    per_subject = terms.groupBy(*keys, "subject").agg(
-        F.sum("term").alias("num"), F.sum("n").alias("raw_count")
-    )
-    bucket_sum = per_subject.groupBy(*keys).agg(F.sum("num").alias("den"))
+    """Share (in grid units) and raw count per subject."""
     share = F.col("num").cast("double") / F.col("den").cast("double")
-    return per_subject.join(bucket_sum, keys).select(
-        *keys, "subject", "raw_count", "den", numeric.grid_units(share).alias("units")
+    return (
+        terms.groupBy(*keys, "subject")
+        .agg(
+            F.sum("term").alias("num"),
+            F.sum("n").alias("raw_count"),
+            F.max("den").alias("den"),
+            F.max("axes").alias("axes"),
+        )
+        .select(
+            *keys,
+            "subject",
+            "raw_count",
+            "axes",
+            numeric.grid_units(numeric.snapped(share)).alias("units"),
+        )
     )
 
 
@@ -79,36 +104,38 @@ def with_all_axis(folded: DataFrame, keys: list[str]) -> DataFrame:
     """Add the ALL axis: the mean of the axes' rounded shares, each axis counting the same.
 
     An axis with no subjects in a bucket leaves that bucket's mean; a subject an included axis
-    lacks counts 0 there.
+    lacks counts 0 there. One row per subject holds all axes side by side, so the axes' rows
+    and the pooled row come out of one pass.
     """
     rest = [k for k in keys if k != "axis"]
+    units = {a: F.col(f"units_{a}") for a in V.AXES}
+    raw = {a: F.col(f"raw_count_{a}") for a in V.AXES}
 
-    def held(axis: str):
-        return F.max(F.when(F.col("axis") == axis, F.col("units"))).alias(f"units_{axis}")
+    def of(axis: str, column: str):
+        return F.max(F.when(F.col("axis") == axis, F.col(column))).alias(f"{column}_{axis}")
 
-    def seen(axis: str):
-        return F.max(F.when(F.col("axis") == axis, 1).otherwise(0)).alias(f"has_{axis}")
+    def row(axis: str, raw_count, share_units):
+        return F.struct(
+            F.lit(axis).alias("axis"), raw_count.alias("raw_count"), share_units.alias("units")
+        )
 
-    by_subject = folded.groupBy(*rest, "subject").agg(
-        F.sum("raw_count").alias("raw_count"), *[held(a) for a in V.AXES]
-    )
-    present = folded.groupBy(*rest).agg(*[seen(a) for a in V.AXES])
-    axes = reduce(lambda a, b: a + b, [F.col(f"has_{a}") for a in V.AXES])
     total = numeric.compensated_sum(
-        [numeric.from_units(F.coalesce(F.col(f"units_{a}"), F.lit(0))) for a in V.AXES]
+        [numeric.from_units(F.coalesce(units[a], F.lit(0))) for a in V.AXES]
     )
-    pooled = (
-        by_subject.join(present.select(*rest, axes.alias("axes")), rest)
+    raw_sum = reduce(lambda a, b: a + b, [F.coalesce(raw[a], F.lit(0)) for a in V.AXES])
+    rows = [
+        *[row(a, raw[a], units[a]) for a in V.AXES],
+        row(V.ALL_AXIS, raw_sum, F.col("mean_units")),
+    ]
+    return (
+        folded.groupBy(*rest, "subject")
+        .agg(*[of(a, c) for a in V.AXES for c in ("units", "raw_count")], F.max("axes").alias("axes"))
         .withColumn("mean", total / F.col("axes"))
-        .select(
-            F.lit(V.ALL_AXIS).alias("axis"),
-            *rest,
-            "subject",
-            "raw_count",
-            numeric.grid_units(F.col("mean")).alias("units"),
-        )
+        .withColumn("mean_units", numeric.grid_units(F.col("mean")))
+        .select(*rest, "subject", F.inline(F.array(*rows)))
+        .filter(F.col("units").isNotNull())
+        .select("axis", *rest, "subject", "raw_count", "units")
     )
-    return folded.select("axis", *rest, "subject", "raw_count", "units").unionByName(pooled)
 
 
 def subject_shares(picks: DataFrame, keys: list[str] = BUCKET_KEYS) -> DataFrame:

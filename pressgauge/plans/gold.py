@@ -20,8 +20,7 @@ def labelled_observations(
 def all_picks(
     bronze: DataFrame, silver: DataFrame, serving_version: str | Column | None = None
 ) -> DataFrame:
-    hours = picks.hour_picks(labelled_observations(bronze, silver, serving_version))
-    return picks.unit_picks(hours)
+    return picks.unit_picks(labelled_observations(bronze, silver, serving_version))
 
 
 @dataclass
@@ -45,10 +44,8 @@ def aggregate(
     Picks and share terms feed several datasets. Both are written to the shared scratch folder
     and read back: the join with Silver and the fold run once, and the lineage ends there.
     """
-    hours = staged(
-        picks.hour_picks(labelled_observations(bronze, silver, serving_version)), "hour-picks"
-    )
-    every = staged(picks.unit_picks(hours), "picks")
+    every = staged(all_picks(bronze, silver, serving_version), "picks", by=["bucket_unit"])
+    hours = every.filter("bucket_unit = 'hour'")
     terms = staged(shares.share_terms(shares.mentions(every, BUCKET_KEYS), BUCKET_KEYS), "terms")
     folded = staged(shares.fold_terms(terms, BUCKET_KEYS), "shares")
     windows = staged(picks.window_picks(hours), "window-picks")

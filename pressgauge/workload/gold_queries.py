@@ -37,7 +37,7 @@ def hours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def every_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return picks.unit_picks(hours(spark, sf))
+    return picks.unit_picks(labelled(spark, sf))
 
 
 def joined(column: str) -> F.Column:

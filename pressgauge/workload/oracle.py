@@ -141,8 +141,8 @@ _CTES: dict[str, str] = {
             ORDER BY remainder DESC, source_id)
           <= units - sum(floor_units) OVER (PARTITION BY axis, bucket_unit, time_bucket, subject)
           THEN 1 ELSE 0 END AS BIGINT) AS part
-        FROM (SELECT t.*, f.raw_count, f.units, (t.term * 10000) // f.den AS floor_units,
-                (t.term * 10000) % f.den AS remainder
+        FROM (SELECT t.*, f.raw_count, f.units, (t.term * 10000) // t.den AS floor_units,
+                (t.term * 10000) % t.den AS remainder
               FROM terms t JOIN folded f USING (axis, bucket_unit, time_bucket, subject))""",
     "trend": """
         SELECT subject, axis, bucket_unit, time_bucket, raw_count, units,
@@ -214,22 +214,23 @@ def _fold(prefix: str, picks: str, keys: str) -> None:
           CAST(round(sqrt(count(*)::DOUBLE) * {numeric.WEIGHT_SCALE}::DOUBLE) AS BIGINT) AS weight
         FROM {picks} GROUP BY {keys}, source_id"""
     _CTES[f"{prefix}weights"] = f"""
-        SELECT {keys}, CAST(sum(weight) AS BIGINT) AS weight_sum
-        FROM {prefix}totals GROUP BY {keys}"""
+        SELECT *, CAST(sum(CASE WHEN source_total > 0 THEN CAST(round(
+              (weight::DOUBLE / weight_sum::DOUBLE) * {numeric.TERM_SCALE}::DOUBLE) AS BIGINT)
+            ELSE 0 END) OVER (PARTITION BY {keys}) AS BIGINT) AS den
+        FROM (SELECT *, CAST(sum(weight) OVER (PARTITION BY {keys}) AS BIGINT) AS weight_sum
+              FROM {prefix}totals)"""
     _CTES[f"{prefix}terms"] = f"""
-        SELECT m.*, CAST(round((n::DOUBLE / source_total::DOUBLE)
+        SELECT m.*, den, CAST(round((n::DOUBLE / source_total::DOUBLE)
             * (weight::DOUBLE / weight_sum::DOUBLE) * {numeric.TERM_SCALE}::DOUBLE) AS BIGINT)
             AS term
-        FROM {prefix}mentions m JOIN {prefix}totals USING ({keys}, source_id)
-        JOIN {prefix}weights USING ({keys})"""
-    _CTES[f"{prefix}sums"] = f"""
-        SELECT {keys}, subject, CAST(sum(term) AS BIGINT) AS num, CAST(sum(n) AS BIGINT)
-          AS raw_count FROM {prefix}terms GROUP BY {keys}, subject"""
+        FROM {prefix}mentions m JOIN {prefix}weights USING ({keys}, source_id)"""
+    snapped = "(floor((num::DOUBLE/den::DOUBLE)*1e11::DOUBLE+0.5::DOUBLE)/1e11::DOUBLE)"
     _CTES[f"{prefix}folded"] = f"""
-        SELECT {keys}, subject, raw_count, den,
-          {units('(num::DOUBLE/den::DOUBLE)')} AS units
-        FROM (SELECT *, CAST(sum(num) OVER (PARTITION BY {keys}) AS BIGINT) AS den
-              FROM {prefix}sums)"""
+        SELECT {keys}, subject, raw_count, {units('d')} AS units
+        FROM (SELECT *, {snapped} AS d
+              FROM (SELECT {keys}, subject, CAST(sum(term) AS BIGINT) AS num, max(den) AS den,
+                      CAST(sum(n) AS BIGINT) AS raw_count
+                    FROM {prefix}terms GROUP BY {keys}, subject))"""
     share = {
         a: f"coalesce(max(units) FILTER (axis = '{a}'), 0) / 10000.0::DOUBLE AS {a}"
         for a in ("KR", "US", "GLOBAL")
