@@ -59,4 +59,18 @@ def aggregate(
     )
 
 
-__all__ = ["BUCKET_KEYS", "WINDOW_KEYS", "Gold", "aggregate", "all_picks", "labelled_observations"]
+def publish(lake, built: Gold) -> Gold:
+    """Write the six datasets, each replaced whole, and hand back what readers will see."""
+    out = {}
+    for name, rows in built.datasets().items():
+        by = ["bucket_unit"] if "bucket_unit" in rows.columns else None
+        out[name] = lake.write_records("gold", name, rows, by)
+    return Gold(**out)
+
+
+def read(lake) -> Gold:
+    return Gold(**{name: lake.read_records("gold", name) for name in Gold.__dataclass_fields__})
+
+
+__all__ = ["BUCKET_KEYS", "WINDOW_KEYS", "Gold", "aggregate", "all_picks", "labelled_observations", "publish",
+           "read"]
