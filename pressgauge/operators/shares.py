@@ -187,3 +187,24 @@ def _bounds(picks: DataFrame) -> DataFrame:
     return picks.groupBy("range", "period").agg(
         F.max("window_start").alias("window_start"), F.max("window_end").alias("window_end")
     )
+
+
+def source_subject_table(picks: DataFrame, min_mentions: int = 1) -> DataFrame:
+    """Share of each subject inside each source, for sources with enough mentions."""
+    counted = mentions(picks, BUCKET_KEYS)
+    totals = (
+        counted.groupBy(*BUCKET_KEYS, "source_id")
+        .agg(F.sum("n").alias("source_total"))
+        .filter(F.col("source_total") >= min_mentions)
+    )
+    return (
+        counted.filter(F.col("n") > 0)
+        .join(totals, [*BUCKET_KEYS, "source_id"])
+        .select(
+            *BUCKET_KEYS,
+            "source_id",
+            "subject",
+            "n",
+            numeric.round4(F.col("n") / F.col("source_total")).alias("source_share"),
+        )
+    )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import numeric
 from pressgauge.functions import vocabulary as V
+from pressgauge.operators import shares
+from pressgauge.operators.picks import BUCKET_KEYS
 
 _KINDS = (*V.SENTIMENTS, "unanalyzed")
 
@@ -55,3 +57,39 @@ def axis_window(window_picks: DataFrame) -> DataFrame:
     return _with_all(counted, keys, ["collected", "analyzed_total"]).select(
         *keys, "collected", "analyzed_total"
     )
+
+
+# -- extensions: tone by subject and by source ------------------------------------------------
+
+
+def subject_tone(picks: DataFrame, keys: list[str] = BUCKET_KEYS) -> DataFrame:
+    """Tone counts of each subject: an article counts under every subject it has."""
+    rows = picks.select(*keys, F.explode("keys").alias("subject"), "sentiment")
+    return rows.groupBy(*keys, "subject").agg(
+        *[F.count_if(F.col("sentiment") == kind).alias(kind) for kind in _KINDS]
+    )
+
+
+def weighted_tone(picks: DataFrame, keys: list[str] = BUCKET_KEYS) -> DataFrame:
+    """Tone shares weighted by source as subject shares are; ALL is the mean of the axes."""
+    labelled = picks.filter(F.col("sentiment") != "unanalyzed").withColumn(
+        "keys", F.array("sentiment")
+    )
+    return shares.subject_shares(labelled, keys).withColumnRenamed("subject", "sentiment")
+
+
+def articles_by_tone(
+    picks: DataFrame, axis: str, unit: str, bucket: str, subject: str, sentiment: str
+) -> DataFrame:
+    """The picks behind a subject's value, narrowed to one tone; newest first."""
+    return (
+        picks.filter(
+            (F.col("axis") == axis)
+            & (F.col("bucket_unit") == unit)
+            & (F.col("time_bucket") == bucket)
+            & F.array_contains("keys", subject)
+            & (F.col("sentiment") == sentiment)
+        )
+        .select("record_id", "source_id", "collected_at")
+        .orderBy(F.col("collected_at").desc(), "record_id")
+    )

@@ -142,6 +142,7 @@ class Dashboard:
         return (
             ranked.join(before, "subject", "left")
             .join(lines, "subject", "left")
+            .withColumn("window_list", self._window_list())
             .select(
                 "rank",
                 "subject",
@@ -149,7 +150,7 @@ class Dashboard:
                 "raw_count",
                 "raw_rank",
                 F.transform(
-                    self._window_list(),
+                    "window_list",
                     lambda b: F.coalesce(F.try_element_at("line", b), F.lit(0.0)),
                 ).alias("spark"),
                 F.when(with_base, moved).otherwise(0.0).alias("delta"),

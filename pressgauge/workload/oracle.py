@@ -255,6 +255,10 @@ def _fold(prefix: str, picks: str, keys: str) -> None:
 
 
 _fold("", "picks", "axis, bucket_unit, time_bucket")
+_CTES["tpicks"] = """
+    SELECT axis, bucket_unit, time_bucket, source_id, [sentiment] AS keys FROM picks
+    WHERE sentiment <> 'unanalyzed'"""
+_fold("t", "tpicks", "axis, bucket_unit, time_bucket")
 _fold("w", "wpicks", "axis, range, period")
 
 
