@@ -96,14 +96,14 @@ def refreshed_picks(labelled: DataFrame, touched: DataFrame) -> DataFrame:
     return unit_picks(labelled).join(touched, keys, "left_semi")
 
 
-def call_stream(spark: SparkSession, path: str) -> DataFrame:
+def call_stream(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """New call-record files only; a file that does not decode is kept and marked as such."""
     raw = (
         spark.readStream.schema(f"{MODEL_CALL}, _corrupt_record string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", pattern)
         .json(path)
     )
     return raw.select(

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pressgauge.workload import gold_queries, intake_queries, record_queries, screen_queries
+from pressgauge.workload import (
+    gold_queries,
+    intake_queries,
+    lake_queries,
+    record_queries,
+    screen_queries,
+)
 
 FLAGSHIP = "a2_a3_w5_w6_subject_trend"
-_MODULES = (gold_queries, screen_queries, record_queries, intake_queries)
+_MODULES = (gold_queries, screen_queries, record_queries, intake_queries, lake_queries)
 
 
 def queries() -> dict:
