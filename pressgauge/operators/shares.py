@@ -26,8 +26,12 @@ def mentions(picks: DataFrame, keys: list[str]) -> DataFrame:
 
     An article with k subjects is k mentions and one article; one without subjects is still an
     article, kept on a row whose subject is null.
+
+    The counts meet themselves in a join further on. Keys are checked here so that the join adds
+    no checks of its own to one side only, which would keep Spark from shuffling once for both.
     """
-    exploded = picks.select(*keys, "source_id", F.posexplode_outer("keys").alias("pos", "subject"))
+    known = picks.dropna(subset=[*keys, "source_id"])
+    exploded = known.select(*keys, "source_id", F.posexplode_outer("keys").alias("pos", "subject"))
     return exploded.groupBy(*keys, "source_id", "subject").agg(
         F.count("subject").alias("n"),
         F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("articles"),

@@ -44,7 +44,7 @@ def aggregate(
     Picks and share terms feed several datasets. Both are written to the shared scratch folder
     and read back: the join with Silver and the fold run once, and the lineage ends there.
     """
-    every = staged(all_picks(bronze, silver, serving_version), "picks", by=["bucket_unit"])
+    every = staged(all_picks(bronze, silver, serving_version), "picks")
     hours = every.filter("bucket_unit = 'hour'")
     terms = staged(shares.share_terms(shares.mentions(every, BUCKET_KEYS), BUCKET_KEYS), "terms")
     folded = staged(shares.fold_terms(terms, BUCKET_KEYS), "shares")

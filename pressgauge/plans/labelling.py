@@ -168,8 +168,11 @@ def model_labels(
     stored = first_by(cache, ["cache_key"], [F.col("first_seen_at")]).select(
         "cache_key", F.col("reply").alias("stored_reply"), F.col("call_id").alias("stored_call")
     )
-    usable = replies.is_usable(replies.reply_object(F.col("stored_reply")))
-    known = stored.filter(F.coalesce(usable, F.lit(False)))
+    known = (
+        stored.withColumn("parsed", replies.reply_object(F.col("stored_reply")))
+        .filter(F.coalesce(replies.is_usable(F.col("parsed")), F.lit(False)))
+        .drop("parsed")
+    )
 
     unanswered = reaching.join(known, "cache_key", "left_anti")
     leaders = first_by(
@@ -193,8 +196,9 @@ def model_labels(
     replayed = F.col("stored_reply").isNotNull()
     leads = F.col("record_id") == F.col("leader")
     reply = F.coalesce("stored_reply", "live_reply")
-    parsed = replies.reply_object(reply)
-    told = joined.select(
+    # A column of its own: every label reads the parsed reply, which is parsed once.
+    parsed = F.col("parsed")
+    told = joined.withColumn("parsed", replies.reply_object(reply)).select(
         "record_id",
         "source_url",
         "collected_at",

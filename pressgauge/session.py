@@ -15,13 +15,17 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Plans here hold hundreds of columns; recording a call site for each costs more than
+    # planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs rely on to a session someone else started."""
     for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
@@ -34,6 +38,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config(map=SESSION_CONF)
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/pressgauge/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts the lineage on storage every executor can reach, so a lost executor costs a
@@ -60,5 +65,5 @@ def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").partitionBy(*(by or [])).parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -142,20 +142,25 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _formats(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads(spark, sf).select("source_id", "cycle", "format")
+
+
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Fetch attempts: a quarter of the payloads came on the second try, one in 25 never."""
-    number = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt")
-    tried = payloads(spark, sf).select("*", number)
     never = F.col("doc_id") % 25 == 3
-    late = (F.col("doc_id") % 4 == 1) & (F.col("attempt") == 1)
-    return tried.select(
+    late = F.col("doc_id") % 4 == 1
+    tries = F.when(never, F.array(F.lit(1), F.lit(2), F.lit(3))).when(
+        late, F.array(F.lit(1), F.lit(2))
+    ).otherwise(F.array(F.lit(1)))
+    good = ~never & (~late | (F.col("attempt") == 2))
+    return payloads(spark, sf).select("*", F.explode(tries).alias("attempt")).select(
         "doc_id",
         "source_id",
         "cycle",
-        "format",
         "attempt",
-        F.when(~(never | late), F.col("payload")).alias("payload"),
-        F.when(never | late, F.concat(F.lit("timeout "), F.col("attempt"))).alias("error"),
+        F.when(good, F.col("payload")).alias("payload"),
+        F.when(~good, F.concat(F.lit("timeout "), F.col("attempt"))).alias("error"),
     )
 
 
@@ -221,8 +226,9 @@ _COLLECTED = "2024-02-01T00:00:00+00:00"
 
 def _answered(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     answered, _ = feeds.acquired(attempts(spark, sf))
-    formats = payloads(spark, sf).select("source_id", "cycle", "format")
-    return answered.join(formats, ["source_id", "cycle"]).filter(F.col("format") == fmt)
+    return answered.join(_formats(spark, sf), ["source_id", "cycle"]).filter(
+        F.col("format") == fmt
+    )
 
 
 def _ingested(spark: SparkSession, sf: str) -> feeds.Ingested:
@@ -530,12 +536,12 @@ def reply_judgement(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("}\n```"),
         )
     )
-    parsed = replies.reply_object(F.col("reply"))
+    parsed = F.col("parsed")
     judged = replies.judgement(parsed)
     usable = F.coalesce(replies.is_usable(parsed), F.lit(False))
     rows = tables.table(spark, sf, "conversations").select(
         "conv_id", "turn", text.alias("reply"), kind.alias("kind")
-    )
+    ).withColumn("parsed", replies.reply_object(F.col("reply")))
     return rows.select("conv_id", "turn", "kind", usable.alias("usable"), judged.alias("j")).select(
         "conv_id",
         "turn",
