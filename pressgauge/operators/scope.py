@@ -223,3 +223,25 @@ def latest_instant(items: DataFrame) -> Column:
 def window_since(items: DataFrame, range_name: str) -> Column:
     hours = buckets.RANGES[range_name]
     return F.timestamp_seconds(F.unix_seconds(latest_instant(items)) - hours * 3600)
+
+
+def compare_status(versions: DataFrame, target: str | Column) -> DataFrame:
+    """Whether two versions can be set side by side, and which: one row.
+
+    The target is the "after" side; the newest other version is "before". Without two versions,
+    or when nobody has run the target yet, there is nothing to compare.
+    """
+    counted = versions.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.bool_or(F.col("analyzer_version") == target), F.lit(False)).alias("has"),
+    )
+    wanted = F.lit(target) if isinstance(target, str) else target
+    ready = (F.col("n") >= 2) & F.col("has")
+    return counted.select(
+        ready.alias("available"),
+        F.when(F.col("n") == 0, "no-silver").when(~ready, "single-version").otherwise("").alias(
+            "reason"
+        ),
+        F.when(ready, version_before(versions, target)).otherwise("").alias("before_version"),
+        F.when(F.col("n") > 0, wanted).otherwise("").alias("after_version"),
+    )

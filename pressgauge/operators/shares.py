@@ -9,6 +9,7 @@ no step gathers a bucket in one task. All sums run on integers (see ``functions.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,7 @@ def mentions(picks: DataFrame, keys: list[str]) -> DataFrame:
     The counts meet themselves in a join further on. Keys are checked here so that the join adds
     no checks of its own to one side only, which would keep Spark from shuffling once for both.
     """
-    known = picks.dropna(subset=[*keys, "source_id"])
+    known = picks.filter(reduce(and_, [F.col(c).isNotNull() for c in [*keys, "source_id"]]))
     exploded = known.select(*keys, "source_id", F.posexplode_outer("keys").alias("pos", "subject"))
     return exploded.groupBy(*keys, "source_id", "subject").agg(
         F.count("subject").alias("n"),

@@ -21,6 +21,10 @@ SESSION_CONF = {
 }
 
 
+#: Application -> its folder, used only where the session names no shared one.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs rely on to a session someone else started."""
     for key, value in SESSION_CONF.items():
@@ -52,8 +56,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pressgauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="pressgauge-")
+        _LOCAL_SCRATCH[app] = root
     return f"{root.rstrip('/')}/pressgauge/{name}-{uuid.uuid4().hex}"
 
 
