@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pressgauge.functions import identity
+from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
 
 LIST_LIMIT = 50
@@ -42,12 +43,10 @@ def record_latest(silver: DataFrame, items: DataFrame, calls: DataFrame) -> Data
         items.select("record_id", "title", "source_id", "collected_at")
     )
     known = calls.filter("decoded").select(
-        F.col("call_id").alias("found_call"), "call_outcome"
+        "call_id", F.col("call_id").alias("found_call"), "call_outcome"
     )
     labels = latest_analysis(silver)
-    joined = labels.join(seen, "record_id", "left").join(
-        known, F.col("call_id") == F.col("found_call"), "left"
-    )
+    joined = left_join_present(labels.join(seen, "record_id", "left"), known, "call_id")
     return joined.select(
         "record_id",
         "versions",
@@ -160,18 +159,23 @@ def record_versions(silver: DataFrame, calls: DataFrame, record_id: str | None =
     """
     rows = silver if record_id is None else silver.filter(F.col("record_id") == record_id)
     lookup = calls.select(
-        F.col("call_id").alias("found_call"), "call_outcome", "reused_from_call_id"
+        F.col("call_id").alias("asked_call"),
+        F.col("call_id").alias("found_call"),
+        "call_outcome",
+        "reused_from_call_id",
     )
     origin = calls.select(
-        F.col("call_id").alias("origin_call"), F.col("call_outcome").alias("origin_outcome")
+        F.col("call_id").alias("reused_from_call_id"),
+        F.col("call_id").alias("origin_call"),
+        F.col("call_outcome").alias("origin_outcome"),
     )
     asked = F.when(F.col("no_call_reason").isNull(), F.col("call_id"))
     place = F.row_number().over(W.partitionBy("record_id").orderBy(*_newest_label()))
+    # The origin is looked up for the calls, a replay's only, before records meet their call.
+    exchanges = left_join_present(lookup, origin, "reused_from_call_id")
+    placed = rows.withColumn("asked_call", asked).withColumn("place", place.cast("bigint"))
     return (
-        rows.withColumn("asked_call", asked)
-        .join(lookup, F.col("asked_call") == F.col("found_call"), "left")
-        .join(origin, F.col("reused_from_call_id") == F.col("origin_call"), "left")
-        .withColumn("place", place.cast("bigint"))
+        left_join_present(placed, exchanges, "asked_call")
         .select(
             "record_id",
             "place",
@@ -239,7 +243,7 @@ def lineage(
     ).withColumn("has_silver", F.lit(True))
     texts = bodies.select("body_hash", "first_seen_at", "first_seen_cycle", "raw_text")
     return (
-        first_seen.join(texts, "body_hash", "left")
+        left_join_present(first_seen, texts, "body_hash")
         .join(first_label, "record_id", "left")
         .withColumn("body_preserved", F.col("raw_text").isNotNull())
         .withColumn("has_silver", F.coalesce("has_silver", F.lit(False)))

@@ -205,7 +205,7 @@ def decision_row(
     spark: SparkSession, decision: str, version: str, memo: str, notify: bool, at: str | None = None
 ) -> DataFrame:
     kind, named, reason = checked_decision(decision, version, memo)
-    stamp = at or datetime.now(UTC).replace(microsecond=0).isoformat()
+    stamp = at or datetime.now(UTC).isoformat(timespec="microseconds")
     return spark.createDataFrame([(stamp, kind, named, reason, bool(notify))], DECISION)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import identity, replies, subjects
 from pressgauge.functions import vocabulary as V
 from pressgauge.operators import runlog, scope, versions
+from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, PARTITION
 from pressgauge.session import staged
@@ -53,7 +54,9 @@ def with_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
         [F.col("first_seen_at")],
     ).select("body_hash", "raw_text")
     body = F.when(F.col("body_available"), F.nullif("raw_text", F.lit("")))
-    return items.join(texts, "body_hash", "left").withColumn("body", body).drop("raw_text")
+    return (
+        left_join_present(items, texts, "body_hash").withColumn("body", body).drop("raw_text")
+    )
 
 
 # -- keyword rules ----------------------------------------------------------------------------
@@ -183,16 +186,17 @@ def model_labels(
     # Written out before it is used: a lost executor must not ask the model a second time.
     answers = staged(ask(staged(leaders, "prompts"), completer, system), "answers")
 
-    asked = leaders.select("cache_key", F.col("record_id").alias("leader"))
-    joined = (
-        reaching.join(known, "cache_key", "left")
-        .join(asked, "cache_key", "left")
-        .join(
-            answers.select("cache_key", F.col("reply").alias("live_reply"), "error", "duration_ms"),
-            "cache_key",
-            "left",
-        )
+    # One row per prompt first, then one join: a prompt that most records share is shuffled once.
+    nothing = F.lit(None).cast("string")
+    asked = leaders.select("cache_key", F.col("record_id").alias("leader")).join(
+        answers.select("cache_key", F.col("reply").alias("live_reply"), "error", "duration_ms"),
+        "cache_key",
+        "left",
     )
+    per_prompt = asked.select(
+        "*", nothing.alias("stored_reply"), nothing.alias("stored_call")
+    ).unionByName(known, allowMissingColumns=True)
+    joined = reaching.join(per_prompt, "cache_key")
     replayed = F.col("stored_reply").isNotNull()
     leads = F.col("record_id") == F.col("leader")
     reply = F.coalesce("stored_reply", "live_reply")

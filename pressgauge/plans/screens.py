@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import buckets, numeric
 from pressgauge.functions import vocabulary as V
 from pressgauge.operators import slices
+from pressgauge.operators.joins import left_join_present
 from pressgauge.plans.gold import Gold
 
 TOP_DASHBOARD, TOP_FAIRNESS, TOP_SPIKES, TOP_AXIS, TOP_GAPS, SERIES = 8, 20, 20, 5, 6, 3
@@ -475,8 +476,7 @@ class Composition:
             listed = listed.filter(F.col("source_id") == source)
         seen = items.select("record_id", "title", "source_url", "body_hash", "body_available")
         rows = (
-            listed.join(seen, "record_id", "left")
-            .join(body_share, "body_hash", "left")
+            left_join_present(listed.join(seen, "record_id", "left"), body_share, "body_hash")
             .select(
                 "record_id",
                 "source_id",

@@ -672,3 +672,21 @@ def reply_cache(spark: SparkSession, sf: str) -> DataFrame:
         .new_replies.groupBy("model", "analyzer_version")
         .agg(F.count("*").alias("replies"), F.count_distinct("cache_key").alias("keys"))
     )
+
+
+@query(
+    "j18_stored_replies_replayed",
+    "SELECT record_id, CASE WHEN outcome IN ('parsed', 'reused') THEN 'reused' ELSE outcome END "
+    "AS call_outcome, outcome IN ('parsed', 'reused') AS names_origin FROM ordered",
+    **_MODEL,
+)
+def stored_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run over the same documents: what the first stored is replayed, not asked."""
+    items, texts = prompted_documents(spark, sf)
+    done = labelling.model_labels(
+        items, texts, _labelled(spark, sf).new_replies, canned_completer, "v9", "run-10",
+        "canned", 0.0, "2024-03-02T00:00:00+00:00", "system",
+    )
+    return done.calls.select(
+        "record_id", "call_outcome", F.col("reused_from_call_id").isNotNull().alias("names_origin")
+    )

@@ -5,11 +5,11 @@ Each run gets a fresh folder below the shared scratch folder, so runs never see
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.operators import versions
-from pressgauge.plans import gold, serving
+from pressgauge.plans import gold, labelling, runs, serving
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, NEWS_ITEM, PARTITION
 from pressgauge.session import scratch_path
 from pressgauge.sources.lake import Lake, with_cycle, with_partition
@@ -352,6 +352,95 @@ def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "k10_b3_gold_datasets",
+    "SELECT 'article_pick' AS dataset, (SELECT count(*) FROM picks WHERE len(keys) > 0) AS rows "
+    "UNION ALL SELECT 'subject_trend', (SELECT count(*) FROM trend) "
+    "UNION ALL SELECT 'subject_source_contribution', (SELECT count(*) FROM contrib) "
+    "UNION ALL SELECT 'axis_sentiment', (SELECT count(*) FROM axis_sentiment) "
+    "UNION ALL SELECT 'subject_window', (SELECT count(*) FROM subject_window) "
+    "UNION ALL SELECT 'axis_window', (SELECT count(*) FROM axis_window)",
+)
+def gold_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = [
+        rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
+        for name, rows in published(spark, sf).datasets().items()
+    ]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(
+    "b2_labelled_lake",
+    "SELECT record_id, day, 'unanalyzed' AS analysis_status, 'keyword_analyzer' AS no_call_reason, "
+    "CASE WHEN contains(lower(title), 'fed') THEN 'Federal Reserve' ELSE '' END AS subjects "
+    "FROM daily",
+    **_DAILY,
+)
+def labelled_lake(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelling job over a whole lake; these bodies carry no tone, so no label is forced."""
+    lake = _stored_daily(spark, sf)
+    lake.put_objects(
+        "bronze", "news_body", "body_hash", tables.bodies(spark, sf), [F.col("first_seen_at")]
+    )
+    labelling.label_lake(lake, "run-1", "2024-02-01T00:00:00+00:00")
+    return lake.read_cycles("silver", "analysis").select(
+        "record_id", "day", "analysis_status", "no_call_reason",
+        F.array_join("narrative_subjects", ",").alias("subjects"),
+    )
+
+
+@query(
+    "t4_waiting_after_settled",
+    "SELECT record_id FROM daily WHERE day = '20'",
+    **_DAILY,
+)
+def waiting_after_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled lake is settled; rewriting one cycle with new records reopens that cycle."""
+    lake = _stored_daily(spark, sf)
+    labelling.label_lake(lake, "run-1", "2024-02-01T00:00:00+00:00")
+    again = _daily(spark, sf).filter("day = '20'")
+    renamed = again.withColumn("record_id", F.concat(F.lit("again-"), "record_id"))
+    lake.write_cycles("bronze", "news_item", renamed)
+    waiting = labelling.waiting_records(lake, labelling.KEYWORD_VERSION, labelling.Scope())
+    return waiting.select(F.replace("record_id", F.lit("again-"), F.lit("")).alias("record_id"))
+
+
+@query(
+    "b5_run_log",
+    "SELECT 'run-1' AS run_id, 'failed' AS run_status, 'ingestion:succeeded,analysis:failed' AS "
+    "stages, count(*) AS collected, 7 AS not_reached FROM bronze",
+)
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A stage that ran twice and a stage that failed on its way."""
+    lake = _new_lake(spark)
+    seen = tables.observations(spark, sf).agg(
+        F.lit("collected").alias("outcome_name"), F.count("*").alias("outcome_count")
+    )
+    for _ in range(2):
+        with runs.run_stage(lake, "run-1", "ingestion") as stage:
+            stage.book(seen)
+            stage.input_count = sum(stage.outcomes.values())
+    with runs.run_stage(lake, "run-1", "analysis") as stage:
+        stage.input_count, stage.failure_reason = 7, "nobody answered"
+    row = lake.read_objects("silver", "pipeline_run", "run_id")
+
+    def booked(name: str) -> Column:
+        every = F.flatten(F.transform("stages", lambda s: s["outcomes"]))
+        mine = F.filter(every, lambda o: o["outcome_name"] == name)
+        return F.try_element_at(mine, F.lit(1))["outcome_count"].alias(name)
+
+    named = F.transform(
+        "stages", lambda s: F.concat_ws(":", s["stage_name"], s["stage_status"])
+    )
+    return row.select(
+        "run_id", "run_status", F.concat_ws(",", named).alias("stages"), booked("collected"),
+        booked("not_reached"),
+    )
+
+
 # -- serving tables ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import buckets, identity, numeric
 from pressgauge.operators import picks, records, runlog, scope, shares, tone, versions
+from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import BUCKET_KEYS
 from pressgauge.plans import gold
 from pressgauge.workload import tables
@@ -70,11 +71,8 @@ def labelled_observations(spark: SparkSession, sf: str) -> DataFrame:
 )
 def observation_body(spark: SparkSession, sf: str) -> DataFrame:
     texts = picks.first_by(bodies(spark, sf), ["body_hash"], [F.col("first_seen_at")])
-    return (
-        items(spark, sf)
-        .join(texts.select("body_hash", "raw_text"), "body_hash", "left")
-        .select("record_id", "raw_text")
-    )
+    texts = texts.select("body_hash", "raw_text")
+    return left_join_present(items(spark, sf), texts, "body_hash").select("record_id", "raw_text")
 
 
 @query(
