@@ -20,7 +20,9 @@ INSTANT_PATTERN = (
 
 def week_label(day: Column) -> Column:
     """ISO week label; the year is the week's own, not always the calendar year."""
-    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day))
+    year = F.extract(F.lit("YEAROFWEEK"), day).cast("string")
+    week = F.lpad(F.weekofyear(day).cast("string"), 2, "0")
+    return F.concat(F.lpad(year, 4, "0"), F.lit("-W"), week)
 
 
 def bucket_label(ts: Column, unit: str) -> Column:

@@ -67,23 +67,55 @@ def newest_first() -> list[Column]:
     return [F.col("collected_at").desc(), F.col("record_id").desc()]
 
 
-def unit_picks(labelled: DataFrame, units: tuple[str, ...] = buckets.UNITS) -> DataFrame:
-    """Newest observation of each article per axis and bucket, for every unit in one pass."""
-    placed = labelled.select(
+_PICK = ["article", "collected_at", "record_id", "source_id", "keys", "sentiment"]
+
+
+def hour_picks(labelled: DataFrame) -> DataFrame:
+    """Newest observation of each article per axis and hour."""
+    hours = labelled.select(
         "axis",
-        F.inline(buckets.bucket_labels(F.col("collected_at"), units)),
-        "article",
-        "collected_at",
-        "record_id",
-        "source_id",
-        "keys",
-        "sentiment",
+        F.lit("hour").alias("bucket_unit"),
+        buckets.bucket_label(F.col("collected_at"), "hour").alias("time_bucket"),
+        *_PICK,
     )
-    return first_by(placed, [*BUCKET_KEYS, "article"], newest_first())
+    return first_by(hours, ["axis", "time_bucket", "article"], newest_first())
 
 
-def hour_picks(labelled: DataFrame) -> DataFrame:
-    return unit_picks(labelled, ("hour",))
+def unit_picks(labelled: DataFrame, units: tuple[str, ...] = buckets.UNITS) -> DataFrame:
+    """Newest observation of each article per axis and bucket, for every unit.
+
+    Hours nest in days and days in ISO weeks, so the newest pick of a wide bucket is one of its
+    hours' picks: in the hour picks of one article and week, newest first, it is the row where
+    the bucket's label first shows up. That is one sort of single rows, of at most the hours of
+    a week per article, instead of a sort of every row once per unit.
+    """
+    hours = hour_picks(labelled)
+    if units == ("hour",):
+        return hours
+    labels = {u: F.col("time_bucket") if u == "hour" else F.col(f"_{u}") for u in units}
+    cut = hours.withColumns(
+        {f"_{u}": buckets.bucket_label(F.col("collected_at"), u) for u in ("day", "week")}
+    )
+    line = W.partitionBy("axis", "article", "_week").orderBy(*newest_first())
+    newer = F.lag("_day").over(line)
+    opens = {
+        "hour": F.lit(True),
+        "day": F.col("_newer_day").isNull() | (F.col("_newer_day") != F.col("_day")),
+        "week": F.col("_newer_day").isNull(),
+    }
+    every = F.array(
+        *[
+            F.struct(
+                F.lit(u).alias("bucket_unit"), labels[u].alias("bucket"), opens[u].alias("opens")
+            )
+            for u in units
+        ]
+    )
+    return cut.withColumn("_newer_day", newer).select(
+        "axis",
+        F.inline(every).alias("bucket_unit", "bucket", "opens"),
+        *_PICK,
+    ).filter("opens").select("axis", "bucket_unit", F.col("bucket").alias("time_bucket"), *_PICK)
 
 
 def article_picks(picks: DataFrame) -> DataFrame:
@@ -125,8 +157,8 @@ def window_picks(hours: DataFrame) -> DataFrame:
     listed = aged.filter(F.col("back") < oldest).select(
         "axis", "article", "collected_at", "record_id", "source_id", "keys", "sentiment",
         "anchor", "back",
-        F.inline(F.filter(ranges, lambda r: F.col("back") < r["span"] * 2)),
-    )
+        F.inline(ranges),
+    ).filter(F.col("back") < F.col("span") * 2)
     placed = listed.withColumn(
         "period", F.when(F.col("back") < F.col("span"), "current").otherwise("previous")
     )
