@@ -197,36 +197,53 @@ def record_versions(silver: DataFrame, calls: DataFrame, record_id: str | None =
     )
 
 
-def body_versions(items: DataFrame, bodies: DataFrame, own: DataFrame) -> DataFrame:
-    """Body texts the article of each record in ``own`` showed, oldest first, over every observation of its URL.
+def article_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Body texts each article showed over all its observations, oldest first.
 
-    ``analyzed`` marks the text of the record's own first observation, ``latest`` the newest.
+    One row per article and text; ``latest`` marks the newest text.
     """
-    first = first_by(
-        own.select("record_id", "source_url", "body_hash", "collected_at"),
-        ["record_id"],
-        [F.col("collected_at"), F.col("body_hash")],
-    ).select("record_id", "source_url", F.col("body_hash").alias("analyzed_hash"))
+    article = identity.article_key(F.col("source_url"), F.col("record_id"))
     shown = (
-        items.filter(F.col("body_hash") != "").select("source_url", "body_hash").distinct()
+        items.filter(F.col("body_hash") != "")
+        .select(article.alias("article"), "body_hash")
+        .distinct()
     )
-    rows = first.join(shown, "source_url").join(bodies, "body_hash")
-    line = W.partitionBy("record_id").orderBy("first_seen_at", "body_hash")
-    back = W.partitionBy("record_id").orderBy(
-        F.col("first_seen_at").desc(), F.col("body_hash").desc()
+    texts = bodies.select("body_hash", "first_seen_at", "first_seen_cycle", "raw_text")
+    order = [F.col("first_seen_at"), F.col("body_hash")]
+    line = W.partitionBy("article").orderBy(*order)
+    return (
+        shown.join(texts, "body_hash")
+        .withColumn("version", F.row_number().over(line).cast("bigint"))
+        .withColumn("latest", F.lead("body_hash").over(line).isNull())
     )
-    return rows.select(
-        "record_id",
-        "body_hash",
-        "first_seen_at",
-        "first_seen_cycle",
-        "raw_text",
-        (F.col("body_hash") == F.col("analyzed_hash")).alias("analyzed"),
-        F.row_number().over(line).cast("bigint").alias("version"),
-        (F.row_number().over(back) == 1).alias("latest"),
+
+
+def analyzed_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Which of its article's texts a record's first observation was labelled on."""
+    article = identity.article_key(F.col("source_url"), F.col("record_id"))
+    first = first_by(
+        items.select("record_id", article.alias("article"), "body_hash", "collected_at"),
+        ["record_id"],
+        [F.col("collected_at"), F.col("body_hash")],
+    ).filter(F.col("body_hash") != "")
+    versions = article_bodies(items, bodies)
+    return first.join(versions, ["article", "body_hash"]).select(
+        "record_id", "article", "body_hash", "first_seen_at", "version", "latest"
     )
 
 
+def body_history(items: DataFrame, bodies: DataFrame, record_id: str) -> DataFrame:
+    """The texts of one record's article, the one that was labelled marked."""
+    article = identity.article_key(F.col("source_url"), F.col("record_id"))
+    keyed = items.withColumn("article", article)
+    own = keyed.filter(F.col("record_id") == record_id)
+    mine = keyed.join(own.select("article").distinct(), "article", "left_semi").drop("article")
+    first = own.agg(
+        F.min_by("body_hash", F.struct("collected_at", "body_hash")).alias("h")
+    ).scalar()
+    return article_bodies(mine, bodies).withColumn("analyzed", F.col("body_hash") == first)
+
+
 def lineage(
     items: DataFrame, bodies: DataFrame, silver: DataFrame, record_id: str | None = None
 ) -> DataFrame:

@@ -86,12 +86,22 @@ class Lake:
         return self._read(path, DATASETS[layer, dataset])
 
     def append_new(self, layer: str, dataset: str, key: str, rows: DataFrame) -> DataFrame:
-        """Append rows whose key is not stored yet, one per key."""
+        """Add rows whose key is not stored yet, one per key, to the current snapshot.
+
+        What is stored is read for its keys only and never rewritten.
+        """
         stored = self.read_records(layer, dataset)
-        fresh = rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
-        return self.write_records(
-            layer, dataset, stored.unionByName(fresh.select(*stored.columns))
+        fresh = staged(
+            rows.dropDuplicates([key])
+            .join(stored.select(key), key, "left_anti")
+            .select(*stored.columns),
+            f"append-{dataset}",
         )
+        path = self._snapshot(layer, dataset)
+        if path is None:
+            return self.write_records(layer, dataset, stored.unionByName(fresh))
+        fresh.write.format(self.fmt).mode("append").save(path)
+        return self._read(path, DATASETS[layer, dataset])
 
     # -- partitioned datasets -----------------------------------------------------------
 

@@ -245,31 +245,57 @@ def records_of_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TEXTS = {
+    "texts": "SELECT body_hash, min(first_seen_at) AS first_seen_at FROM bodies GROUP BY body_hash",
+    "shown": "SELECT DISTINCT coalesce(nullif(source_url, ''), record_id) AS article, body_hash "
+    "FROM bronze WHERE body_hash <> ''",
+    "histories": "SELECT article, body_hash, first_seen_at, row_number() OVER (PARTITION BY article "
+    "ORDER BY first_seen_at, body_hash) AS version, version = count(*) OVER (PARTITION BY article) "
+    "AS latest FROM shown JOIN texts USING (body_hash)",
+}
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return picks.first_by(bodies(spark, sf), ["body_hash"], [F.col("first_seen_at")])
+
+
+@query("q11_w12_article_bodies", "SELECT * FROM histories", **_TEXTS)
+def article_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return records.article_bodies(items(spark, sf), _texts(spark, sf)).drop(
+        "raw_text", "first_seen_cycle"
+    )
+
+
 @query(
-    "q11_w12_body_versions",
-    "SELECT o.record_id, t.body_hash, t.first_seen_at, t.body_hash = o.body_hash AS analyzed, "
-    "row_number() OVER (PARTITION BY o.record_id ORDER BY t.first_seen_at, t.body_hash) "
-    "AS version, version = count(*) OVER (PARTITION BY o.record_id) AS latest "
-    "FROM bronze o JOIN shown USING (source_url) JOIN texts t ON t.body_hash = shown.body_hash "
-    "WHERE o.axis = 'US' AND o.source_id = 'src-4'",
-    shown="SELECT DISTINCT source_url, body_hash FROM bronze WHERE body_hash <> ''",
-    texts="SELECT body_hash, min(first_seen_at) AS first_seen_at FROM bodies GROUP BY body_hash",
-)
-def body_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """The history of the articles of one source, as its reviewer would ask for it."""
-    texts = picks.first_by(bodies(spark, sf), ["body_hash"], [F.col("first_seen_at")])
-    every = items(spark, sf)
-    own = every.filter((F.col("axis") == "US") & (F.col("source_id") == "src-4"))
-    rows = records.body_versions(every, texts, own=own)
-    return rows.select("record_id", "body_hash", "first_seen_at", "analyzed", "version", "latest")
+    "q11_w12_analyzed_bodies",
+    "SELECT record_id, article, body_hash, first_seen_at, version, latest FROM "
+    "(SELECT record_id, coalesce(nullif(source_url, ''), record_id) AS article, body_hash "
+    "FROM bronze) JOIN histories USING (article, body_hash)",
+    **_TEXTS,
+)
+def analyzed_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return records.analyzed_bodies(items(spark, sf), _texts(spark, sf))
+
+
+@query(
+    "q11_body_history",
+    "SELECT h.article, h.body_hash, h.first_seen_at, h.version, h.latest, h.body_hash = o.body_hash "
+    "AS analyzed FROM histories h JOIN bronze o ON o.source_url = h.article "
+    "WHERE o.record_id = 'r000000000042'",
+    **_TEXTS,
+)
+def body_history(spark: SparkSession, sf: str) -> DataFrame:
+    return records.body_history(items(spark, sf), _texts(spark, sf), "r000000000042").drop(
+        "raw_text", "first_seen_cycle"
+    )
 
 
 # -- relabelling ------------------------------------------------------------------------------
 
 _SCOPE = {
-    "since": "SELECT max(CAST(collected_at AS TIMESTAMPTZ)) - INTERVAL 7 DAY AS since FROM bronze",
+    "since": "SELECT max(strptime(collected_at, '%Y-%m-%dT%H:%M:%S+00:00')) - INTERVAL 7 DAY AS since FROM bronze",
     "scoped": "SELECT b.* FROM bronze b, since s WHERE axis = 'KR' "
-    "AND CAST(collected_at AS TIMESTAMPTZ) >= s.since",
+    "AND strptime(collected_at, '%Y-%m-%dT%H:%M:%S+00:00') >= s.since",
     "windowed": "SELECT * FROM silver WHERE record_id IN (SELECT record_id FROM scoped)",
     "progress": "SELECT collection_cycle, count(*) AS kept, count(*) FILTER (record_id IN "
     "(SELECT record_id FROM silver WHERE analyzer_version = 'v2')) AS done, kept - done AS todo "
@@ -347,8 +373,9 @@ def progress_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q10_a13_throughput",
     "SELECT per_minute, ceil((SELECT sum(todo) FROM progress)::DOUBLE / per_minute) "
-    "AS eta_minutes FROM (SELECT count(*)::DOUBLE / ((epoch_us(max(CAST(analyzed_at AS "
-    "TIMESTAMPTZ))) - epoch_us(min(CAST(analyzed_at AS TIMESTAMPTZ))))::DOUBLE / "
+    "AS eta_minutes FROM (SELECT count(*)::DOUBLE / ((epoch_us(max("
+    "strptime(analyzed_at, '%Y-%m-%dT%H:%M:%S+00:00'))) - epoch_us(min("
+    "strptime(analyzed_at, '%Y-%m-%dT%H:%M:%S+00:00'))))::DOUBLE / "
     "60000000.0::DOUBLE) AS per_minute FROM windowed WHERE analyzer_version = 'v2')",
     **_SCOPE,
 )

@@ -8,12 +8,20 @@ the newest-observation rule really decides.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from pressgauge.session import configure
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read for the schema once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = configure(spark).read.parquet(path).schema
+    return configure(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 _EVENT = "concat('r', lpad(cast(event_id as string), 12, '0'))"
