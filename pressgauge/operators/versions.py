@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.functions import buckets
-from pressgauge.operators.picks import first_by
 from pressgauge.schemas import DECISION, PARTITION
 from pressgauge.session import staged
 
@@ -56,7 +55,7 @@ def store_analyses(
 ) -> DataFrame:
     """Write ``rows`` into Silver; returns one row with the written and pruned counts."""
     stored = lake.read_cycles("silver", "analysis")
-    placed = staged(rows.join(located.select(*_HOME), "record_id"), "analyses")
+    placed = staged(rows.join(located.select(*_HOME).distinct(), "record_id"), "analyses")
     merged = staged(
         merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
     )
@@ -222,7 +221,3 @@ def serving_version(decisions: DataFrame) -> Column:
 
 def records_of_run(silver: DataFrame, run_id: str) -> DataFrame:
     return silver.filter(F.col("run_id") == run_id)
-
-
-def first_version(silver: DataFrame) -> DataFrame:
-    return first_by(silver, KEY, [F.col("analyzed_at"), F.col("run_id")])

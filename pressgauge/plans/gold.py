@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from pressgauge.operators import contributions, picks, shares, tone
+from pressgauge.operators import contributions, picks, shares, tone, versions
 from pressgauge.operators.picks import BUCKET_KEYS, WINDOW_KEYS
 from pressgauge.session import staged
 
@@ -68,9 +68,23 @@ def publish(lake, built: Gold) -> Gold:
     return Gold(**out)
 
 
+def aggregate_lake(lake, decision: tuple[str, str, str] | None = None) -> Gold:
+    """The whole job on a lake, after an optional (decision, version, memo).
+
+    Publishing or rolling back only moves the pointer to a label version: Gold is folded again
+    from the rows that version serves, and nothing is labelled again.
+    """
+    if decision is not None:
+        versions.record_decision(lake, *decision)
+    pointed = versions.serving_version(lake.read_records("silver", "reprocess_decision"))
+    bronze = lake.read_cycles("bronze", "news_item")
+    silver = lake.read_cycles("silver", "analysis")
+    return publish(lake, aggregate(bronze, silver, pointed))
+
+
 def read(lake) -> Gold:
     return Gold(**{name: lake.read_records("gold", name) for name in Gold.__dataclass_fields__})
 
 
-__all__ = ["BUCKET_KEYS", "WINDOW_KEYS", "Gold", "aggregate", "all_picks", "labelled_observations", "publish",
+__all__ = ["BUCKET_KEYS", "WINDOW_KEYS", "Gold", "aggregate", "aggregate_lake", "all_picks", "labelled_observations", "publish",
            "read"]

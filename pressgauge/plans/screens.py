@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import buckets, numeric
 from pressgauge.functions import vocabulary as V
-from pressgauge.operators import slices
+from pressgauge.operators import records, slices
 from pressgauge.operators.joins import left_join_present
 from pressgauge.plans.gold import Gold
 
@@ -474,7 +474,13 @@ class Composition:
         listed = self.picks.select("record_id", "source_id", "collected_at")
         if source:
             listed = listed.filter(F.col("source_id") == source)
-        seen = items.select("record_id", "title", "source_url", "body_hash", "body_available")
+        behind = items.join(listed.select("record_id"), "record_id", "left_semi")
+        seen = records.latest_observation(
+            behind.select(
+                "record_id", "source_id", "title", "source_url", "body_hash", "body_available",
+                "collected_at",
+            )
+        ).drop("source_id", "collected_at")
         rows = (
             left_join_present(listed.join(seen, "record_id", "left"), body_share, "body_hash")
             .select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressgauge import schemas
 from pressgauge.operators import picks, runlog, scope, versions
-from pressgauge.plans import ingestion, labelling
+from pressgauge.plans import gold, ingestion, labelling, runs
 from pressgauge.session import staged
 from pressgauge.sources import feeds, pages
 from pressgauge.sources.lake import with_partition
@@ -338,3 +338,43 @@ def test_an_outage_writes_calls_but_no_analyses(spark, lake):
         labelling.label_lake(lake, "run-1", "2026-06-24T00:00:00+00:00", failing)
     assert lake.read_cycles("silver", "analysis").count() == 0
     assert lake.read_objects("silver", "llm_call", "call_id").count() == 5
+
+
+def test_publish_and_roll_back_move_a_pointer(spark, lake):
+    bronze_lake(spark, lake, 2)
+    where = lake.read_cycles("bronze", "news_item")
+    rows = [(f"r{i}", v, at, s) for i in range(2) for v, at, s in (("v1", "t1", "old"), ("v2", "t2", "new"))]
+    versions.store_analyses(lake, where, analyses(spark, *rows))
+
+    def subjects_of(decision=None):
+        trend = gold.aggregate_lake(lake, decision).subject_trend
+        return {r.subject for r in trend.collect()}
+
+    assert subjects_of() == {"new"}
+    assert subjects_of(("publish", "v1", "steadier")) == {"old"}
+    assert subjects_of(("rollback", "v2", "unexplained change")) == {"new"}
+
+
+def test_run_parameters_are_checked():
+    good = scope.checked_run("7d", "KR", " v3 ", 500, "recent")
+    assert (good["version"], good["batch_size"]) == ("v3", 100)
+    for bad in (("90d", "KR", "v"), ("7d", "ALL", "v"), ("7d", "KR", " "), ("7d", "KR", "v", 501),
+                ("7d", "KR", "v", 1, "first"), ("7d", "KR", "v", 1, "recent", 0)):
+        with pytest.raises(ValueError):
+            scope.checked_run(*bad)
+
+
+def test_runs_keep_the_last_attempt_of_a_stage(spark, lake):
+    with pytest.raises(RuntimeError), runs.run_stage(lake, "run-1", "analysis") as stage:
+        stage.input_count, stage.outcomes = 5, {"analyzed": 2}
+        raise RuntimeError("cut short")
+    row = lake.read_objects("silver", "pipeline_run", "run_id").first()
+    assert row.run_status == "failed"
+    assert {o.outcome_name: o.outcome_count for o in row.stages[0].outcomes} == {"analyzed": 2, "not_reached": 3}
+    assert "cut short" in row.stages[0].failure_reason
+    with runs.run_stage(lake, "run-1", "analysis") as stage:
+        stage.input_count, stage.outcomes = 2, {"analyzed": 2}
+    row = lake.read_objects("silver", "pipeline_run", "run_id").first()
+    assert (row.run_status, len(row.stages)) == ("succeeded", 1)
+    with pytest.raises(ValueError, match="booked"), runs.run_stage(lake, "run-2", "analysis") as stage:
+        stage.input_count = 1

@@ -172,10 +172,12 @@ def test_composition_follows_the_requested_subject(spark):
     assert lead.concentration().first().top_source_id == "s1"
     assert screens.Composition(gold, "KR", "nothing").contributions().count() == 0
     items = spark.createDataFrame(
-        [("r1", "T", "u", "h", True), ("r2", "T2", "u2", "h", True)],
-        "record_id string, title string, source_url string, body_hash string, body_available boolean",
+        [("r1", "s1", "old", "u", "h", True, "t0"), ("r1", "s1", "T", "u", "h", True, "t1"),
+         ("r2", "s2", "T2", "u2", "h", True, "t2")],
+        "record_id string, source_id string, title string, source_url string, body_hash string, "
+        "body_available boolean, collected_at string",
     )
     shares = spark.createDataFrame([("h", 2)], "body_hash string, shares long")
     listed = lead.articles(items, shares).collect()
-    assert [r.record_id for r in listed] == ["r2", "r1"]
+    assert [(r.record_id, r.title) for r in listed] == [("r2", "T2"), ("r1", "T")]
     assert all(r.body_duplicate for r in listed)
