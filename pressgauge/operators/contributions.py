@@ -47,12 +47,13 @@ def apportion(terms: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame
 
 
 def from_terms(terms: DataFrame, folded: DataFrame) -> DataFrame:
-    return apportion(terms, folded, BUCKET_KEYS).select(
+    parts = apportion(terms, folded, BUCKET_KEYS)
+    return parts.withColumn("ratio", F.col("n") / F.col("raw_count")).select(
         "subject",
         *BUCKET_KEYS,
         "source_id",
         F.col("n").alias("raw_count"),
-        numeric.round4(F.col("n") / F.col("raw_count")).alias("raw_share"),
+        numeric.round4(F.col("ratio")).alias("raw_share"),
         numeric.from_units(F.col("part_units")).alias("normalized_contribution"),
     )
 

@@ -95,12 +95,9 @@ def fold_terms(terms: DataFrame, keys: list[str]) -> DataFrame:
             F.max("den").alias("den"),
             F.max("axes").alias("axes"),
         )
+        .withColumn("share", numeric.snapped(share))
         .select(
-            *keys,
-            "subject",
-            "raw_count",
-            "axes",
-            numeric.grid_units(numeric.snapped(share)).alias("units"),
+            *keys, "subject", "raw_count", "axes", numeric.grid_units(F.col("share")).alias("units")
         )
     )
 
@@ -205,11 +202,12 @@ def source_subject_table(picks: DataFrame, min_mentions: int = 1) -> DataFrame:
     return (
         counted.filter(F.col("n") > 0)
         .join(totals, [*BUCKET_KEYS, "source_id"])
+        .withColumn("ratio", F.col("n") / F.col("source_total"))
         .select(
             *BUCKET_KEYS,
             "source_id",
             "subject",
             "n",
-            numeric.round4(F.col("n") / F.col("source_total")).alias("source_share"),
+            numeric.round4(F.col("ratio")).alias("source_share"),
         )
     )

@@ -36,13 +36,14 @@ def axis_sentiment(picks: DataFrame) -> DataFrame:
     counted = tone_counts(picks, ["axis", "bucket_unit", "time_bucket"])
     labelled = F.col("total") - F.col("unanalyzed")
     base = F.greatest(labelled, F.lit(1))
-    return counted.select(
+    ratios = {f"{s}_ratio": F.col(s) / base for s in V.SENTIMENTS}
+    ratios["unanalyzed_ratio"] = F.col("unanalyzed") / F.col("total")
+    return counted.withColumns(ratios).select(
         "axis",
         "bucket_unit",
         "time_bucket",
         F.struct(
-            *[numeric.round4(F.col(s) / base).alias(s) for s in V.SENTIMENTS],
-            numeric.round4(F.col("unanalyzed") / F.col("total")).alias("unanalyzed"),
+            *[numeric.round4(F.col(f"{kind}_ratio")).alias(kind) for kind in _KINDS]
         ).alias("distribution"),
         labelled.alias("analyzed_total"),
     )

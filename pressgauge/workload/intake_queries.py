@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import replies, subjects
 from pressgauge.functions import vocabulary as V
 from pressgauge.plans import labelling
-from pressgauge.session import scratch_path
+from pressgauge.session import scratch_path, staged
 from pressgauge.sources import feeds, pages
 from pressgauge.workload import tables
 from pressgauge.workload.oracle import sql
@@ -146,7 +146,18 @@ def _formats(spark: SparkSession, sf: str) -> DataFrame:
     return payloads(spark, sf).select("source_id", "cycle", "format")
 
 
+_LANDED: dict[tuple[str, str], DataFrame] = {}
+
+
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """The landing table as the jobs find it: written, in many files, once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LANDED:
+        _LANDED[key] = staged(_fetched(spark, sf).repartition("source_id", "cycle"), "landing")
+    return _LANDED[key]
+
+
+def _fetched(spark: SparkSession, sf: str) -> DataFrame:
     """Fetch attempts: a quarter of the payloads came on the second try, one in 25 never."""
     never = F.col("doc_id") % 25 == 3
     late = F.col("doc_id") % 4 == 1
