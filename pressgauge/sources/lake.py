@@ -244,10 +244,6 @@ class Lake:
         merged = staged(kept.unionByName(fresh.select(*kept.columns)), f"upsert-{dataset}")
         self._write_objects(layer, dataset, key, merged, "overwrite")
 
-    def export_jsonl(self, rows: DataFrame, path: str) -> None:
-        """JSON lines at the edge of the lake, one file per task."""
-        rows.write.mode("overwrite").json(path)
-
 
 def with_partition(rows: DataFrame, cycle: Column) -> DataFrame:
     return rows.withColumns(buckets.cycle_parts(cycle))

@@ -137,23 +137,36 @@ def mean_share(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- dashboard --------------------------------------------------------------------------------
 
-_DASH = {
-    "day_anchor": "SELECT max(time_bucket) AS bucket FROM trend WHERE bucket_unit = 'day'",
-    "day_window": "SELECT DISTINCT time_bucket FROM (SELECT axis, bucket_unit, time_bucket "
-    "FROM trend UNION ALL SELECT axis, bucket_unit, time_bucket FROM axis_sentiment), day_anchor "
-    "WHERE bucket_unit = 'day' AND axis = 'KR' AND CAST(time_bucket AS DATE) > "
-    "CAST(bucket AS DATE) - INTERVAL 7 DAY AND CAST(time_bucket AS DATE) <= CAST(bucket AS DATE)",
-    "cur": "SELECT *, row_number() OVER (ORDER BY normalized_share DESC, raw_count DESC, subject)"
-    " AS rank, row_number() OVER (ORDER BY raw_count DESC, subject) AS raw_rank "
-    "FROM subject_window WHERE axis = 'KR' AND range = '7d' AND period = 'current'",
-    "prev": "SELECT subject, normalized_share AS share_before FROM subject_window "
-    "WHERE axis = 'KR' AND range = '7d' AND period = 'previous'",
-    "gridded": "SELECT c.subject, w.time_bucket, coalesce(t.units, 0) AS u FROM cur c "
-    "CROSS JOIN day_window w LEFT JOIN trend t ON t.axis = 'KR' AND t.bucket_unit = 'day' "
-    "AND t.subject = c.subject AND t.time_bucket = w.time_bucket WHERE c.rank <= 8",
-    "lines": "SELECT subject, string_agg(CAST(u AS VARCHAR), ',' ORDER BY time_bucket) AS spark "
-    "FROM gridded GROUP BY subject",
+_STARTS = {
+    "hour": "strptime({}, '%Y-%m-%dT%H')",
+    "day": "strptime({}, '%Y-%m-%d')",
+    "week": "strptime({} || '-1', '%G-W%V-%u')",
 }
+
+
+def _dash(axis: str, range_name: str, unit: str, hours: int) -> dict[str, str]:
+    begins, ends = _STARTS[unit].format("time_bucket"), _STARTS[unit].format("bucket")
+    own = f"FROM subject_window WHERE axis = '{axis}' AND range = '{range_name}'"
+    return {
+        "day_anchor": f"SELECT max(time_bucket) AS bucket FROM trend WHERE bucket_unit = '{unit}'",
+        "day_window": "SELECT DISTINCT time_bucket FROM (SELECT axis, bucket_unit, time_bucket "
+        "FROM trend UNION ALL SELECT axis, bucket_unit, time_bucket FROM axis_sentiment), "
+        f"day_anchor WHERE bucket_unit = '{unit}' AND axis = '{axis}' AND {begins} > "
+        f"{ends} - INTERVAL {hours} HOUR AND {begins} <= {ends}",
+        "cur": "SELECT *, row_number() OVER (ORDER BY normalized_share DESC, raw_count DESC, "
+        "subject) AS rank, row_number() OVER (ORDER BY raw_count DESC, subject) AS raw_rank "
+        f"{own} AND period = 'current'",
+        "prev": f"SELECT subject, normalized_share AS share_before {own} AND period = 'previous'",
+        "gridded": "SELECT c.subject, w.time_bucket, coalesce(t.units, 0) AS u FROM cur c "
+        f"CROSS JOIN day_window w LEFT JOIN trend t ON t.axis = '{axis}' "
+        f"AND t.bucket_unit = '{unit}' AND t.subject = c.subject "
+        "AND t.time_bucket = w.time_bucket WHERE c.rank <= 8",
+        "lines": "SELECT subject, string_agg(CAST(u AS VARCHAR), ',' ORDER BY time_bucket) "
+        "AS spark FROM gridded GROUP BY subject",
+    }
+
+
+_DASH = _dash("KR", "7d", "day", 7 * 24)
 _MOVED = (
     "(normalized_share - coalesce(share_before, 0.0::DOUBLE)) * 1000.0::DOUBLE"
 )
@@ -176,6 +189,33 @@ def dashboard_top(spark: SparkSession, sf: str) -> DataFrame:
     return board.top_subjects().withColumn("spark", spark_units())
 
 
+@query(
+    "q1_dashboard_top_all_axes_by_week",
+    "SELECT rank, subject, normalized_share, raw_count, raw_rank, spark, 0.0::DOUBLE AS delta, "
+    "false AS is_new, abs(rank - raw_rank) >= 2 AS rank_shift "
+    "FROM cur JOIN lines USING (subject) WHERE rank <= 8",
+    **_dash("ALL", "30d", "week", 30 * 24),
+)
+def dashboard_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirty days are all there is, so there is no window before to compare with."""
+    board = screens.Dashboard(published(spark, sf), "ALL", "30d", "week")
+    return board.top_subjects().withColumn("spark", spark_units())
+
+
+@query(
+    "q1_dashboard_top_by_hour",
+    "SELECT rank, subject, normalized_share, raw_count, raw_rank, spark, "
+    f"{_signed_round(_MOVED, '10.0::DOUBLE')} AS delta, share_before IS NULL AS is_new, "
+    "abs(rank - raw_rank) >= 2 AS rank_shift "
+    "FROM cur LEFT JOIN prev USING (subject) JOIN lines USING (subject) WHERE rank <= 8",
+    **_dash("GLOBAL", "24h", "hour", 24),
+)
+def dashboard_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """A day is as long as the range, so the screen falls back to hours."""
+    board = screens.Dashboard(published(spark, sf), "GLOBAL", "24h", "day")
+    return board.top_subjects().withColumn("spark", spark_units())
+
+
 @query(
     "p10_dashboard_movers",
     "SELECT subject, " + _signed_round(_MOVED, "10.0::DOUBLE") + " AS delta "
