@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import buckets
 from pressgauge.schemas import DECISION, PARTITION
 from pressgauge.session import staged
+from pressgauge.sources.lake import cycles_of, only_cycles
 
 KEY = ["record_id", "analyzer_version"]
 _PARTS = list(PARTITION)
@@ -29,9 +30,8 @@ def merged_analyses(
     Stored rows whose record is gone from, or moved out of, their partition drop out. Without
     ``coexist`` the touched records also lose their other versions, except ``keep_versions``.
     """
-    touched = rows.select(*_PARTS).distinct()
     kept = (
-        stored.join(touched, _PARTS, "left_semi")
+        only_cycles(stored, cycles_of(rows))
         .join(located.select(*_HOME).distinct(), _HOME, "left_semi")
         .join(rows.select(*KEY), KEY, "left_anti")
     )
@@ -53,13 +53,16 @@ def store_analyses(
     coexist: bool = True,
     keep_versions: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Write ``rows`` into Silver; returns one row with the written and pruned counts."""
+    """Write ``rows`` into Silver; returns one row with the written and pruned counts.
+
+    ``located`` needs to hold the observations of the cycles ``rows`` belong to, no others.
+    """
     stored = lake.read_cycles("silver", "analysis")
     placed = staged(rows.join(located.select(*_HOME).distinct(), "record_id"), "analyses")
     merged = staged(
         merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
     )
-    before = stored.join(placed.select(*_PARTS).distinct(), _PARTS, "left_semi")
+    before = only_cycles(stored, cycles_of(placed))
     lost = staged(before.join(merged.select(*KEY, *_PARTS), [*KEY, *_PARTS], "left_anti"), "pruned")
     lake.write_cycles("silver", "analysis", merged.sortWithinPartitions(*_PARTS, *KEY))
     pruned = lost.agg(F.count("*").alias("pruned"))
@@ -78,7 +81,7 @@ def prune_orphans(lake, located: DataFrame) -> None:
     stored = lake.read_cycles("silver", "analysis")
     dirty = staged(orphans(stored, located).select(*_PARTS).distinct(), "dirty-cycles")
     kept = staged(
-        stored.join(dirty, _PARTS, "left_semi").join(
+        only_cycles(stored, cycles_of(dirty)).join(
             located.select(*_HOME).distinct(), _HOME, "left_semi"
         ),
         "kept-analyses",

@@ -22,7 +22,7 @@ from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, PARTITION
 from pressgauge.session import staged
-from pressgauge.sources.lake import with_cycle
+from pressgauge.sources.lake import cycles_of, only_cycles, with_cycle
 
 Completer = Callable[[str, str], str]
 
@@ -387,11 +387,11 @@ def waiting_records(lake, version: str, wanted: Scope) -> DataFrame:
             retry,
             version,
         )
-        parts = list(PARTITION)
         changed = with_cycle(signatures).join(
             settled.select("collection_cycle"), "collection_cycle", "left_anti"
         )
-        items = items.join(changed.select(*parts), parts, "left_semi")
+        items = only_cycles(items, cycles_of(changed))
+        silver = only_cycles(silver, cycles_of(changed))
     chosen = scope.in_scope(items, wanted.axis, wanted.source, wanted.since)
     todo = versions.pending(chosen, silver, retry, version)
     return scope.sample(todo, wanted.sample, wanted.sample_mode, f"{version}|{wanted.since}")
@@ -417,7 +417,7 @@ def label_lake(
     todo = staged(waiting_records(lake, version, wanted), "waiting")
     bodies = lake.read_objects("bronze", "news_body", "body_hash").drop("body_hash_prefix")
     items = todo.drop(*PARTITION)
-    located = lake.read_cycles("bronze", "news_item")
+    located = only_cycles(lake.read_cycles("bronze", "news_item"), cycles_of(todo))
     if completer is None:
         rows = keyword_labels(items, bodies, version, run_id)
         failed = items.select("record_id").limit(0)
@@ -458,10 +458,7 @@ def label_lake(
 
 def _keep_in_step(lake, todo: DataFrame, failed: DataFrame, version: str, whole: bool) -> None:
     analyzed = todo.select("record_id")
-    visited = todo.select("collection_cycle").distinct()
-    present = lake.read_cycles("bronze", "news_item").join(
-        visited, "collection_cycle", "left_semi"
-    )
+    present = only_cycles(lake.read_cycles("bronze", "news_item"), cycles_of(todo))
     retry = versions.updated_retries(
         lake.read_records("silver", "analysis_retry"),
         present.select("record_id", "collection_cycle"),

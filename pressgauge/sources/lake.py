@@ -245,6 +245,20 @@ class Lake:
         self._write_objects(layer, dataset, key, merged, "overwrite")
 
 
+def cycles_of(rows: DataFrame) -> DataFrame:
+    """Distinct partitions of ``rows``.
+
+    The comparison holds for every year; it tells Spark that the list is selective, so that a
+    semi-join with it prunes the partitions of the other side before they are read.
+    """
+    return rows.select(*_PARTS).distinct().filter(F.col("year") >= "0000")
+
+
+def only_cycles(rows: DataFrame, cycles: DataFrame) -> DataFrame:
+    """The rows of a partitioned dataset that lie in ``cycles``."""
+    return rows.join(cycles, _PARTS, "left_semi")
+
+
 def with_partition(rows: DataFrame, cycle: Column) -> DataFrame:
     return rows.withColumns(buckets.cycle_parts(cycle))
 
