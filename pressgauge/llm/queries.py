@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, wordpiece
+from pressgauge.llm import bpe, common, langid, quality, simhash, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -25,11 +25,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = common.is_remainder(F.col("doc_id"), 4, 2)
+    model = quality.train(docs.where(~held), common.table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted")
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = common.is_remainder(F.col("doc_id"), 5, 0)
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpiece.token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op8_token_counts": op8_token_counts}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op7_language": op7_language,
+    "op8_token_counts": op8_token_counts,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLE: dict[str, str] = {}
