@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, langid, quality, simhash, wordpiece
+from pressgauge.llm import bpe, common, langid, quality, simhash, warc, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -51,12 +51,31 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.decided(common.table(spark, sf_dir, "pages"))
+    return warc.read_packages(warc.write_packages(records, warc.packages_folder(spark)))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest)
+                      ELSE page_id END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
