@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, langid, quality, simhash, warc, wordpiece
+from pressgauge.llm import bpe, common, langid, lattice, quality, simhash, warc, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -14,6 +14,16 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = ~common.is_remainder(F.col("doc_id"), 10, 0)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", learn.alias("learn"))
+    model = lattice.train(docs, "learn", vocabulary("piece_bpe_32k.model"))
+    return lattice.score(docs, model).select(
+        "doc_id", common.is_remainder(F.col("doc_id"), 10, 0).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     coded = bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -57,6 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op7_language": op7_language,
