@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, langid, lattice, quality, simhash, warc, wordpiece
+from pressgauge.llm import bpe, common, decontaminate, langid, lattice, quality, simhash, sketches, warc, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -44,6 +44,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = sketches.with_next(sketches.with_sketch(docs, "text", "sketch"), "doc_id", "text", ["sketch"])
+    quarter = "cast(n_chars div 4 as int)"
+    edited = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
+        "edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {quarter}), substring(next_text, 1, {quarter}))")
+    )
+    return sketches.with_sketch(edited, "edited", "edited_sketch").selectExpr(
+        "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256",
+        f"{sketches.fingerprint('sketch')} AS fingerprint", f"{sketches.fingerprint('edited_sketch')} AS edited_fingerprint",
+        f"{sketches.resemblance('sketch', 'edited_sketch')} AS near_edited", f"{sketches.resemblance('sketch', 'next_sketch')} AS near_next",
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = common.is_remainder(F.col("doc_id"), 5, 0)
@@ -70,6 +88,8 @@ QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_sketches": op6_sketches,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
