@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, decontaminate, langid, lattice, quality, simhash, sketches, warc, wordpiece
+from pressgauge.llm import bpe, common, decontaminate, langid, lattice, quality, repeats, simhash, sketches, warc, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -24,17 +24,22 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    coded = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
     return bpe.decode(coded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(common.table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held = common.is_remainder(F.col("doc_id"), 4, 2)
@@ -48,6 +53,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = sketches.with_next(sketches.with_sketch(docs, "text", "sketch"), "doc_id", "text", ["sketch"])
@@ -71,7 +83,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
-    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,16 +96,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_packages(warc.write_packages(records, warc.packages_folder(spark)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_repeats": op5_repeats,
     "op6_sketches": op6_sketches,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pressgauge.llm.common import LOWER, UPPER, prepared, written
 from pressgauge.llm.components import components
@@ -265,13 +266,14 @@ def near_links(distinct: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, budget: int = 3) -> DataFrame:
-    """(doc_id, fingerprint long, component_id, n_links long) of every row.
+    """(doc_id, tie, fingerprint, component_id, n_links, component: all long) of every row.
 
+    tie: a hash of the text; component: a number that all rows of a component have, null ids or not;
     n_links: other rows whose fingerprint differs in ``budget`` bits at most.
     """
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     prints = written(
-        fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", size).select("doc_id", "fingerprint"),
-        "fingerprints",
+        fingerprints(rows, "__text", size).select("doc_id", F.xxhash64("__text").alias("tie"), "fingerprint"), "fingerprints"
     )
     distinct = written(
         prints.groupBy(F.col("fingerprint").alias("__print")).agg(F.count("*").alias("__weight"), F.min("doc_id").alias("least")),
@@ -284,6 +286,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(least, "root").join(near, "__print", "left").select(
         F.col("__print").alias("fingerprint"), "component_id",
-        (F.coalesce("near", F.lit(0)) + F.col("__weight") - 1).alias("n_links"),
+        (F.coalesce("near", F.lit(0)) + F.col("__weight") - 1).alias("n_links"), F.col("root").alias("component"),
+    )
+    return prints.join(named, "fingerprint").select("doc_id", "tie", "fingerprint", "component_id", "n_links", "component")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, budget: int = 3) -> DataFrame:
+    """One row of each component: that with the least id, of equal ids that with the least text hash.
+
+    A row that is repeated in id and text stays once, with the least values in its other columns.
+    """
+    found = near_duplicates(df, doc_id, text, size, budget)
+    # ranked by component, cut to one row in each task before the shuffle
+    order = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "tie")
+    kept = found.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(
+        F.col("doc_id").alias("__kept_id"), F.col("tie").alias("__kept_tie")
+    )
+    rows = df.withColumns({"__id": F.col(doc_id), "__tie": F.xxhash64(F.col(text))})
+    same = Window.partitionBy("__id", "__tie").orderBy(*(F.col(c) for c in df.columns))
+    return (
+        rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__tie") == F.col("__kept_tie")), "left_semi")
+        .withColumn("__place", F.row_number().over(same)).where("__place = 1").select(*df.columns)
     )
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "n_links")
