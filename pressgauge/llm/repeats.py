@@ -11,12 +11,14 @@ id. Strings lie within one document; overlapping ones count; all are judged on t
 2. Equal segments become one, with the least id that has it. In all other documents such a segment is
    removed as a whole. A name with more than CROWD segments is dealt anew string by string, each under
    its own hash, so that no name's segments must meet in one place.
-3. Suffix sorting. Segments are dealt out by name; each task joins its segments into texts (SHARD bytes
-   or one name's segments) and sorts all suffixes with common prefixes (``induced``). Neighbours with
-   a common prefix of LENGTH bytes are equal strings; the least id among them decides for each.
+3. Suffix sorting. Segments are dealt out by name. Those without a string whose hash another one has
+   are left. Each task joins the others into texts (SHARD bytes or one name's segments) and sorts all
+   suffixes with common prefixes (``induced``). Neighbours with a common prefix of LENGTH bytes are
+   equal strings; the least id among them decides for each.
 4. The removed starts go back to their documents by the segment, and documents drop the bytes.
 
-The names of candidates are sent to all tasks if there are at most SENT; if more, they join.
+Names of candidates go to all tasks as a bit table if there are at most SENT, some 32 MB; a name that
+is there by chance costs a little work. If there are more, names join, and only then bytes are cut.
 
 A null text is empty. Rows that repeat an id don't remove from each other, and each is cleared by
 smaller ids. Rows with a null id neither remove nor lose anything. An empty table gives none.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,28 +42,72 @@ LENGTH, RUN = 50, 16
 #: Strings in a segment at most: the starts that are removed are the bits of one number.
 STRINGS = 32
 CROWD = 200_000
-#: Names of candidates that are sent to all tasks at most, 8 bytes each.
-SENT = 4_000_000
-#: Bytes that are sorted together; names that a task holds before it hands them on.
-SHARD, HELD = 4 << 20, 1 << 21
+#: Names that are sent to all tasks at most, as a table of BITS (a power of two) at most.
+SENT, BITS = 16_000_000, 28
+#: Bytes that are dealt with together; names that a task holds before it hands them on.
+SHARD, HELD = 8 << 20, 1 << 21
 
 _ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
+def hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Of all runs of ``width`` bytes, put together from runs of powers of two."""
+    part, size, factor = _ODD[data], 1, int(_MIX[0])
+    out, done = None, 0
+    while True:
+        if width & size:
+            if out is None:
+                out = part
+            else:
+                n = len(data) - done - size + 1
+                out = out[:n] * np.uint64(factor) + part[done : done + n]
+            done += size
+        if 2 * size > width:
+            break
+        part = part[:-size] * np.uint64(factor) + part[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    out = out ^ (out >> np.uint64(29))
+    out *= _MIX[1]
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _bit(values: np.ndarray, size: int) -> np.ndarray:
+    return ((values.view(np.uint64) * _MIX[0]) >> np.uint64(64 - size)).astype(np.int64)
+
+
+def bit_table(values: DataFrame, column: str) -> np.ndarray | None:
+    """A table with a bit for each long in the column, nothing if there are more than SENT."""
+    count = values.count()
+    if count > SENT:
+        return None
+    size = min(BITS, max(10, (count * 32).bit_length()))
+
+    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_bit(b.column(0).to_numpy(), size).astype(np.int32) for b in batches(rows)]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["places"])
+
+    table = np.zeros((1 << size) // 8, np.uint8)
+    for row in values.select(column).mapInArrow(packed, "places binary").toLocalIterator():  # SENT places at most
+        at = np.frombuffer(row.places, np.int32)
+        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return table
+
+
+def _marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _bit(values, (len(table) * 8).bit_length() - 1)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def segments(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start in data, strings, name) of each segment of each text, in order."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64)
-    hashed, width, factor = _ODD[data], 1, int(_MIX[0])
-    while width < RUN:
-        hashed = hashed[:-width] * np.uint64(factor) + hashed[width:]
-        width, factor = 2 * width, factor * factor % (1 << 64)
-    hashed ^= hashed >> np.uint64(29)
-    hashed *= _MIX[1]
-    hashed ^= hashed >> np.uint64(32)
+    hashed = hashes(data, RUN)
     many, step = length - RUN + 1, 1
     least = hashed
     while 2 * step <= many:
@@ -131,29 +178,62 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _cut(found)
 
 
-_SEGMENT = "doc_id bigint, tie bigint, start int, strings int, name bigint, segment binary"
+_SEGMENT = "doc_id bigint, tie bigint, start int, strings int, name bigint"
 
 
-def _segments_of(rows: Iterator[pa.RecordBatch], wanted: np.ndarray | None, length: int) -> Iterator[pa.RecordBatch]:
-    """Segments of (doc_id, tie, text), of ``wanted`` names (sorted) if given."""
+def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, length: int) -> Iterator[pa.RecordBatch]:
+    """Segments of (doc_id, tie, text). With a bit table those of its names, with their bytes."""
     for batch in batches(rows):
         offsets, data = text_buffers(batch.column(2))
         text, at, strings, name = segments(offsets, data, length)
-        signed = name.view(np.int64)
-        if wanted is not None and len(name):
-            place = np.minimum(np.searchsorted(wanted, signed), max(0, len(wanted) - 1))
-            keep = np.flatnonzero(wanted[place] == signed) if len(wanted) else np.zeros(0, np.int64)
-            text, at, strings, signed = text[keep], at[keep], strings[keep], signed[keep]
+        if table is not None:
+            keep = np.flatnonzero(_marked(table, name))
+            text, at, strings, name = text[keep], at[keep], strings[keep], name[keep]
         if not len(text):
             continue
-        sizes = strings + length - 1
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids, ties = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[text] for i in (0, 1))
-        whole = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, sizes)])])
-        yield from _cut(pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(ties), pa.array((at - offsets[text]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(signed), whole],
-            ["doc_id", "tie", "start", "strings", "name", "segment"],
-        ), 8192)
+        columns = [pa.array(ids), pa.array(ties), pa.array((at - offsets[text]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(name.view(np.int64))]
+        names = ["doc_id", "tie", "start", "strings", "name"]
+        if table is not None:
+            sizes = strings + length - 1
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            columns.append(pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, sizes)])]))
+            names.append("segment")
+        yield from _cut(pa.RecordBatch.from_arrays(columns, names), 8192)
+
+
+def _candidates(rows: DataFrame, names: DataFrame, length: int) -> DataFrame:
+    """(doc_id, tie, start, strings, name, segment) of the segments with one of the names."""
+    table = bit_table(names, "name")
+    if table is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most
+        return rows.mapInArrow(lambda r: _segments_of(r, sent.value, length), _SEGMENT + ", segment binary")
+    found = rows.mapInArrow(lambda r: _segments_of(r, None, length), _SEGMENT).join(names, "name", "left_semi")
+    listed = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "strings", "name")).alias("s"))  # a document's own
+    cut = rows.join(listed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select(
+        "doc_id", "tie", F.expr(f"explode(transform(s, x -> struct(x.start, x.strings, x.name, substring(encode(text, 'utf-8'), x.start + 1, x.strings + {length - 1}) AS segment))) AS x"),
+    )
+    return written(cut.select("doc_id", "tie", "x.*"), "segments")
+
+
+def _distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, segment, least, most id) of (name, segment, doc_id): each segment once for some SHARD
+    bytes of a task, so one that most documents share is few rows."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(["name", "segment"], use_threads=False).aggregate([("doc_id", "min"), ("doc_id", "max")])
+        table = table.select(["name", "segment", "doc_id_min", "doc_id_max"]).rename_columns(["name", "segment", "least", "most"])
+        yield from table.combine_chunks().to_batches(max_chunksize=8192)
+
+    for batch in batches(rows):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= 4 * SHARD:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
 
 
 def earlier(parts: list[bytes], owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -196,21 +276,39 @@ def earlier(parts: list[bytes], owner: np.ndarray, length: int = LENGTH) -> np.n
     return out
 
 
+def _met(parts: pa.ChunkedArray, length: int) -> np.ndarray:
+    """The parts that have a string whose hash another part has too."""
+    offsets, data = text_buffers(parts.combine_chunks())
+    counts = np.diff(offsets) - length + 1
+    part = np.repeat(np.arange(len(counts)), counts)
+    string = hashes(data, length)[spans(offsets[:-1], counts)]
+    order = np.argsort(string, kind="stable")  # the parts of equal hashes stay in order
+    string, part = string[order], part[order]
+    start = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
+    end = np.append(start[1:], len(string))
+    several = np.repeat(part[start] != part[end - 1], end - start)
+    return np.unique(part[several])
+
+
 def _sorted_shards(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(name, segment's hash, least id, bits) from (name, segment, hash, least), rows ordered by name."""
+    """(name, segment's hash, least id, bits) from (name, segment, least, most), rows ordered by
+    name: of the segments that remove anything."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.group_by(["name", "segment"], use_threads=False).aggregate([("least", "min"), ("most", "max")])
+        table = table.rename_columns([c.removesuffix("_min").removesuffix("_max") for c in table.column_names])
         least = table.column("least").to_numpy()
-        name = table.column("name").to_numpy()
-        bits = np.zeros(len(name), np.int64)
-        change = name[1:] != name[:-1]
-        single = np.concatenate([[True], change]) & np.concatenate([change, [True]])
-        several = np.flatnonzero(~single)  # the only segment of its name has nothing to be compared with
-        if len(several):
-            bits[several] = earlier(table.column("segment").take(several).to_pylist(), least[several], length)
-        found = table.select(["name", "hash", "least"]).append_column("bits", pa.array(bits))
+        bits = np.zeros(len(least), np.int64)
+        wanted = _met(table.column("segment"), length)
+        if len(wanted):
+            bits[wanted] = earlier(table.column("segment").take(wanted).to_pylist(), least[wanted], length)
+        some = (bits != 0) | (table.column("most").to_numpy() > least)  # the others remove nothing
+        found = table.append_column("bits", pa.array(bits)).filter(pa.array(some))
+        hashed = [xxhash.xxh64_intdigest(x, 42) for x in found.column("segment").to_pylist()]
+        hashed = pa.array(np.array(hashed, np.uint64).view(np.int64))
+        found = found.append_column("hash", hashed).select(["name", "hash", "least", "bits"])
         yield from (b for part in found.to_batches() for b in _cut(part))
 
     for batch in batches(rows):
@@ -239,14 +337,8 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .repartition("name").mapInArrow(_shared, "name bigint, times bigint"),
         "shared-names",
     )
-    count, crowded = names.agg(F.count("*"), F.expr(f"count_if(times > {CROWD})")).first()
-    if count <= SENT:
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r.name for r in names.select("name").toLocalIterator()], np.int64)))
-        found = rows.mapInArrow(lambda r: _segments_of(r, sent.value, length), _SEGMENT)
-    else:
-        found = rows.mapInArrow(lambda r: _segments_of(r, None, length), _SEGMENT).join(names, "name", "left_semi").select(
-            "doc_id", "tie", "start", "strings", "name", "segment"
-        )
+    crowded = names.where(f"times > {CROWD}").count()
+    found = _candidates(rows, names, length)
     if crowded:
         many = names.where(f"times > {CROWD}").select("name", F.lit(True).alias("crowd"))
         found = found.join(many, "name", "left")
@@ -255,14 +347,14 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             F.expr(f"substring(segment, i + 1, {length})").alias("segment"),
         ).withColumn("name", F.xxhash64("segment"))
         found = found.where("crowd is null").drop("crowd").unionByName(single)
-    found = written(found.withColumn("hash", F.xxhash64("segment")), "segments")
-    distinct = found.groupBy("name", "segment").agg(F.min("doc_id").alias("least")).withColumn("hash", F.xxhash64("segment"))
     judged = (
-        distinct.select("name", "segment", "hash", "least").repartition("name").sortWithinPartitions("name")
+        found.select("name", "segment", "doc_id").mapInArrow(_distinct, "name bigint, segment binary, least bigint, most bigint")
+        .repartition("name").sortWithinPartitions("name")
         .mapInArrow(lambda r: _sorted_shards(r, length), "name bigint, hash bigint, least bigint, bits bigint")
     )
     judged = written(judged, "judged-segments")
-    marks = found.select("name", "hash", "doc_id", "tie", "start", "strings").join(judged, ["name", "hash"]).withColumn(
+    places = found.select("name", F.xxhash64("segment").alias("hash"), "doc_id", "tie", "start", "strings")
+    marks = places.join(judged, ["name", "hash"]).withColumn(
         "bits", F.expr("CASE WHEN doc_id > least THEN shiftleft(1L, strings) - 1 ELSE bits END")
     ).where("bits <> 0")
     return marks.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "bits")).alias("starts"))  # a document's own
