@@ -68,6 +68,30 @@ def merged_runs(stages: DataFrame) -> DataFrame:
     )
 
 
+def run_records(states: DataFrame) -> DataFrame:
+    """The record of each run from the states of its stages.
+
+    Of a stage the state noted last counts, so a retry replaces what came before. A run is failed if
+    a stage failed, else running while one does; only a run that is over has an end.
+    """
+    last = first_by(states, ["run_id", "stage_name"], [F.col("noted_at").desc(), F.col("attempt").desc()])
+    stage = F.struct(*(c for c in states.columns if c not in ("run_id", "run_trigger", "attempt", "noted_at")))
+    began = states.groupBy("run_id").agg(
+        F.min_by("run_trigger", "noted_at").alias("run_trigger"), F.min("stage_started_at").alias("run_started_at")
+    )
+    order = F.array_sort(F.collect_list(F.struct("noted_at", stage.alias("stage"))))  # a run has few stages
+    ended = last.groupBy("run_id").agg(
+        F.bool_or(F.col("stage_status") == "failed").alias("failed"),
+        F.bool_or(F.col("stage_status") == "running").alias("running"),
+        F.max("stage_ended_at").alias("ended"), order.alias("ordered"),
+    )
+    status = F.when(F.col("failed"), "failed").when(F.col("running"), "running").otherwise("succeeded")
+    return began.join(ended, "run_id").select(
+        "run_id", "run_trigger", "run_started_at", F.when(~F.col("running"), F.col("ended")).alias("run_ended_at"),
+        status.alias("run_status"), F.transform("ordered", lambda s: s["stage"]).alias("stages"),
+    )
+
+
 def serving_outcomes(silver: DataFrame, served: DataFrame) -> DataFrame:
     """How many analyses are served, and how many a newer or chosen version supersedes."""
     total = silver.agg(F.count("*").alias("rows")).scalar()

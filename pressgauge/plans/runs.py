@@ -1,93 +1,73 @@
-"""The run log: one record per run in the lake, its stages inside."""
+"""The run log: every state of every stage is a row that is only added; runs are rolled up from these.
+
+A stage adds a row when it begins, so a driver that dies leaves a trace, and one when it ends. What a
+run looks like is a question over the rows (``operators.runlog.run_records``); its answer is kept as
+the run's record.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.operators.runlog import NOT_REACHED
-from pressgauge.schemas import PIPELINE_RUN
-
+from pressgauge.operators import runlog
+from pressgauge.schemas import STAGE_STATE
+from pressgauge.sources.lake import Lake
 
-def now() -> str:
-    return datetime.now(UTC).replace(microsecond=0).isoformat()
+_COUNTED = "outcome_name string, outcome_count bigint"
 
 
-@dataclass
-class Stage:
-    """What a stage reports about itself: outcome counts must partition its input."""
+class RunningStage:
+    """``with RunningStage(lake, run, name) as stage``: set counts, ``book`` outcomes.
 
-    name: str
-    started_at: str = field(default_factory=now)
-    input_count: int = 0
-    output_count: int = 0
-    outcomes: dict[str, int] = field(default_factory=dict)
-    source_failures: dict[str, str] = field(default_factory=dict)
-    failure_reason: str | None = None
+    Outcomes must add up to ``inputs``; a stage that fails books the rest as not reached.
+    """
 
-    def book(self, counts: DataFrame) -> None:
-        """Add a frame of (outcome_name, outcome_count): one row per outcome, a handful."""
-        for row in counts.collect():
-            name, n = row["outcome_name"], row["outcome_count"]
-            self.outcomes[name] = self.outcomes.get(name, 0) + n
+    def __init__(self, lake: Lake, run_id: str, name: str, trigger: str = "scheduled") -> None:
+        self.lake, self.run_id, self.name, self.trigger = lake, run_id, name, trigger
+        self.attempt = uuid.uuid4().hex
+        self.inputs = self.outputs = 0
+        self.failure: str | None = None
+        self.sources: dict[str, str] = {}
+        self._booked = lake.spark.createDataFrame([], _COUNTED)
 
-    def record(self, duration_ms: int) -> tuple:
-        failed = self.failure_reason is not None
-        short = self.input_count - sum(self.outcomes.values())
-        if short < 0 or (short > 0 and not failed):
-            raise ValueError(
-                f"stage {self.name} booked {self.input_count - short} of {self.input_count} inputs"
-            )
-        outcomes = [*self.outcomes.items()] + ([(NOT_REACHED, short)] if short else [])
-        return (
-            self.name, "failed" if failed else "succeeded", self.started_at, now(), duration_ms,
-            self.input_count, self.output_count, outcomes, self.failure_reason,
-            list(self.source_failures.items()),
-        )
+    def book(self, counts: DataFrame | dict[str, int]) -> None:
+        """Add counted outcomes: a frame of (outcome_name, outcome_count), or a mapping."""
+        if isinstance(counts, dict):
+            counts = self.lake.spark.createDataFrame(list(counts.items()), _COUNTED)
+        self._booked = self._booked.unionByName(counts.select("outcome_name", "outcome_count"))
 
+    def __enter__(self) -> "RunningStage":
+        self.began, self._clock = datetime.now(UTC), time.monotonic()
+        self._add("running", None, [])
+        return self
 
-def record_stage(lake, run_id: str, trigger: str, stage: tuple) -> None:
-    """Put a stage into its run; a retry of the stage replaces its earlier record."""
-    fresh = lake.spark.createDataFrame(
-        [(run_id, trigger, stage[2], stage[3], stage[1], [stage])], PIPELINE_RUN
-    )
-    earlier = lake.get_object("silver", "pipeline_run", "run_id", run_id).select(
-        "run_id", F.col("run_started_at").alias("first_start"),
-        F.col("run_trigger").alias("first_trigger"), F.col("stages").alias("earlier"),
-    )
-    kept = F.filter(
-        F.coalesce("earlier", F.array().cast(fresh.schema["stages"].dataType)),
-        lambda s: s["stage_name"] != stage[0],
-    )
-    merged = fresh.join(earlier, "run_id", "left").withColumn("stages", F.concat(kept, "stages"))
-    ends = F.transform("stages", lambda s: s["stage_ended_at"])
-    failed = F.exists("stages", lambda s: s["stage_status"] == "failed")
-    row = merged.select(
-        "run_id",
-        F.coalesce("first_trigger", "run_trigger").alias("run_trigger"),
-        F.coalesce("first_start", "run_started_at").alias("run_started_at"),
-        F.array_max(ends).alias("run_ended_at"),
-        F.when(failed, "failed").otherwise("succeeded").alias("run_status"),
-        "stages",
-    )
-    lake.upsert_objects("silver", "pipeline_run", "run_id", row, [F.col("run_ended_at").desc()])
+    def __exit__(self, kind, error, trace) -> None:
+        if error is not None and self.failure is None:
+            self.failure = f"{kind.__name__}: {error}"
+        status = "succeeded" if self.failure is None else "failed"
+        self._add(status, datetime.now(UTC), self._outcomes(status == "failed"))
 
+    def _outcomes(self, failed: bool) -> list[tuple[str, int]]:
+        """The booked counts, with what was not reached; raises if they don't fit the input."""
+        spark, keys = self.lake.spark, ["run_id", "stage_name"]
+        place = {"run_id": F.lit(self.run_id), "stage_name": F.lit(self.name)}
+        booked = self._booked.groupBy("outcome_name").agg(F.sum("outcome_count").alias("outcome_count")).withColumns(place)
+        got = spark.range(1).select(F.lit(self.inputs).cast("long").alias("input_count"), F.lit(failed).alias("failed")).withColumns(place)
+        whole = runlog.stage_outcomes(booked, got, keys).orderBy("outcome_name")
+        return [(r.outcome_name, r.outcome_count) for r in whole.collect()]  # a handful of names
 
-@contextmanager
-def run_stage(lake, run_id: str, name: str, trigger: str = "scheduled") -> Iterator[Stage]:
-    """Record a stage on the way out, whatever happened in it."""
-    stage, started = Stage(name), time.monotonic()
-    try:
-        yield stage
-    except BaseException as exc:
-        stage.failure_reason = stage.failure_reason or f"{type(exc).__name__}: {exc}"
-        raise
-    finally:
-        took = int((time.monotonic() - started) * 1000)
-        record_stage(lake, run_id, trigger, stage.record(took))
+    def _add(self, status: str, ended: datetime | None, outcomes: list) -> None:
+        text = lambda at: at and at.isoformat(timespec="seconds")
+        state = (
+            self.run_id, self.trigger, self.attempt, datetime.now(UTC).isoformat(timespec="microseconds"), self.name, status,
+            text(self.began), text(ended), int((time.monotonic() - self._clock) * 1000), self.inputs, self.outputs, outcomes,
+            self.failure, list(self.sources.items()),
+        )
+        self.lake.append_log("silver", "stage_state", self.lake.spark.createDataFrame([state], STAGE_STATE))
+        mine = self.lake.read_log("silver", "stage_state").where(F.col("run_id") == self.run_id)
+        self.lake.upsert_objects("silver", "pipeline_run", "run_id", runlog.run_records(mine), [F.col("run_ended_at").desc()])

@@ -32,6 +32,13 @@ STAGE = (
     "failure_reason:string, "
     "source_failures:array<struct<source_id:string, source_failure_reason:string>>>"
 )
+STAGE_STATE = (
+    "run_id string, run_trigger string, attempt string, noted_at string, "
+    "stage_name string, stage_status string, stage_started_at string, stage_ended_at string, "
+    "duration_ms bigint, input_count bigint, output_count bigint, "
+    "outcomes array<struct<outcome_name:string, outcome_count:bigint>>, failure_reason string, "
+    "source_failures array<struct<source_id:string, source_failure_reason:string>>"
+)
 PIPELINE_RUN = (
     "run_id string, run_trigger string, run_started_at string, run_ended_at string, "
     f"run_status string, stages array<{STAGE}>"
@@ -76,12 +83,21 @@ SUBJECT_WINDOW = f"subject string, axis string, {WINDOW}, raw_count bigint, norm
 AXIS_WINDOW = f"axis string, {WINDOW}, collected bigint, analyzed_total bigint"
 
 #: (layer, dataset) -> schema
+RECORD_LATEST = (
+    "record_id string, versions bigint, analyzed_at string, analysis_status string, sentiment string, "
+    "confidence double, analyzer_version string, run_id string, call_id string, no_call_reason string, "
+    "exchange_state string, call_outcome string, title string, source_id string, collected_at string"
+)
+BODY_SHARE = "body_hash string, shares bigint"
+RUN_CALL = "run_id string, call_outcome string, calls bigint"
+
 DATASETS = {
     ("bronze", "news_item"): NEWS_ITEM,
     ("bronze", "news_body"): NEWS_BODY,
     ("silver", "analysis"): ANALYSIS,
     ("silver", "llm_call"): MODEL_CALL,
     ("silver", "pipeline_run"): PIPELINE_RUN,
+    ("silver", "stage_state"): STAGE_STATE,
     ("silver", "reprocess_decision"): DECISION,
     ("silver", "analysis_cache"): REPLY_CACHE,
     ("silver", "analysis_retry"): RETRY,
@@ -91,5 +107,8 @@ DATASETS = {
     ("gold", "subject_source_contribution"): SOURCE_CONTRIBUTION,
     ("gold", "axis_sentiment"): AXIS_SENTIMENT,
     ("gold", "subject_window"): SUBJECT_WINDOW,
+    ("index", "record_latest"): RECORD_LATEST,
+    ("index", "body_share"): BODY_SHARE,
+    ("index", "run_call"): RUN_CALL,
     ("gold", "axis_window"): AXIS_WINDOW,
 }
