@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from pressgauge.operators import contributions, picks, shares, tone, versions
 from pressgauge.operators.picks import BUCKET_KEYS, WINDOW_KEYS
-from pressgauge.session import staged
+from pressgauge.session import scratch_scope, staged
 
 
 def labelled_observations(
@@ -79,7 +79,8 @@ def aggregate_lake(lake, decision: tuple[str, str, str] | None = None) -> Gold:
     pointed = versions.serving_version(lake.read_records("silver", "reprocess_decision"))
     bronze = lake.read_cycles("bronze", "news_item")
     silver = lake.read_cycles("silver", "analysis")
-    return publish(lake, aggregate(bronze, silver, pointed))
+    with scratch_scope(lake.spark):
+        return publish(lake, aggregate(bronze, silver, pointed))
 
 
 def read(lake) -> Gold:

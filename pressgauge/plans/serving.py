@@ -20,16 +20,17 @@ def serving_tables(
     }
 
 
-def publish(root: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Write each table below ``root``; ``record_latest`` in the order its list is read."""
-    out = {}
-    for name, rows in tables.items():
-        ordered = (
-            rows.sortWithinPartitions(F.col("analyzed_at").desc(), "record_id")
-            if name == "record_latest"
-            else rows
-        )
-        path = f"{root}/index/{name}"
-        ordered.write.mode("overwrite").parquet(path)
-        out[name] = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    return out
+def publish(lake, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write each table as a snapshot, so readers never see half of one; ``record_latest`` in the
+    order its list is read."""
+    ordered = dict(tables)
+    ordered["record_latest"] = tables["record_latest"].sortWithinPartitions(F.col("analyzed_at").desc(), "record_id")
+    return {name: lake.write_records("index", name, rows) for name, rows in ordered.items()}
+
+
+def serve_lake(lake) -> dict[str, DataFrame]:
+    """The whole job on a lake: read it, derive the three tables, write them."""
+    items = lake.read_cycles("bronze", "news_item")
+    silver = lake.read_cycles("silver", "analysis")
+    calls = lake.read_objects("silver", "llm_call", "call_id").drop("call_id_prefix")
+    return publish(lake, serving_tables(silver, items, calls))

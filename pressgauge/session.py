@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,8 @@ SESSION_CONF = {
 }
 
 
+#: Paths given out within the open scopes.
+_SCOPES: list[list[str]] = []
 #: Application -> its folder, used only where the session names no shared one.
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -50,16 +55,40 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a session that names none (a local test) falls back to a machine folder.
+    A session on one machine may name none and gets a folder there. On a cluster that would put each
+    executor's part on its own disk, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _LOCAL_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="pressgauge-")
         _LOCAL_SCRATCH[app] = root
-    return f"{root.rstrip('/')}/pressgauge/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/pressgauge/{name}-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged within, at the end. For jobs that have written their results by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            remove(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

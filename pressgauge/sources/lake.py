@@ -1,10 +1,12 @@
-"""The lake: datasets addressed by layer and name, in three layouts.
+"""The lake: datasets addressed by layer and name, in four layouts.
 
 * record datasets are replaced whole: each write is a new snapshot folder, readers take the
   newest committed one, so nobody reads a half-written table;
 * partitioned datasets hold one ``year=/month=/day=/hour=`` partition per collection cycle and
   are rewritten partition by partition;
-* object datasets are keyed rows, laid out by the first character of the key.
+* object datasets are keyed rows, laid out by the first digit of the key's hash, so that keys which
+  all begin alike still spread over the prefixes;
+* logs are rows that are only added.
 
 Tables are Parquet. Lakes kept as JSON lines in the same folder layout are read and written
 with ``fmt="json"``.
@@ -12,6 +14,7 @@ with ``fmt="json"``.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import UTC, datetime
 
@@ -21,9 +24,15 @@ from pyspark.sql import functions as F
 from pressgauge.functions import buckets
 from pressgauge.operators.picks import first_by
 from pressgauge.schemas import DATASETS, PARTITION, PARTITION_DDL
-from pressgauge.session import configure, staged
+from pressgauge.session import configure, remove, staged
 
 _PARTS = list(PARTITION)
+#: Snapshots of a record dataset that stay after a write; readers may still be at the older ones.
+KEPT = 3
+
+
+def prefix_of(key: str | Column) -> Column:
+    return F.substring(F.sha2(F.col(key) if isinstance(key, str) else key, 256), 1, 1)
 
 
 class Lake:
@@ -57,51 +66,82 @@ class Lake:
 
     # -- record datasets ----------------------------------------------------------------
 
-    def _snapshot(self, layer: str, dataset: str) -> str | None:
+    def _committed(self, layer: str, dataset: str) -> list[str]:
+        """Folders of the newest committed snapshot and of what was added to it, oldest first.
+
+        Folders are named by the time of their write and count once their commit marker is there.
+        """
         base = self.folder(layer, dataset)
-        names = [n for n in self._children(base) if n.startswith("snapshot=")]
-        for name in reversed(names):
-            if self._exists(f"{base}/{name}/_SUCCESS"):
-                return f"{base}/{name}"
-        return None
+        done = [
+            (name.split("=", 1)[1], name)
+            for name in self._children(base)
+            if name.startswith(("snapshot=", "added=")) and self._exists(f"{base}/{name}/_SUCCESS")
+        ]
+        done.sort()
+        whole = [i for i, (_, name) in enumerate(done) if name.startswith("snapshot=")]
+        return [f"{base}/{name}" for _, name in done[whole[-1] :]] if whole else []
 
     def read_records(self, layer: str, dataset: str) -> DataFrame:
-        """The newest committed snapshot, or a JSON-lines file of the same name; else empty."""
+        """The newest committed rows, or a JSON-lines file of the same name; else empty."""
         schema = DATASETS[layer, dataset]
-        path = self._snapshot(layer, dataset)
-        if path is not None:
-            return self._read(path, schema)
+        folders = self._committed(layer, dataset)
+        if folders:
+            rows = self._read(folders[0], schema)
+            for folder in folders[1:]:
+                rows = rows.unionByName(self._read(folder, schema))
+            return rows
         flat = f"{self.folder(layer, dataset)}.jsonl"
         if self._exists(flat):
             return self.spark.read.schema(schema).json(flat)
         return self._empty(schema)
 
+    def _stamp(self) -> str:
+        return f"{datetime.now(UTC).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+
     def write_records(
         self, layer: str, dataset: str, rows: DataFrame, by: list[str] | None = None
     ) -> DataFrame:
-        """Replace the dataset: the snapshot counts once its commit marker is there."""
-        stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
-        path = f"{self.folder(layer, dataset)}/snapshot={stamp}-{uuid.uuid4().hex[:8]}"
+        """Replace the dataset: the snapshot counts once its commit marker is there. All but the
+        last few snapshots, and what was added to them, are removed."""
+        base = self.folder(layer, dataset)
+        path = f"{base}/snapshot={self._stamp()}"
         rows.write.format(self.fmt).partitionBy(*(by or [])).save(path)
+        stamps = sorted(n.split("=", 1)[1] for n in self._children(base) if n.startswith("snapshot="))
+        if len(stamps) > KEPT:
+            for name in self._children(base):
+                kind, _, stamp = name.partition("=")
+                if kind in ("snapshot", "added") and stamp < stamps[-KEPT]:
+                    remove(self.spark, f"{base}/{name}")
         return self._read(path, DATASETS[layer, dataset])
 
-    def append_new(self, layer: str, dataset: str, key: str, rows: DataFrame) -> DataFrame:
-        """Add rows whose key is not stored yet, one per key, to the current snapshot.
+    def append_new(
+        self, layer: str, dataset: str, key: str, rows: DataFrame, first: list[Column] | None = None
+    ) -> DataFrame:
+        """Add rows whose key is not stored yet, one per key: the first in ``first`` order, by default
+        the least in all columns.
 
-        What is stored is read for its keys only and never rewritten.
+        What is stored is read for its keys only and never rewritten. The rows go to a folder of
+        their own, so readers see all of them or none. Many additions are put into a new snapshot.
         """
         stored = self.read_records(layer, dataset)
-        fresh = staged(
-            rows.dropDuplicates([key])
-            .join(stored.select(key), key, "left_anti")
-            .select(*stored.columns),
-            f"append-{dataset}",
-        )
-        path = self._snapshot(layer, dataset)
-        if path is None:
-            return self.write_records(layer, dataset, stored.unionByName(fresh))
-        fresh.write.format(self.fmt).mode("append").save(path)
-        return self._read(path, DATASETS[layer, dataset])
+        order = first or [F.col(c) for c in stored.columns if c != key]
+        fresh = first_by(rows.select(*stored.columns), [key], order).join(stored.select(key), key, "left_anti")
+        folders = self._committed(layer, dataset)
+        if not folders or len(folders) > 50:
+            return self.write_records(layer, dataset, stored.unionByName(fresh.select(*stored.columns)))
+        fresh.select(*stored.columns).write.format(self.fmt).save(f"{self.folder(layer, dataset)}/added={self._stamp()}")
+        return self.read_records(layer, dataset)
+
+    # -- logs ---------------------------------------------------------------------------
+
+    def append_log(self, layer: str, dataset: str, rows: DataFrame) -> None:
+        """Add rows, each call in one file that appears at once; meant for a few rows a call."""
+        rows.coalesce(1).write.format(self.fmt).mode("append").save(self.folder(layer, dataset))
+
+    def read_log(self, layer: str, dataset: str) -> DataFrame:
+        path = self.folder(layer, dataset)
+        schema = DATASETS[layer, dataset]
+        return self._read(path, schema) if self._exists(path) else self._empty(schema)
 
     # -- partitioned datasets -----------------------------------------------------------
 
@@ -199,13 +239,14 @@ class Lake:
         """The row of one key; only its prefix partition is listed and read."""
         rows = self.read_objects(layer, dataset, key)
         return rows.filter(
-            (F.col(f"{key}_prefix") == value[:1]) & (F.col(key) == value)
+            (F.col(f"{key}_prefix") == hashlib.sha256(value.encode()).hexdigest()[0]) & (F.col(key) == value)
         ).drop(f"{key}_prefix")
 
     def _write_objects(self, layer: str, dataset: str, key: str, rows: DataFrame, mode: str) -> None:
         prefix = f"{key}_prefix"
         (
-            rows.withColumn(prefix, F.substring(key, 1, 1))
+            rows.withColumn(prefix, prefix_of(key))
+            .hint("rebalance", prefix)
             .write.format(self.fmt)
             .mode(mode)
             .option("partitionOverwriteMode", "dynamic")
@@ -221,10 +262,10 @@ class Lake:
         Returns the inserted rows. They are staged before the append so that the table read
         and the table written are never the same job.
         """
-        stored = self.read_objects(layer, dataset, key).select(key)
-        fresh = staged(
-            first_by(rows, [key], first).join(stored, key, "left_anti"), f"put-{dataset}"
-        )
+        prefix = f"{key}_prefix"
+        stored = self.read_objects(layer, dataset, key).select(prefix, key)
+        new = first_by(rows, [key], first).withColumn(prefix, prefix_of(key))
+        fresh = staged(new.join(stored, [prefix, key], "left_anti").drop(prefix), f"put-{dataset}")
         self._write_objects(layer, dataset, key, fresh, "append")
         return fresh
 
@@ -234,7 +275,7 @@ class Lake:
         """Replace or insert keyed rows; only the touched prefix partitions are rewritten."""
         prefix = f"{key}_prefix"
         fresh = first_by(rows, [key], latest)
-        touched = fresh.select(F.substring(key, 1, 1).alias(prefix)).distinct()
+        touched = fresh.select(prefix_of(key).alias(prefix)).distinct()
         stored = self.read_objects(layer, dataset, key)
         kept = (
             stored.join(touched, prefix, "left_semi")
