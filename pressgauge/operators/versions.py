@@ -52,8 +52,10 @@ def store_analyses(
     rows: DataFrame,
     coexist: bool = True,
     keep_versions: tuple[str, ...] = (),
+    counted: bool = True,
 ) -> DataFrame:
-    """Write ``rows`` into Silver; returns one row with the written and pruned counts.
+    """Write ``rows`` into Silver; returns one row with the written and pruned counts, the latter only
+    if ``counted``.
 
     ``located`` needs to hold the observations of the cycles ``rows`` belong to, no others.
     """
@@ -62,13 +64,18 @@ def store_analyses(
     merged = staged(
         merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
     )
-    before = only_cycles(stored, cycles_of(placed))
-    lost = staged(before.join(merged.select(*KEY, *_PARTS), [*KEY, *_PARTS], "left_anti"), "pruned")
+    lost = None
+    if counted:  # before the write: what is read here is replaced by it
+        before = only_cycles(stored, cycles_of(placed))
+        gone = before.join(merged.select(*KEY, *_PARTS), [*KEY, *_PARTS], "left_anti")
+        lost = gone.agg(F.count("*").alias("n")).first()["n"]
     lake.write_cycles("silver", "analysis", merged.sortWithinPartitions(*_PARTS, *KEY))
-    pruned = lost.agg(F.count("*").alias("pruned"))
-    return merged.agg(F.count("*").alias("written")).select(
-        "written", pruned.scalar().alias("pruned")
-    )
+    return merged.agg(F.count("*").alias("written"), F.lit(lost).cast("bigint").alias("pruned"))
+
+
+def cycles_without_bronze(silver: DataFrame, bronze: DataFrame, cycle: list[str] = _PARTS) -> DataFrame:
+    """Cycles that hold labels although Bronze has no observation there (any more)."""
+    return silver.select(*cycle).distinct().join(bronze.select(*cycle).distinct(), cycle, "left_anti")
 
 
 def orphans(stored: DataFrame, located: DataFrame) -> DataFrame:
@@ -76,9 +83,14 @@ def orphans(stored: DataFrame, located: DataFrame) -> DataFrame:
     return stored.join(located.select(*_HOME).distinct(), _HOME, "left_anti")
 
 
-def prune_orphans(lake, located: DataFrame) -> None:
-    """Rewrite the partitions that hold orphans; one left empty is dropped."""
+def prune_orphans(lake, located: DataFrame, cycles: DataFrame | None = None) -> None:
+    """Rewrite the partitions that hold orphans; one left empty is dropped.
+
+    With ``cycles`` only these partitions are looked at, and ``located`` need hold no others.
+    """
     stored = lake.read_cycles("silver", "analysis")
+    if cycles is not None:
+        stored = only_cycles(stored, cycles_of(cycles))
     dirty = staged(orphans(stored, located).select(*_PARTS).distinct(), "dirty-cycles")
     kept = staged(
         only_cycles(stored, cycles_of(dirty)).join(

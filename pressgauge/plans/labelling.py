@@ -8,8 +8,10 @@ once per distinct prompt that no stored reply answers; asking is the only step i
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,7 @@ from pressgauge.operators import runlog, scope, versions
 from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, PARTITION
-from pressgauge.session import staged
+from pressgauge.session import scratch_scope, staged
 from pressgauge.sources.lake import cycles_of, only_cycles, with_cycle
 
 Completer = Callable[[str, str], str]
@@ -99,6 +101,17 @@ def keyword_labels(
 _ANSWER = "cache_key string, reply string, error string, duration_ms bigint"
 
 
+#: Prompts that a task asks at most; what it has answered is lost if it fails.
+PROMPTS = 50
+
+
+def spread(prompts: DataFrame) -> DataFrame:
+    """Deal prompts out by their number: they are few bytes, but each is a long call."""
+    cores = prompts.sparkSession.sparkContext.defaultParallelism
+    count = prompts.count()
+    return prompts.repartition(max(1, min(count, max(cores, -(-count // PROMPTS)))), "cache_key")
+
+
 def ask(prompts: DataFrame, completer: Completer, system: str) -> DataFrame:
     """One call per prompt; a call that raises gives its reason instead of a reply."""
 
@@ -152,6 +165,7 @@ def model_labels(
     temperature: float | None = None,
     called_at: str = "",
     system: str = INSTRUCTIONS,
+    attempt: str = "",
 ) -> Labelled:
     """Label observations through stored replies and, where none is usable, the model.
 
@@ -160,7 +174,7 @@ def model_labels(
     call fails they fail with it and are asked again by the retry list.
     """
     lit_system = F.lit(system)
-    prepared = with_bodies(items, bodies)
+    prepared = staged(with_bodies(items, bodies), "prepared")
     prompt = identity.user_prompt(F.col("title"), F.col("body"))
     reaching = prepared.filter(F.col("body").isNotNull()).select(
         "record_id", "source_url", "collected_at", prompt.alias("prompt_user")
@@ -177,18 +191,18 @@ def model_labels(
         .drop("parsed")
     )
 
-    unanswered = reaching.join(known, "cache_key", "left_anti")
+    # One row per prompt before any join: a prompt that most records share leaves each task once.
     leaders = first_by(
-        unanswered.select("cache_key", "prompt_user", "record_id", "collected_at"),
+        reaching.select("cache_key", "prompt_user", "record_id", "collected_at"),
         ["cache_key"],
         [F.col("collected_at"), F.col("record_id")],
-    )
+    ).join(known.select("cache_key"), "cache_key", "left_anti")
+    prompts = staged(leaders, "prompts")
     # Written out before it is used: a lost executor must not ask the model a second time.
-    answers = staged(ask(staged(leaders, "prompts"), completer, system), "answers")
+    answers = staged(ask(spread(prompts), completer, system), "answers")
 
-    # One row per prompt first, then one join: a prompt that most records share is shuffled once.
     nothing = F.lit(None).cast("string")
-    asked = leaders.select("cache_key", F.col("record_id").alias("leader")).join(
+    asked = prompts.select("cache_key", F.col("record_id").alias("leader")).join(
         answers.select("cache_key", F.col("reply").alias("live_reply"), "error", "duration_ms"),
         "cache_key",
         "left",
@@ -217,8 +231,8 @@ def model_labels(
         replayed.alias("replayed"),
         F.coalesce(replies.is_usable(parsed), F.lit(False)).alias("usable"),
         replies.judgement(parsed).alias("judgement"),
-        _call_id(run_id, version, called_at, F.col("record_id")).alias("call_id"),
-        _call_id(run_id, version, called_at, F.col("leader")).alias("leader_call"),
+        _call_id(run_id, version, called_at, F.col("record_id"), attempt).alias("call_id"),
+        _call_id(run_id, version, called_at, F.col("leader"), attempt).alias("leader_call"),
     )
     told = staged(
         told.withColumn("reused", F.col("usable") & ~F.col("attempted"))
@@ -247,9 +261,10 @@ def model_labels(
     )
 
 
-def _call_id(run_id: str, version: str, called_at: str, record: Column) -> Column:
-    """One id per run, version and record: rerunning a run names the same calls again."""
-    digest = F.sha2(F.concat_ws("|", F.lit(run_id), F.lit(version), record), 256)
+def _call_id(run_id: str, version: str, called_at: str, record: Column, attempt: str) -> Column:
+    """One id per run, version, record and attempt at the run: a rerun's calls are calls of their own."""
+    known = [F.lit(x) for x in (run_id, version, attempt) if x]
+    digest = F.sha2(F.concat_ws("|", *known, record), 256)
     stamp = "".join(c for c in called_at[:19] if c.isdigit() or c == "T")
     return F.when(
         record.isNotNull(), F.concat(F.lit(f"call-{stamp}Z-"), F.substring(digest, 1, 12))
@@ -369,7 +384,19 @@ class Scope:
         return bool(self.since or self.axis or self.source or self.sample)
 
 
-def waiting_records(lake, version: str, wanted: Scope) -> DataFrame:
+def changed_cycles(lake, version: str, bronze: DataFrame) -> DataFrame:
+    """The cycles, of Bronze's signatures, that aren't settled at ``version``."""
+    settled = versions.still_settled(
+        lake.read_records("silver", "analysis_settled"),
+        bronze,
+        lake.signatures("silver", "analysis"),
+        lake.read_records("silver", "analysis_retry"),
+        version,
+    )
+    return with_cycle(bronze).join(settled.select("collection_cycle"), "collection_cycle", "left_anti")
+
+
+def waiting_records(lake, version: str, wanted: Scope, bronze: DataFrame | None = None) -> DataFrame:
     """Bronze rows still to be labelled at ``version``.
 
     A whole-lake run leaves settled cycles alone: they are told by their file signatures, and
@@ -379,17 +406,8 @@ def waiting_records(lake, version: str, wanted: Scope) -> DataFrame:
     silver = lake.read_cycles("silver", "analysis")
     retry = lake.read_records("silver", "analysis_retry")
     if not wanted.is_partial():
-        signatures = lake.signatures("bronze", "news_item")
-        settled = versions.still_settled(
-            lake.read_records("silver", "analysis_settled"),
-            signatures,
-            lake.signatures("silver", "analysis"),
-            retry,
-            version,
-        )
-        changed = with_cycle(signatures).join(
-            settled.select("collection_cycle"), "collection_cycle", "left_anti"
-        )
+        signatures = lake.signatures("bronze", "news_item") if bronze is None else bronze
+        changed = changed_cycles(lake, version, signatures)
         items = only_cycles(items, cycles_of(changed))
         silver = only_cycles(silver, cycles_of(changed))
     chosen = scope.in_scope(items, wanted.axis, wanted.source, wanted.since)
@@ -412,9 +430,19 @@ def label_lake(
     version a decision serves. Replies and call records are written before the check that
     anybody answered, so an outage leaves its trace and no analyses. Returns outcome counts.
     """
-    wanted = wanted or Scope()
+    with scratch_scope(lake.spark):
+        booked = _label_lake(lake, run_id, called_at, completer, version, wanted or Scope(), model).collect()
+    return lake.spark.createDataFrame(booked, "outcome_name string, outcome_count bigint")
+
+
+def _label_lake(lake, run_id, called_at, completer, version, wanted: Scope, model) -> DataFrame:
     version = version or (MODEL_VERSION if completer else KEYWORD_VERSION)
-    todo = staged(waiting_records(lake, version, wanted), "waiting")
+    # Taken before anything is read: a cycle that is rewritten meanwhile is not settled by this run.
+    before = staged(lake.signatures("bronze", "news_item"), "bronze-signatures")
+    todo = staged(waiting_records(lake, version, wanted, before), "waiting")
+    visited = cycles_of(todo) if wanted.is_partial() else staged(
+        changed_cycles(lake, version, before).select(*PARTITION), "visited-cycles"
+    )
     bodies = lake.read_objects("bronze", "news_body", "body_hash").drop("body_hash_prefix")
     items = todo.drop(*PARTITION)
     located = only_cycles(lake.read_cycles("bronze", "news_item"), cycles_of(todo))
@@ -434,6 +462,7 @@ def label_lake(
             run_id,
             model,
             called_at=called_at,
+            attempt=uuid.uuid4().hex,
         )
         lake.append_new("silver", "analysis_cache", "cache_key", done.new_replies)
         lake.put_objects("silver", "llm_call", "call_id", done.calls, [F.col("called_at")])
@@ -451,12 +480,41 @@ def label_lake(
             F.max_by("analyzer_version", "decided_at").alias("v")
         ).first()["v"]
         keep = (served,) if served else ()
-    versions.store_analyses(lake, located, rows, wanted.is_partial(), keep)
-    _keep_in_step(lake, todo, failed, version, whole=not wanted.is_partial())
-    return staged(booked, "outcomes")
+    versions.store_analyses(lake, located, rows, wanted.is_partial(), keep, counted=False)
+    if not wanted.is_partial():
+        _prune(lake, visited)
+    _keep_in_step(lake, todo, failed, version, visited, before, whole=not wanted.is_partial())
+    return booked.unionByName(_skipped(lake, version, wanted, todo, visited))
 
 
-def _keep_in_step(lake, todo: DataFrame, failed: DataFrame, version: str, whole: bool) -> None:
+def _prune(lake, visited: DataFrame) -> None:
+    """Drop labels of records that Bronze lost, in visited cycles and in cycles that Bronze lost."""
+    lost = versions.cycles_without_bronze(lake.partitions("silver", "analysis"), lake.partitions("bronze", "news_item"))
+    looked = staged(visited.unionByName(lost).distinct(), "pruned-cycles")
+    versions.prune_orphans(lake, only_cycles(lake.read_cycles("bronze", "news_item"), cycles_of(looked)), looked)
+
+
+def _skipped(lake, version: str, wanted: Scope, todo: DataFrame, visited: DataFrame) -> DataFrame:
+    """Observations in scope that this run left alone: their cycle is settled, or they are labelled
+    already, or the sample left them out."""
+    items = lake.read_cycles("bronze", "news_item")
+    chosen = scope.in_scope(items, wanted.axis, wanted.source, wanted.since)
+    counts = []
+    if not wanted.is_partial():
+        counts.append(("skipped_settled", chosen.join(visited, list(PARTITION), "left_anti")))
+        chosen = only_cycles(chosen, cycles_of(visited))
+    elif wanted.sample:
+        retry = lake.read_records("silver", "analysis_retry")
+        left = versions.pending(chosen, lake.read_cycles("silver", "analysis"), retry, version)
+        counts.append(("skipped_not_sampled", left.join(todo.select("record_id"), "record_id", "left_anti")))
+    rows = [df.agg(F.lit(name).alias("outcome_name"), F.count("*").alias("outcome_count")) for name, df in counts]
+    none = lake.spark.createDataFrame([], "outcome_name string, outcome_count bigint")
+    return reduce(DataFrame.unionByName, rows, none).where("outcome_count > 0")
+
+
+def _keep_in_step(
+    lake, todo: DataFrame, failed: DataFrame, version: str, visited: DataFrame, before: DataFrame, whole: bool
+) -> None:
     analyzed = todo.select("record_id")
     present = only_cycles(lake.read_cycles("bronze", "news_item"), cycles_of(todo))
     retry = versions.updated_retries(
@@ -470,7 +528,7 @@ def _keep_in_step(lake, todo: DataFrame, failed: DataFrame, version: str, whole:
     if not whole:
         return
     unsettled = retry.filter(F.col("analyzer_version") == version).select("collection_cycle")
-    tokens = settled_marks(lake, version).join(
+    tokens = settled_marks(lake, version, visited, before).join(
         unsettled, "collection_cycle", "left_anti"
     )
     stored = lake.read_records("silver", "analysis_settled")
@@ -482,10 +540,10 @@ def _keep_in_step(lake, todo: DataFrame, failed: DataFrame, version: str, whole:
     )
 
 
-def settled_marks(lake, version: str) -> DataFrame:
-    """A mark per cycle holding the signatures of both its partitions as they are now."""
+def settled_marks(lake, version: str, visited: DataFrame, before: DataFrame) -> DataFrame:
+    """A mark per visited cycle: Bronze's signature from before the run, Silver's as written by it."""
     parts = list(PARTITION)
-    bronze = lake.signatures("bronze", "news_item").select(
+    bronze = before.join(visited, parts, "left_semi").select(
         *parts,
         F.col("signature").alias("bronze_signature"),
         F.col("row_count").alias("bronze_count"),
