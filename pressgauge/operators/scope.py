@@ -29,6 +29,8 @@ def in_scope(
     if since is not None:
         bound = F.lit(since).cast("timestamp") if isinstance(since, str) else since
         day = F.date_format(F.date_sub(bound.cast("date"), 3), "yyyy-MM-dd")
+        if {"year", "month", "day"} <= set(items.columns):  # a cycle's partition: its files needn't be opened
+            out = out.filter(F.concat_ws("-", "year", "month", "day") >= day)
         out = out.filter(F.col("collected_at") >= day).filter(
             buckets.at_or_after(F.col("collected_at"), bound)
         )
@@ -44,7 +46,7 @@ def sample(rows: DataFrame, size: int, mode: str = "random", seed: str = "") ->
         return rows
     if mode == "recent":
         return rows.orderBy(F.col("collected_at").desc(), "record_id").limit(size)
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col("record_id")), "record_id").limit(size)
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("record_id"))), "record_id").limit(size)
 
 
 def checked_run(

@@ -14,6 +14,7 @@ from pressgauge.functions import buckets, numeric
 from pressgauge.functions import vocabulary as V
 from pressgauge.operators import records, slices
 from pressgauge.operators.joins import left_join_present
+from pressgauge.operators.picks import first_by
 from pressgauge.plans.gold import Gold
 
 TOP_DASHBOARD, TOP_FAIRNESS, TOP_SPIKES, TOP_AXIS, TOP_GAPS, SERIES = 8, 20, 20, 5, 6, 3
@@ -190,7 +191,8 @@ def trend(gold: Gold, axis: str = "KR", subject: str = "", unit: str = "") -> Da
             "latest_share"
         ),
         F.coalesce(F.max(F.when(at_latest, F.col("delta"))), F.lit(0.0)).alias("latest_delta"),
-        F.avg("normalized_share").alias("mean_share"),
+        # in whole grid units, so that the order of rows doesn't matter
+        (F.sum(F.round(F.col("normalized_share") * 10000).cast("bigint")) / F.count("normalized_share") / 10000).alias("mean_share"),
     )
     wanted = (F.col("subject") == subject).cast("int")
     order = [wanted.desc(), F.col("latest_share").desc(), F.col("subject")]
@@ -294,7 +296,8 @@ class Tone:
         Also the bar the screen draws (classes scaled to the labelled part) and the number of
         unlabelled articles, recovered from the ratio.
         """
-        own = self._rows.filter(F.col("axis") == self.axis).dropDuplicates(["time_bucket"])
+        newest = [F.col("analyzed_total").desc(), F.col("distribution")]
+        own = first_by(self._rows.filter(F.col("axis") == self.axis), ["time_bucket"], newest)
         line = W.partitionBy("axis").orderBy("time_bucket")
         before = F.lag(F.col("distribution.negative")).over(line)
         solid = (F.col("analyzed_total") >= MIN_SAMPLE) & (

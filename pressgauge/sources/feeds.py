@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import identity, subjects
 from pressgauge.functions import vocabulary as V
+from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
 from pressgauge.schemas import FEED_CONFIG
+from pressgauge.session import staged
 from pressgauge.sources.pages import MIN_ARTICLE_CHARS
 
 # Accepted settings and the feed text length below which a page is opened.
@@ -245,9 +247,10 @@ def with_bodies(listed: DataFrame, pages: DataFrame) -> DataFrame:
     keeps the feed body.
     """
     asked = wants_page(F.col("body_extraction"), F.col("body"))
-    found = listed.withColumn("page_asked", asked).join(
-        first_by(pages, ["url"], [F.length("page_text").desc(), F.col("page_text")]), "url", "left"
-    )
+    texts = first_by(pages, ["url"], [F.length("page_text").desc(), F.col("page_text")])
+    wanting = listed.withColumn("page_asked", asked).withColumn("page_url", F.when(asked, F.col("url")))
+    # Entries that want no page have no key and go round the join.
+    found = left_join_present(wanting, texts.withColumnRenamed("url", "page_url"), "page_url").drop("page_url")
     better = (
         F.col("page_asked")
         & (F.length("page_text") >= MIN_ARTICLE_CHARS)
@@ -340,8 +343,9 @@ def ingested(
     told = answered.join(configs.select("source_id", "format"), "source_id")
     from_feeds, bad_feeds = parse_feeds(told.filter("format = 'rss'"))
     from_search, bad_search = parse_search_replies(told.filter("format = 'worldbank-json'"))
-    listed = with_bodies(ranked(from_feeds.unionByName(from_search), configs), pages)
-    marked = marked_duplicates(listed)
+    # Parsed once: the choice of first places reads these rows twice, the outputs read the marked ones.
+    listed = staged(ranked(from_feeds.unionByName(from_search), configs), "ranked-entries")
+    marked = staged(marked_duplicates(with_bodies(listed, pages)), "marked-entries")
     items, bodies = bronze_rows(marked, collected_at)
     failures = unreached.unionByName(bad_feeds).unionByName(bad_search)
     return Ingested(items, bodies, failures, marked)

@@ -7,11 +7,11 @@ so they are recomputed from the lake inside ``foreachBatch`` rather than kept as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.functions import buckets
-from pressgauge.operators.picks import first_by, unit_picks
+from pressgauge.operators.picks import first_by, join_observations, serving_rows, unit_picks
 from pressgauge.schemas import MODEL_CALL, NEWS_ITEM, PARTITION
 from pressgauge.session import staged
 from pressgauge.sources.lake import Lake, with_partition
@@ -87,13 +87,20 @@ def touched_buckets(items: DataFrame, units: tuple[str, ...] = buckets.UNITS) ->
     ).distinct()
 
 
-def refreshed_picks(labelled: DataFrame, touched: DataFrame) -> DataFrame:
+def refreshed_picks(
+    bronze: DataFrame, silver: DataFrame, touched: DataFrame, serving_version: str | Column | None = None
+) -> DataFrame:
     """Picks of the touched buckets, recomputed from all their observations.
 
-    A later observation of an article supersedes the earlier one, so a bucket is never patched.
+    A later observation of an article supersedes the earlier one, so a bucket is never patched. Only
+    observations of the touched ISO weeks, which hold the touched hours and days, go into the join
+    with Silver and the sorts.
     """
-    keys = ["axis", "bucket_unit", "time_bucket"]
-    return unit_picks(labelled).join(touched, keys, "left_semi")
+    weeks = touched.filter("bucket_unit = 'week'").select("axis", F.col("time_bucket").alias("_week"))
+    label = buckets.bucket_label(F.col("collected_at"), "week")
+    near = bronze.withColumn("_week", label).join(weeks, ["axis", "_week"], "left_semi").drop("_week")
+    labelled = join_observations(near, serving_rows(silver, serving_version))
+    return unit_picks(labelled).join(touched, ["axis", "bucket_unit", "time_bucket"], "left_semi")
 
 
 def call_stream(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.operators import contributions, picks, shares, tone
 from pressgauge.plans import gold
+from pressgauge.session import staged
 from pressgauge.workload import tables
 from pressgauge.workload.oracle import sql
 
@@ -31,7 +32,8 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hours(spark: SparkSession, sf: str) -> DataFrame:
-    return picks.hour_picks(labelled(spark, sf))
+    """Written once: the window anchor and the windows both read them."""
+    return staged(picks.hour_picks(labelled(spark, sf)), "hour-picks")
 
 
 def every_pick(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +97,7 @@ def axis_window(spark: SparkSession, sf: str) -> DataFrame:
     "normalized_share FROM subject_window",
 )
 def subject_window(spark: SparkSession, sf: str) -> DataFrame:
-    return shares.subject_window(picks.window_picks(hours(spark, sf)))
+    return shares.subject_window(staged(picks.window_picks(hours(spark, sf)), "window-picks"))
 
 
 @query(

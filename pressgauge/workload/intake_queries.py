@@ -247,10 +247,8 @@ def _ingested(spark: SparkSession, sf: str) -> feeds.Ingested:
     from_feeds, bad_feeds = feeds.parse_feeds(_answered(spark, sf, "rss"))
     from_search, bad_search = feeds.parse_search_replies(_answered(spark, sf, "worldbank-json"))
     checked = feeds.checked_configs(configs(spark, sf).withColumn("format", F.lit("rss")))
-    listed = feeds.with_bodies(
-        feeds.ranked(from_feeds.unionByName(from_search), checked), page_texts(spark, sf)
-    )
-    marked = feeds.marked_duplicates(listed)
+    listed = staged(feeds.ranked(from_feeds.unionByName(from_search), checked), "ranked-entries")
+    marked = feeds.marked_duplicates(feeds.with_bodies(listed, page_texts(spark, sf)))
     items, bodies = feeds.bronze_rows(marked, F.lit(_COLLECTED))
     return feeds.Ingested(items, bodies, bad_feeds.unionByName(bad_search), marked)
 
@@ -373,6 +371,35 @@ def bronze_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested(spark, sf).bodies
 
 
+_PLAIN = "CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\\x00-\\x7F]', '?'{g}) ELSE text END"
+
+
+@query(
+    "s11_s12_built_pages",
+    # The text of each line, blanks squeezed; every third page is CP949 and begins with a Korean line.
+    "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(CASE WHEN doc_id % 3 = 0 THEN "
+    "'경제' || chr(10) ELSE '' END || " + _PLAIN.replace("{g}", ", 'g'").replace("\\\\", "\\") + ", chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'))), "
+    "lambda x: x <> ''), chr(10)) AS page_text FROM documents",
+)
+def built_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as web pages: teasers and menus around them, every second text split over two blocks,
+    declared UTF-8, undeclared UTF-8 and undeclared CP949."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", F.expr(_PLAIN.replace("{g}", "")).alias("text"))
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = docs.withColumn("lines", F.split(safe, "\n"))
+    paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    half = F.when(F.col("doc_id") % 2 == 0, F.size("lines")).otherwise((F.size("lines") + 1) / 2).cast("int")
+    first, rest = paragraphs(F.slice("lines", F.lit(1), half)), paragraphs(F.slice("lines", half + 1, F.size("lines")))
+    head = F.when(F.col("doc_id") % 3 == 1, '<html><head><meta charset="utf-8"></head><body>').otherwise("<html><body>")
+    top = F.concat(head, F.lit('<nav><a href="/">menu</a> home</nav><div class="text body"><a href="/1">a teaser</a></div><main>'
+                               '<div class="text  body">'))
+    foot = F.lit('</div></main><aside>more</aside><script>var x = "</p>";</script></body></html>')
+    korean = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("3C703EB0E6C1A63C2F703E"))).otherwise(F.unhex(F.lit("")))
+    raw = F.concat(F.encode(top, "utf-8"), korean, F.encode(F.concat(first, F.lit('</div><div class="text body">'), rest, foot), "utf-8"))
+    named = lines.select(F.col("doc_id").cast("string").alias("url"), raw.alias("payload"))
+    return pages.page_texts(named).select(F.col("url").cast("bigint").alias("doc_id"), "page_text")
+
+
 @query("s11_s12_x24_article_text")
 def article_text(spark: SparkSession, sf: str) -> DataFrame:
     raw = tables.table(spark, sf, "pages").select("url", F.col("html").alias("payload"))

@@ -40,24 +40,21 @@ def _names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
 
-def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations laid out in one cycle per day (midnight), so the test lake stays small."""
-    items = tables.observations(spark, sf)
-    midnight = F.concat(F.substring("collected_at", 1, 10), F.lit("T00:00"))
-    placed = with_partition(items.withColumn("collection_cycle", midnight), midnight)
+def _hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations with the partition of the hour in which each was collected."""
+    placed = with_partition(tables.observations(spark, sf), F.col("collection_cycle"))
     return placed.select(*_names(NEWS_ITEM), *PARTITION)
 
 
-_DAILY = {
-    "daily": "SELECT * REPLACE (substr(collected_at, 1, 10) || 'T00:00' AS collection_cycle), "
-    "substr(collected_at, 1, 4) AS year, substr(collected_at, 6, 2) AS month, "
-    "substr(collected_at, 9, 2) AS day, '00' AS hour FROM bronze",
+_HOURLY = {
+    "hourly": "SELECT *, substr(collected_at, 1, 4) AS year, substr(collected_at, 6, 2) AS month, "
+    "substr(collected_at, 9, 2) AS day, substr(collected_at, 12, 2) AS hour FROM bronze",
 }
 
 
-def _stored_daily(spark: SparkSession, sf: str) -> Lake:
+def _stored_hourly(spark: SparkSession, sf: str) -> Lake:
     lake = _new_lake(spark)
-    lake.write_cycles("bronze", "news_item", _daily(spark, sf))
+    lake.write_cycles("bronze", "news_item", _hourly(spark, sf))
     return lake
 
 
@@ -66,14 +63,15 @@ def _stored_daily(spark: SparkSession, sf: str) -> Lake:
 
 @query(
     "k2_t1_replaced_cycles",
-    "SELECT record_id, source_id, day, hour, CASE WHEN day = '07' THEN rank + 1000 ELSE rank END "
-    "AS rank FROM daily WHERE day <> '07' OR view_count >= 5",
-    **_DAILY,
+    "SELECT record_id, source_id, day, hour, CASE WHEN again THEN rank + 1000 ELSE rank END AS rank "
+    "FROM (SELECT *, day = '07' AND view_count >= 5 AS again, day = '07' AND bool_or(view_count >= 5) "
+    "OVER (PARTITION BY collection_cycle) AS touched FROM hourly) WHERE again OR NOT touched",
+    **_HOURLY,
 )
 def replaced_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """One cycle written again with fewer, changed rows; the other cycles stay."""
-    lake = _stored_daily(spark, sf)
-    again = _daily(spark, sf).filter("day = '07' AND view_count >= 5")
+    """The cycles of a day written again with fewer, changed rows; the other cycles stay."""
+    lake = _stored_hourly(spark, sf)
+    again = _hourly(spark, sf).filter("day = '07' AND view_count >= 5")
     lake.write_cycles("bronze", "news_item", again.withColumn("rank", F.col("rank") + 1000))
     return lake.read_cycles("bronze", "news_item").select(
         "record_id", "source_id", "day", "hour", "rank"
@@ -82,38 +80,40 @@ def replaced_cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s1_one_cycle",
-    "SELECT record_id, title, body_available FROM daily WHERE day = '09'",
-    **_DAILY,
+    "SELECT record_id, title, body_available FROM hourly WHERE collection_cycle = "
+    "(SELECT min(collection_cycle) FROM hourly)",
+    **_HOURLY,
 )
 def one_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    lake = _stored_daily(spark, sf)
-    return lake.read_cycle("bronze", "news_item", "2024-01-09T00:00").select(
+    lake = _stored_hourly(spark, sf)
+    first = tables.observations(spark, sf).agg(F.min("collection_cycle")).first()[0]
+    return lake.read_cycle("bronze", "news_item", first).select(
         "record_id", "title", "body_available"
     )
 
 
 @query(
     "s2_x5_partitions",
-    "SELECT DISTINCT year, month, day, hour, collection_cycle FROM daily",
-    **_DAILY,
+    "SELECT DISTINCT year, month, day, hour, collection_cycle FROM hourly",
+    **_HOURLY,
 )
 def partitions(spark: SparkSession, sf: str) -> DataFrame:
-    return with_cycle(_stored_daily(spark, sf).partitions("bronze", "news_item"))
+    return with_cycle(_stored_hourly(spark, sf).partitions("bronze", "news_item"))
 
 
 @query(
     "s3_t4_changed_cycles",
-    "SELECT DISTINCT year, month, day, hour FROM daily WHERE day IN ('03', '17')",
-    **_DAILY,
+    "SELECT DISTINCT year, month, day, hour FROM hourly WHERE day IN ('03', '17')",
+    **_HOURLY,
 )
 def changed_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """Cycles whose signature differs after two of them were written again."""
-    lake = _stored_daily(spark, sf)
+    """Cycles whose signature differs after those of two days were written again."""
+    lake = _stored_hourly(spark, sf)
     keys = list(PARTITION)
     before = lake.signatures("bronze", "news_item")
     path = scratch_path(spark, "signatures")
     before.write.parquet(path)
-    lake.write_cycles("bronze", "news_item", _daily(spark, sf).filter("day IN ('03', '17')"))
+    lake.write_cycles("bronze", "news_item", _hourly(spark, sf).filter("day IN ('03', '17')"))
     after = lake.signatures("bronze", "news_item")
     same = [*keys, "signature"]
     return after.join(spark.read.schema(before.schema).parquet(path), same, "left_anti").select(
@@ -123,13 +123,13 @@ def changed_cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s4_json_lines",
-    "SELECT record_id, axis, rank, body_available, collected_at FROM daily",
-    **_DAILY,
+    "SELECT record_id, axis, rank, body_available, collected_at FROM hourly",
+    **_HOURLY,
 )
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The same folder layout as JSON lines, written and read with the declared schema."""
     lake = _new_lake(spark, "json")
-    lake.write_cycles("bronze", "news_item", _daily(spark, sf))
+    lake.write_cycles("bronze", "news_item", _hourly(spark, sf))
     return lake.read_cycles("bronze", "news_item").select(
         "record_id", "axis", "rank", "body_available", "collected_at"
     )
@@ -137,15 +137,15 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k6_relayed_to_cycles",
-    "SELECT s.record_id, s.analyzer_version, d.day FROM silver s JOIN daily d USING (record_id)",
-    **_DAILY,
+    "SELECT s.record_id, s.analyzer_version, d.day FROM silver s JOIN hourly d USING (record_id)",
+    **_HOURLY,
 )
 def relayed(spark: SparkSession, sf: str) -> DataFrame:
     lake = _new_lake(spark)
     flat = tables.analyses(spark, sf).withColumn(
         "sentiment_rationale", F.lit(None).cast("string")
     )
-    located = _daily(spark, sf).select("record_id", "collection_cycle")
+    located = _hourly(spark, sf).select("record_id", "collection_cycle")
     lake.relay_to_cycles("silver", "analysis", flat.select(*_names_of_analysis()), located)
     return lake.read_cycles("silver", "analysis").select("record_id", "analyzer_version", "day")
 
@@ -207,7 +207,7 @@ def appended_new(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "k4_k7_s5_content_addressed_bodies",
     "SELECT body_hash, any_value(raw_text) AS raw_text, min(first_seen_at) AS first_seen_at, "
-    "substr(body_hash, 1, 1) AS body_hash_prefix FROM bodies GROUP BY body_hash",
+    "substr(sha256(body_hash), 1, 1) AS body_hash_prefix FROM bodies GROUP BY body_hash",
 )
 def content_addressed(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies of the first half of the month, then of all of it: the first sighting stays."""
@@ -274,13 +274,13 @@ def _stored(lake: Lake) -> DataFrame:
 
 _BESIDE = (
     "SELECT s.record_id, s.analyzer_version, d.day, s.analysis_status "
-    "FROM silver s JOIN daily d USING (record_id)"
+    "FROM silver s JOIN hourly d USING (record_id)"
 )
 
 
-@query("k8_coexisting_versions", _BESIDE, **_DAILY)
+@query("k8_coexisting_versions", _BESIDE, **_HOURLY)
 def coexisting(spark: SparkSession, sf: str) -> DataFrame:
-    lake = _stored_daily(spark, sf)
+    lake = _stored_hourly(spark, sf)
     located = lake.read_cycles("bronze", "news_item")
     for version in ("v1", "v2"):
         versions.store_analyses(lake, located, _silver_rows(spark, sf, version))
@@ -291,11 +291,11 @@ def coexisting(spark: SparkSession, sf: str) -> DataFrame:
     "k8_retired_versions",
     _BESIDE + " WHERE NOT (s.analyzer_version = 'v1' AND s.record_id IN (SELECT record_id FROM "
     "silver WHERE analyzer_version = 'v2'))",
-    **_DAILY,
+    **_HOURLY,
 )
 def retired(spark: SparkSession, sf: str) -> DataFrame:
     """A whole-lake run of v2 takes the v1 rows of the records it touched with it."""
-    lake = _stored_daily(spark, sf)
+    lake = _stored_hourly(spark, sf)
     located = lake.read_cycles("bronze", "news_item")
     versions.store_analyses(lake, located, _silver_rows(spark, sf, "v1"))
     versions.store_analyses(lake, located, _silver_rows(spark, sf, "v2"), coexist=False)
@@ -305,11 +305,11 @@ def retired(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "k9_pruned_orphans",
     _BESIDE + " WHERE s.analyzer_version = 'v1' AND d.day <> '11' AND d.view_count < 50",
-    **_DAILY,
+    **_HOURLY,
 )
 def pruned_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    """Bronze loses one whole cycle and every much-read item; Silver follows."""
-    lake = _stored_daily(spark, sf)
+    """Bronze loses the cycles of a day and every much-read item; Silver follows."""
+    lake = _stored_hourly(spark, sf)
     located = lake.read_cycles("bronze", "news_item")
     versions.store_analyses(lake, located, _silver_rows(spark, sf, "v1"))
     versions.prune_orphans(lake, located.filter("day <> '11' AND view_count < 50"))
@@ -376,12 +376,12 @@ def gold_datasets(spark: SparkSession, sf: str) -> DataFrame:
     "b2_labelled_lake",
     "SELECT record_id, day, 'unanalyzed' AS analysis_status, 'keyword_analyzer' AS no_call_reason, "
     "CASE WHEN contains(lower(title), 'fed') THEN 'Federal Reserve' ELSE '' END AS subjects "
-    "FROM daily",
-    **_DAILY,
+    "FROM hourly",
+    **_HOURLY,
 )
 def labelled_lake(spark: SparkSession, sf: str) -> DataFrame:
     """The labelling job over a whole lake; these bodies carry no tone, so no label is forced."""
-    lake = _stored_daily(spark, sf)
+    lake = _stored_hourly(spark, sf)
     lake.put_objects(
         "bronze", "news_body", "body_hash", tables.bodies(spark, sf), [F.col("first_seen_at")]
     )
@@ -394,20 +394,39 @@ def labelled_lake(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "t4_waiting_after_settled",
-    "SELECT record_id FROM daily WHERE day = '20'",
-    **_DAILY,
+    "SELECT record_id FROM hourly WHERE day = '20'",
+    **_HOURLY,
 )
 def waiting_after_settled(spark: SparkSession, sf: str) -> DataFrame:
     """A labelled lake is settled; rewriting one cycle with new records reopens that cycle."""
-    lake = _stored_daily(spark, sf)
+    lake = _stored_hourly(spark, sf)
     labelling.label_lake(lake, "run-1", "2024-02-01T00:00:00+00:00")
-    again = _daily(spark, sf).filter("day = '20'")
+    again = _hourly(spark, sf).filter("day = '20'")
     renamed = again.withColumn("record_id", F.concat(F.lit("again-"), "record_id"))
     lake.write_cycles("bronze", "news_item", renamed)
     waiting = labelling.waiting_records(lake, labelling.KEYWORD_VERSION, labelling.Scope())
     return waiting.select(F.replace("record_id", F.lit("again-"), F.lit("")).alias("record_id"))
 
 
+@query(
+    "b2_k9_orphans_after_labelling",
+    "SELECT record_id FROM hourly WHERE day <> '11' AND NOT (day = '12' AND view_count >= 50)",
+    **_HOURLY,
+)
+def orphans_after_labelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Bronze loses the cycles of one day and many rows of another after a run; the next run lets the
+    labels of both go."""
+    lake = _stored_hourly(spark, sf)
+    labelling.label_lake(lake, "run-1", "2024-02-01T00:00:00+00:00")
+    items = _hourly(spark, sf)
+    rest = items.filter("day = '12' AND view_count < 50")
+    gone = items.filter("day = '11'").unionByName(items.filter("day = '12'").join(rest, list(PARTITION), "left_anti"))
+    lake.clear_cycles("bronze", "news_item", gone)
+    lake.write_cycles("bronze", "news_item", rest)
+    labelling.label_lake(lake, "run-2", "2024-02-02T00:00:00+00:00")
+    return lake.read_cycles("silver", "analysis").select("record_id")
+
+
 @query(
     "b5_run_log",
     "SELECT 'run-1' AS run_id, 'failed' AS run_status, 'ingestion:succeeded,analysis:failed' AS "
@@ -419,12 +438,13 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     seen = tables.observations(spark, sf).agg(
         F.lit("collected").alias("outcome_name"), F.count("*").alias("outcome_count")
     )
+    total = seen.first()["outcome_count"]
     for _ in range(2):
-        with runs.run_stage(lake, "run-1", "ingestion") as stage:
+        with runs.RunningStage(lake, "run-1", "ingestion") as stage:
+            stage.inputs = total
             stage.book(seen)
-            stage.input_count = sum(stage.outcomes.values())
-    with runs.run_stage(lake, "run-1", "analysis") as stage:
-        stage.input_count, stage.failure_reason = 7, "nobody answered"
+    with runs.RunningStage(lake, "run-1", "analysis") as stage:
+        stage.inputs, stage.failure = 7, "nobody answered"
     row = lake.read_objects("silver", "pipeline_run", "run_id")
 
     def booked(name: str) -> Column:
@@ -448,7 +468,7 @@ def _served(spark: SparkSession, sf: str, name: str) -> DataFrame:
     built = serving.serving_tables(
         tables.analyses(spark, sf), tables.observations(spark, sf), tables.calls(spark, sf)
     )
-    return serving.publish(scratch_path(spark, "serving"), {name: built[name]})[name]
+    return serving.publish(_new_lake(spark), built)[name]
 
 
 @query("k12_b4_record_latest_table", "SELECT * FROM record_latest")
@@ -456,6 +476,14 @@ def record_latest_table(spark: SparkSession, sf: str) -> DataFrame:
     return _served(spark, sf, "record_latest")
 
 
+@query(
+    "k12_b4_run_call_table",
+    "SELECT run_id, call_outcome, count(*) AS calls FROM calls WHERE decoded GROUP BY ALL",
+)
+def run_call_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _served(spark, sf, "run_call")
+
+
 @query("k12_b4_body_share_table", "SELECT * FROM body_share")
 def body_share_table(spark: SparkSession, sf: str) -> DataFrame:
     return _served(spark, sf, "body_share")
@@ -495,13 +523,13 @@ def tumbling_weeks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "t1_t6_landed_stream",
-    "SELECT record_id, rank, day FROM daily",
-    **_DAILY,
+    "SELECT record_id, rank, day FROM hourly",
+    **_HOURLY,
 )
 def landed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Observations delivered twice as files, landed by a stream: each record is there once."""
     feed = scratch_path(spark, "delivered")
-    items = _daily(spark, sf).drop(*PARTITION)
+    items = _hourly(spark, sf).drop(*PARTITION)
     items.write.mode("append").parquet(feed)
     items.filter("rank % 2 = 0").write.mode("append").parquet(feed)
     lake = _new_lake(spark)
@@ -518,9 +546,8 @@ def landed_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def refreshed_picks(spark: SparkSession, sf: str) -> DataFrame:
     items, silver = tables.observations(spark, sf), tables.analyses(spark, sf)
-    labelled = gold.labelled_observations(items, silver)
-    late = labelled.filter("collected_at >= '2024-01-28'")
-    return stream.refreshed_picks(labelled, stream.touched_buckets(late)).select(
+    late = gold.labelled_observations(items, silver).filter("collected_at >= '2024-01-28'")
+    return stream.refreshed_picks(items, silver, stream.touched_buckets(late)).select(
         "axis", "bucket_unit", "time_bucket", "record_id"
     )
 

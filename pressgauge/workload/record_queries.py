@@ -86,20 +86,15 @@ def unlabelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "u6_cycles_without_labels",
-    "SELECT DISTINCT collection_cycle FROM bronze WHERE collection_cycle NOT IN "
-    "(SELECT substr(analyzed_at, 1, 13) || ':00' FROM silver "
-    "WHERE analysis_status = 'low_confidence')",
+    "u6_cycles_without_bronze",
+    "SELECT DISTINCT substr(analyzed_at, 1, 13) || ':00' AS collection_cycle FROM silver "
+    "WHERE substr(analyzed_at, 1, 13) || ':00' NOT IN (SELECT collection_cycle FROM bronze)",
 )
-def cycles_without_labels(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = labels(spark, sf).filter("analysis_status = 'low_confidence'")
+def cycles_without_bronze(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels filed under the hour they were made in; some were made where nothing was collected."""
     cycle = F.concat(F.substring("analyzed_at", 1, 13), F.lit(":00"))
-    return (
-        items(spark, sf)
-        .select("collection_cycle")
-        .distinct()
-        .join(labelled.select(cycle.alias("collection_cycle")), "collection_cycle", "left_anti")
-    )
+    silver = labels(spark, sf).select(cycle.alias("collection_cycle"))
+    return versions.cycles_without_bronze(silver, items(spark, sf), ["collection_cycle"])
 
 
 @query(
@@ -469,7 +464,10 @@ def sample_recent(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("record_id", "collected_at")
 
 
-@query("p4_sample_random")
+@query(
+    "p4_sample_random",
+    "SELECT record_id FROM bronze ORDER BY md5('v2|2024-01-01|' || record_id), record_id LIMIT 500",
+)
 def sample_random(spark: SparkSession, sf: str) -> DataFrame:
     return scope.sample(items(spark, sf), 500, "random", "v2|2024-01-01").select("record_id")
 

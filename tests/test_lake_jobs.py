@@ -233,13 +233,14 @@ SPLIT = b"""<html><head><meta charset="utf-8"></head><body><nav><a href=x>Home</
 </article></main><script>var x = "</p>";</script></body></html>"""
 
 
-def test_article_text():
-    lines = pages.article_text(SPLIT).split("\n")
-    assert lines == [
+def test_article_text(spark):
+    teaser = b"<html><body><nav><a href='/'>Home</a></nav></body></html>"
+    rows = [("split", SPLIT), ("teaser", teaser), ("empty", b""), ("none", None)]
+    got = {r.url: r.page_text for r in pages.page_texts(spark.createDataFrame(rows, "url string, payload binary")).collect()}
+    assert got.pop("split").split("\n") == [
         "First part of the story, long enough to win against others on the page.",
         "Second part with a short link and more plain text around it here.", "Next line"]
-    assert pages.article_text(b"<html><body><nav><a href='/'>Home</a></nav></body></html>") == ""
-    assert pages.article_text(b"") == ""
+    assert set(got.values()) == {""} and len(got) == 3
 
 
 def test_decode():
@@ -365,16 +366,23 @@ def test_run_parameters_are_checked():
 
 
 def test_runs_keep_the_last_attempt_of_a_stage(spark, lake):
-    with pytest.raises(RuntimeError), runs.run_stage(lake, "run-1", "analysis") as stage:
-        stage.input_count, stage.outcomes = 5, {"analyzed": 2}
+    def run(run_id):
+        return lake.get_object("silver", "pipeline_run", "run_id", run_id).first()
+
+    with pytest.raises(RuntimeError), runs.RunningStage(lake, "run-1", "analysis") as stage:
+        assert (run("run-1").run_status, run("run-1").run_ended_at) == ("running", None)  # a killed driver leaves this
+        stage.inputs = 5
+        stage.book({"analyzed": 2})
         raise RuntimeError("cut short")
-    row = lake.read_objects("silver", "pipeline_run", "run_id").first()
-    assert row.run_status == "failed"
+    row = run("run-1")
+    assert row.run_status == "failed" and row.run_ended_at
     assert {o.outcome_name: o.outcome_count for o in row.stages[0].outcomes} == {"analyzed": 2, "not_reached": 3}
     assert "cut short" in row.stages[0].failure_reason
-    with runs.run_stage(lake, "run-1", "analysis") as stage:
-        stage.input_count, stage.outcomes = 2, {"analyzed": 2}
-    row = lake.read_objects("silver", "pipeline_run", "run_id").first()
+    with runs.RunningStage(lake, "run-1", "analysis") as stage:
+        stage.inputs = 2
+        stage.book({"analyzed": 2})
+    row = run("run-1")
     assert (row.run_status, len(row.stages)) == ("succeeded", 1)
-    with pytest.raises(ValueError, match="booked"), runs.run_stage(lake, "run-2", "analysis") as stage:
-        stage.input_count = 1
+    assert lake.read_log("silver", "stage_state").count() == 4
+    with pytest.raises(Exception, match="do not cover"), runs.RunningStage(lake, "run-2", "analysis") as stage:
+        stage.inputs = 1

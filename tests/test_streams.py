@@ -48,7 +48,8 @@ def test_refreshed_buckets_equal_a_full_fold(spark):
     labelled = gold.labelled_observations(bronze(spark, rows), silver(spark, [(r[0], ["A"]) for r in rows]))
     late = labelled.filter("collected_at >= '2026-06-23'")
     touched = stream.touched_buckets(late)
-    fresh = sorted(map(repr, stream.refreshed_picks(labelled, touched).collect()))
+    labels = silver(spark, [(r[0], ["A"]) for r in rows])
+    fresh = sorted(map(repr, stream.refreshed_picks(bronze(spark, rows), labels, touched).collect()))
     full = gold.all_picks(bronze(spark, rows), silver(spark, [(r[0], ["A"]) for r in rows]))
     keys = ["axis", "bucket_unit", "time_bucket"]
     assert fresh == sorted(map(repr, full.join(touched, keys, "left_semi").collect()))
