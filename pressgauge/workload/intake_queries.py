@@ -371,20 +371,22 @@ def bronze_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested(spark, sf).bodies
 
 
-_PLAIN = "CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\\x00-\\x7F]', '?'{g}) ELSE text END"
+_PLAIN = "CASE WHEN doc_id % 3 = 0 THEN '경제' || chr(10) || regexp_replace(text, '[^\x00-\x7F]', '?', 'g') ELSE text END"
 
 
 @query(
     "s11_s12_built_pages",
     # The text of each line, blanks squeezed; every third page is CP949 and begins with a Korean line.
-    "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(CASE WHEN doc_id % 3 = 0 THEN "
-    "'경제' || chr(10) ELSE '' END || " + _PLAIN.replace("{g}", ", 'g'").replace("\\\\", "\\") + ", chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'))), "
-    "lambda x: x <> ''), chr(10)) AS page_text FROM documents",
+    f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_PLAIN}, chr(10)), "
+    r"lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS page_text "
+    "FROM documents",
 )
 def built_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as web pages: teasers and menus around them, every second text split over two blocks,
     declared UTF-8, undeclared UTF-8 and undeclared CP949."""
-    docs = tables.table(spark, sf, "documents").select("doc_id", F.expr(_PLAIN.replace("{g}", "")).alias("text"))
+    narrow = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    text = F.when(F.col("doc_id") % 3 == 0, narrow).otherwise(F.col("text"))
+    docs = tables.table(spark, sf, "documents").select("doc_id", text.alias("text"))
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     lines = docs.withColumn("lines", F.split(safe, "\n"))
     paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
