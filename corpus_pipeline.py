@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, decontaminate, quality, queries, repeats, simhash
+from pressgauge.llm import common, decontaminate, quality, queries, repeats, simhash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

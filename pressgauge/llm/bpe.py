@@ -30,19 +30,19 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm.common import Memo, prepared, spans
 
-#: The vocabulary family's pre-token pattern (fixed value); see settled_pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 #: Unicode's white space, as a character class (fixed value).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Characters whose class is the same in all recent Unicode versions. A text with others is cut by
 #: the tokenizer library's own splitter, which may know another version than the regex module.
-SETTLED = r"[\x00-ԯ‐- ₠-鿿가-힣]*"
+SETTLED = r"[\x00-\u052f\u2010-\u205f\u20a0-\u9fff\uac00-\ud7a3]*"
 
 
 def settled_pattern() -> re.Pattern:
-    """PATTERN with its classes written out for characters below U+10000: twice as fast."""
+    r"""The vocabulary family's pre-token pattern, with its classes written out for settled characters.
+
+    Fixed value: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+    """
 
     def letters(kind: str) -> str:
         return "".join(re.escape(chr(c)) for c in range(1 << 16) if unicodedata.category(chr(c))[0] == kind)
