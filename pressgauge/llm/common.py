@@ -62,6 +62,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], whole[at[0] : at[-1]]
 
 
+_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, A-Z lowered."""
+    return text.translate(_LOWERED).split()
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a string column in UTF-8; a null is an empty text."""
+    offsets, data = text_buffers(column)
+    whole = data.tobytes()
+    at = offsets.tolist()
+    return (whole[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers starts[i] .. starts[i]+lengths[i]-1 of all i, one after the other."""
     total = int(lengths.sum())

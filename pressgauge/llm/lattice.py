@@ -27,13 +27,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import LOWER, UPPER, prepared, written
+from pressgauge.llm.common import UPPER, batches, prepared, texts_of, words_of, written
 
 #: Words that are sent to all tasks at most, and the longest of them in characters.
 FREQUENT, LONGEST = 150_000, 64
@@ -43,14 +44,6 @@ ROUNDS = 2
 CHUNK = 4096  # words of one length that are walked together
 MARK = "▁"
 
-_ASCII = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_ASCII).translate(_SPACES).split(" ") if w]
-
-
 def load_pieces(path: str, ranks: bool = True) -> tuple[dict[bytes, float], dict[bytes, float]]:
     """(first, inner): weights of pieces by their bytes, from a vocabulary's scores.
 
@@ -71,7 +64,7 @@ def load_pieces(path: str, ranks: bool = True) -> tuple[dict[bytes, float], dict
             continue
         weight = 1 / (2 - score) if ranks else float(np.exp(score))
         kind, piece = (first, piece[1:]) if piece.startswith(MARK) else (inner, piece)
-        if MARK not in piece and piece == piece.translate(_ASCII):
+        if MARK not in piece and not set(piece) & set(UPPER):
             kind[piece.encode()] = kind.get(piece.encode(), 0) + weight
     for b in range(256):
         inner[bytes([b])] = inner.get(bytes([b]), 0) + floor
@@ -215,7 +208,7 @@ def _log_sum(values: np.ndarray) -> np.ndarray:
 def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of (text, learn) with how often the rows to learn from have them; 0 for the others."""
     learnt: Counter = Counter()
-    other: set[str] = set()
+    other: set[bytes] = set()
 
     def out() -> pa.RecordBatch:
         rest = [w for w in other if w not in learnt]
@@ -227,8 +220,8 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other.clear()
         return batch
 
-    for batch in rows:
-        for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for batch in batches(rows):
+        for text, learn in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
             (learnt if learn else other).update(words_of(text))
         if len(learnt) + len(other) > HELD:
             yield out()
@@ -320,7 +313,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     c = np.array([x[1] for x in frequent], np.float64)
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     own = np.log10((c - d) / n + 10 ** (np.array([x[2] for x in frequent]) + np.log10(d * v / n))) if n else c
-    shared = spark.sparkContext.broadcast(({x[0]: i for i, x in enumerate(frequent)}, base, own))
+    shared = spark.sparkContext.broadcast(({x[0].encode(): i for i, x in enumerate(frequent)}, base, own))
     end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
     end_own = float(np.log10((ends - d) / n)) if n else float(np.log10(0.5))
 
@@ -330,16 +323,16 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
         base, own = np.append(base, 0.0), np.append(own, 0.0)
         for column in columns:
             tokens, known, bases, owns, rest, times, ends_at = [], [], [], [], [], [], [0]
-            for one in column.to_pylist():
+            for one in texts_of(column):
                 found = Counter(words_of(one))
                 number = np.fromiter(found.values(), np.int64, len(found))
-                place = np.fromiter((places.get(w, -1) for w in found), np.int64, len(found))
+                place = np.fromiter(map(places.get, found, repeat(-1)), np.int64, len(found))
                 tokens.append(int(number.sum()) + 1)
                 known.append(int(number[place >= 0].sum()) + (ends > 0))
                 bases.append(float(base[place] @ number) + end_base)
                 owns.append(float(own[place] @ number) + end_own)
                 rare = place < 0
-                rest += [w for w, r in zip(found, rare.tolist()) if r]
+                rest += compress(found, rare.tolist())
                 times.append(number[rare])
                 ends_at.append(len(rest))
             at = pa.array(ends_at, pa.int32())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import LOWER, UPPER, prepared, written
+from pressgauge.llm.common import prepared, texts_of, words_of, written
 from pressgauge.llm.components import components
 
 QUARTER, QUARTERS = 16, 4
@@ -38,22 +38,14 @@ GROUP = 4096
 #: Node pairs that are walked at a time, and rows of whole groups that are.
 WIDTH, BLOCK = 1 << 17, 1 << 16
 
-_ASCII = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_ASCII).translate(_SPACES).split(" ") if w]
-
-
-def fingerprint(words: list[str], size: int) -> int:
+def fingerprint(words: list[bytes], size: int) -> int:
     """As a signed 64-bit number."""
     if not words:
         return 0
     n = max(1, len(words) - size + 1)
     shingles = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
     hashed = xxhash.xxh64_intdigest
-    found = np.fromiter((hashed(" ".join(s).encode(), 42) for s in shingles), np.uint64, n)
+    found = np.fromiter((hashed(b" ".join(s), 42) for s in shingles), np.uint64, n)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded for very long texts
         part = found[at : at + (1 << 16)]
@@ -68,7 +60,7 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = 3, out: str = "f
     @F.arrow_udf("bigint")
     def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([fingerprint(words_of(t), size) for t in column.to_pylist()], pa.int64())
+            yield pa.array([fingerprint(words_of(t), size) for t in texts_of(column)], pa.int64())
 
     return df.withColumn(out, of(F.col(text)))
 
