@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import common, decontaminate, quality, queries, repeats, simhash
+from pressgauge.llm import common, decontaminate, neardups, quality, queries, repeats
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps the document with the least id of each component of near-duplicates: texts whose five-word
+    shingles have a similarity of 0.8 or more."""
+    return neardups.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,8 +45,12 @@ def fingerprint(words: list[bytes], size: int) -> int:
     n = max(1, len(words) - size + 1)
     shingles = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
     hashed = xxhash.xxh64_intdigest
-    found = np.fromiter((hashed(b" ".join(s), 42) for s in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter((hashed(b" ".join(s), 42) for s in shingles), np.uint64, n))
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes, as a signed 64-bit number; zero if there are none."""
+    n, ones = len(found), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded for very long texts
         part = found[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -288,7 +292,11 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
 
     A row that is repeated in id and text stays once, with the least values in its other columns.
     """
-    found = near_duplicates(df, doc_id, text, size, budget)
+    return first_of_each(df, near_duplicates(df, doc_id, text, size, budget), doc_id, text)
+
+
+def first_of_each(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``df`` for each component of ``found`` (doc_id, tie, component)."""
     # ranked by component, cut to one row in each task before the shuffle
     order = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "tie")
     kept = found.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pressgauge.llm import bpe, decontaminate, induced, langid, lattice, quality, repeats, simhash, sketches, warc, wordpiece
+from pressgauge.llm import bpe, decontaminate, induced, langid, lattice, neardups, quality, repeats, simhash, sketches, warc, wordpiece
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, score string, kept string, start int"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -490,3 +490,30 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         warc.read_packages(packages).collect()
     none = warc.write_packages(warc.decided(df.limit(0)), str(tmp_path / "q"))
     assert warc.read_packages(none).count() == 0
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_all_pairs_of_near_shingle_sets_are_linked(spark, docs, rows, nothing, monkeypatch, sample):
+    monkeypatch.setattr(neardups, "SAMPLE", sample)
+    rnd = random.Random(31)
+    made, line = [(r[0], r[1]) for r in rows], prose(rnd, 12)
+    for k in range(12):  # copies with more and more changed words, appended and cut ones, all with one line
+        words = f"{line} {prose(rnd, 150)}".split()
+        made += [(1000 + 20 * k, " ".join(words)), (1001 + 20 * k, " ".join(words[: 120 + 4 * k])), (1002 + 20 * k, " ".join([*words, *prose(rnd, 20 + 4 * k).split()]))]
+        for j in range(1, 7):
+            made.append((1002 + 20 * k + j, " ".join("new" if i in rnd.sample(range(162), j) else w for i, w in enumerate(words))))
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := tokens(t)) else set() for _, t in made]
+    up, lost = list(range(len(made))), 0
+    for i, j in itertools.combinations(range(len(made)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            lost += (simhash.fingerprint([w.encode() for w in tokens(made[i][1])], 3) ^ simhash.fingerprint([w.encode() for w in tokens(made[j][1])], 3)).bit_count() > 3
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+    assert lost > 50  # what three bits do not see
+    least = {}
+    for (d, _), root in zip(made, up):
+        least.setdefault(root, []).append(d)
+    want = sorted(min((d for d in ids if d is not None), default=-1) for ids in least.values())
+    assert sorted(r.doc_id for r in neardups.one_of_each(df).collect()) == want and len(want) < len(made) - 40
+    assert neardups.one_of_each(nothing).count() == 0

@@ -113,6 +113,20 @@ def test_pipeline_decides_as_planted(spark, planted):
     assert spark.createDataFrame([(r.doc_id,) for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()], "d bigint").count() == len(kept[3])
 
 
+def test_near_copies_with_moderate_edits_are_dropped(spark, planted):
+    rnd = random.Random(23)
+    rows = [(i, prose(rnd, 400)) for i in range(12)]
+    for i, text in rows[:12]:
+        words = text.split()
+        for k in rnd.sample(range(400), 8):  # two per cent of the words
+            words[k] = "changed"
+        rows.append((100 + i, " ".join(words)))
+    near = {100 + i for i in range(12) if jaccard(shingles(rows[i][1]), shingles(rows[12 + i][1])) >= 0.8}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, planted[0]).collect()}
+    assert len(near) >= 8 and kept == {i for i, _ in rows} - near
+
+
 def test_every_stage_takes_no_rows(spark, planted):
     none = common.table(spark, planted[0], "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
