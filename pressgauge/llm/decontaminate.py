@@ -8,8 +8,10 @@ goes through all cases).
 
 Each hit is verified: document and item are laid side by side at the hit, and some WINDOW words
 around it must be equal in a share of SHARE at least. An item with fewer words than WINDOW must be
-there whole, with that share of equal words. An item too short for seeds at all strides must be there
-word for word; one of fewer than LEAST words is no evidence and is never found.
+there whole, with that share of equal words; such items have masks of their own, by their number of
+words, that are joined at all places of a document and meet any substitutions which that share allows
+(only numbers of words that the benchmark has are looked for). An item of fewer than SEEDED words must
+be there word for word; one of fewer than LEAST words is no evidence and is never found.
 
 The benchmark's distinct seeds are sent to all tasks if there are at most SENT of them; if more, the
 join shuffles. Either way only rows with hits go on, so the documents' words are read again just for
@@ -26,8 +28,15 @@ from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 6, 7))
 SPAN, STRIDE, WINDOW, SHARE, LEAST = 8, 2, 13, 0.8, 5
-#: An item of fewer words may have no seed that a stride meets.
+#: An item of fewer words must be there word for word.
 SEEDED = SPAN + STRIDE - 1
+#: Masks for items of fewer words than WINDOW: at all places of item and document, they meet all substitutions.
+DENSE = {
+    9: ((0, 1, 2, 4, 5),),
+    10: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
+    12: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
+}
 #: Distinct benchmark seeds that are broadcast at most: 8 bytes each, some 20 MB as a hash table.
 SENT = 1_000_000
 
@@ -50,14 +59,21 @@ def _runs(column: str, n: int, places: str) -> str:
     return f"transform({places}, i -> struct(i AS at, xxhash64({-n}, {parts}) AS seed))"
 
 
+def _dense(column: str, mask: tuple[int, ...]) -> str:
+    """The seeds of one mask of DENSE at all places, as SQL."""
+    places = f"CASE WHEN size({column}) <= {mask[-1]} THEN cast(array() as array<int>) ELSE sequence(0, size({column}) - {mask[-1] + 1}) END"
+    parts = ", ".join(f"{column}[i + {o}]" for o in mask)
+    return f"transform({places}, i -> struct(i AS at, xxhash64('{mask}', {parts}) AS seed))"
+
+
 def _document_seeds(docs: DataFrame, short: list[int]) -> DataFrame:
-    """(doc_id, at, seed); the last place counts too where the stride doesn't meet it."""
+    """(doc_id, at, seed): masks at every STRIDE-th place from the first, and what items of ``short`` words need."""
     last = f"(size(words) - {SPAN})"
     strided = f"CASE WHEN {last} < 0 THEN cast(array() as array<int>) ELSE sequence(0, {last}, {STRIDE}) END"
     every = [
         _runs("words", n, f"CASE WHEN size(words) < {n} THEN cast(array() as array<int>) ELSE sequence(0, size(words) - {n}) END")
-        for n in short
-    ]
+        for n in short if n < SEEDED
+    ] + [_dense("words", mask) for mask in sorted({mask for n in short for mask in DENSE.get(n, ())})]
     all_seeds = ", ".join([_seeds("words", "places"), *every])
     return (
         docs.select("doc_id", "words", F.expr(strided).alias("places"))
@@ -69,9 +85,13 @@ def _benchmark_seeds(items: DataFrame) -> DataFrame:
     """(seed, at, before, around, need, item_id): around are the item's words near the seed, of which
     ``before`` come before it; need words in a window of ``wide`` must be equal."""
     margin = WINDOW - SPAN
-    long = items.where(f"n >= {SEEDED}").withColumn("places", F.expr(f"sequence(0, n - {SPAN})")).select(
+    strided = items.where(f"n >= {WINDOW}").withColumn("places", F.expr(f"sequence(0, n - {SPAN})")).select(
         "item_id", "words", "n", F.expr(f"explode({_seeds('words', 'places')})").alias("s")
-    ).select(
+    )
+    for n, masks in DENSE.items():
+        all_seeds = ", ".join(_dense("words", mask) for mask in masks)
+        strided = strided.union(items.where(f"n = {n}").select("item_id", "words", "n", F.expr(f"explode(concat({all_seeds}))").alias("s")))
+    long = strided.select(
         "item_id", "s.seed",
         F.expr(f"CASE WHEN n <= {WINDOW} THEN s.at ELSE least(s.at, {margin}) END").alias("before"),
         F.expr(f"CASE WHEN n <= {WINDOW} THEN words ELSE slice(words, greatest(s.at - {margin}, 0) + 1, {SPAN + margin} + least(s.at, {margin})) END").alias("around"),
@@ -98,7 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("words")).withColumn("n", F.size("words"))
     worded = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    short = [r.n for r in items.where(f"n between {LEAST} and {SEEDED - 1}").select("n").distinct().collect()]  # SEEDED at most
+    short = [r.n for r in items.where(f"n between {LEAST} and {WINDOW - 1}").select("n").distinct().collect()]  # WINDOW at most
     seeds = _benchmark_seeds(items)
     # items that have the same words around a seed are verified once
     contexts = seeds.select("seed", "before", "around", "wide", "need").distinct()

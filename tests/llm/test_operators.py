@@ -235,6 +235,21 @@ def test_network_gradients_are_derivatives():
         flat[at] = old
 
 
+def test_short_items_are_found_with_all_substitutions_that_the_share_allows(spark):
+    said, docs, bench = iter(f"w{i}" for i in itertools.count()), [], []
+    for n in range(decontaminate.SEEDED, decontaminate.WINDOW):
+        item = [next(said) for _ in range(n)]
+        bench.append((n, " ".join(item)))
+        wrong = n - math.ceil(n * decontaminate.SHARE)
+        for k in (0, wrong, wrong + 1):  # one more is not found
+            for lead, changed in itertools.product((4, 5), itertools.combinations(range(n), k)):
+                words = [next(said) for _ in range(lead)] + [f"x{w}" if i in changed else w for i, w in enumerate(item)] + [next(said)]
+                docs.append((1000 * len(docs) + 10 * n + (k <= wrong), " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(df, spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == {(d, d % 1000 // 10) for d, _ in docs if d % 10}
+
+
 def test_language_is_learnt_and_edge_cases_hold(spark, docs, nothing):
     rnd = random.Random(6)
     say = lambda parts, n: " ".join("".join(rnd.choices(parts, k=3)) for _ in range(n))
