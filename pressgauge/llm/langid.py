@@ -136,19 +136,20 @@ def probabilities(tables: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _samples(df: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows and their languages' numbers: TEXTS texts of each, by a hash of the text."""
+    """Languages, windows and their languages' numbers: TEXTS different texts of each, by a hash of the text."""
     known = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
         f"lang is not null and lang <> '{UNKNOWN}' and text rlike '\\\\p{{L}}'"
     )
     # A hash leaves about twice TEXTS of each language, so that few rows meet to be ordered.
-    counts = known.groupBy("lang").count().collect()  # a row for each language
+    different = known.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    counts = different.groupBy("lang").count().collect()  # a row for each language
     parts = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, int((1 << 30) * min(1.0, 2 * TEXTS / r["count"])))))
     if not counts:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     rows = (
         known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(parts, F.col("lang")))
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= TEXTS)
+        .distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= TEXTS)
         .select("lang", F.encode("text", "utf-8").alias("data"))
         .withColumn("n", F.ceil(F.length("data") / WINDOW))
         .withColumn("k", F.expr(f"explode(transform(sequence(0L, least({WINDOWS}, n) - 1), i -> (i * n) div least({WINDOWS}, n)))"))

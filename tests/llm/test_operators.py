@@ -250,6 +250,16 @@ def test_short_items_are_found_with_all_substitutions_that_the_share_allows(spar
     assert got == {(d, d % 1000 // 10) for d, _ in docs if d % 10}
 
 
+def test_many_copies_of_one_text_count_once_in_training(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 20)
+    made = [(f"{lang} text number {i}", lang) for lang in ("aa", "bb") for i in range(20)]
+    copies = [(f"{lang} text number {i}", lang) for lang in ("aa", "bb") for i in range(3) for _ in range(300)]
+    df = spark.createDataFrame(made + copies, "text string, lang string").repartition(3)
+    langs, x, y = langid._samples(df, "text", "lang")
+    assert langs == ["aa", "bb"] and len(x) == 40
+    assert {bytes(row).rstrip(b"\0").decode() for row in x} == {t for t, _ in made}
+
+
 def test_language_is_learnt_and_edge_cases_hold(spark, docs, nothing):
     rnd = random.Random(6)
     say = lambda parts, n: " ".join("".join(rnd.choices(parts, k=3)) for _ in range(n))
