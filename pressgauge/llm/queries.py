@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, common, decontaminate, langid, lattice, quality, repeats, simhash, sketches, warc, wordpiece
+from pressgauge.llm import (
+    bpe, common, decontaminate, langid, lattice, mixing, quality, repeats, simhash, sketches, warc, wordpiece,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -96,6 +98,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_packages(warc.write_packages(records, warc.packages_folder(spark)))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(common.table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +119,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_mixing": op11_mixing,
     "pipeline": pipeline,
 }
 
