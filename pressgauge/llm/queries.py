@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.llm import (
-    bpe, common, decontaminate, langid, lattice, mixing, negatives, quality, repeats, simhash, sketches, warc, wordpiece,
+    bpe, collocations, common, decontaminate, langid, lattice, mixing, negatives, quality, repeats, simhash, sketches, warc, wordpiece,
 )
 
 
@@ -102,6 +102,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(common.table(spark, sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(common.table(spark, sf_dir, "embeddings"), label=label)
@@ -125,11 +129,39 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_mixing": op11_mixing,
+    "op12_collocations": op12_collocations,
     "op13_negatives": op13_negatives,
     "pipeline": pipeline,
 }
 
+_LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS w
+            FROM (SELECT lang, unnest(string_split_regex({_LOWER_AZ}, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents)),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+        grams AS (
+            SELECT lang, list_slice(w, i, i + m - 1) AS g FROM places, (VALUES (1), (2), (3)) AS s(m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, g, count(*) AS c FROM grams GROUP BY lang, g HAVING count(*) >= 10),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+        cuts AS (SELECT lang, g, c AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+        scored AS (
+            SELECT u.*, x.c AS l, y.c AS r, CAST(1000000::HUGEINT * a * a // (x.c::HUGEINT * y.c) AS BIGINT) AS score
+            FROM cuts u JOIN f x ON x.lang = u.lang AND x.g = list_slice(u.g, 1, k)
+            JOIN f y ON y.lang = u.lang AND y.g = list_slice(u.g, k + 1, len(u.g))),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        around AS (
+            SELECT lang, g, max(c) AS around
+            FROM (SELECT lang, c, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) AS g FROM f WHERE len(g) = 3) GROUP BY lang, g),
+        kept AS (
+            SELECT l.*, array_to_string(l.g, ' ') AS phrase FROM lowest l LEFT JOIN around o ON o.lang = l.lang AND o.g = l.g
+            WHERE around IS NULL OR 100 * around < 50 * a)
+        SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+               a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
     "op13_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
