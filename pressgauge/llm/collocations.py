@@ -233,40 +233,91 @@ def _counted(n: int, shared, mask: int):
     return run
 
 
+class Read:
+    """Phrases that a task has read, by fingerprint. Each word's fingerprint stands for one text; whatever
+    else has it is odd and kept by text."""
+
+    def __init__(self) -> None:
+        self.names: dict[int, bytes] = {}
+        self.held: dict[tuple[str, int], list] = {}
+        self.odd: Counter = Counter()
+
+    def size(self) -> int:
+        return sum(len(part[0]) for parts in self.held.values() for part in parts) + len(self.odd) + len(self.names)
+
+    def odd_words(self, words: Words, marked: np.ndarray) -> np.ndarray:
+        """Which of the marked words have a fingerprint that stands for another text."""
+        at = np.flatnonzero(marked)
+        symbols, first, which = np.unique(words.symbols[at], return_index=True, return_inverse=True)
+        texts = [words.block[a:b] for a, b in zip(words.starts[at[first]].tolist(), words.ends[at[first]].tolist())]
+        clash = [self.names.setdefault(s, text) != text for s, text in zip(symbols.tolist(), texts)]
+        odd = words.odd_words()
+        odd[at] |= np.array(clash, bool)[which]
+        return odd
+
+    def add(self, lang: str, n: int, words: Words, odd_word: np.ndarray, prints: np.ndarray, at: np.ndarray) -> None:
+        """The n-grams that begin at the words ``at``."""
+        odd = np.zeros(len(at), bool)
+        for k in range(n):
+            odd |= odd_word[at + k]
+        for i in at[odd].tolist():
+            self.odd[lang, words.text(i, n)] += 1
+        at = at[~odd]
+        symbols = np.stack([words.symbols[at + k] for k in range(n)], axis=1)
+        self.merge(lang, n, prints[at], symbols, np.ones(len(at), np.int64))
+
+    def merge(self, lang: str, n: int, prints: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> None:
+        """Compare all n-grams of a fingerprint with the first one of it; count what is equal together."""
+        parts = self.held.setdefault((lang, n), [])
+        distinct, first, which = np.unique(prints, return_index=True, return_inverse=True)
+        differ = (symbols != symbols[first][which]).any(axis=1)
+        for i in np.flatnonzero(differ).tolist():
+            self.odd[lang, self.text(symbols[i])] += int(counts[i])
+        parts.append((distinct, symbols[first], np.bincount(which[~differ], counts[~differ], len(distinct)).astype(np.int64)))
+        if len(parts) > 8:
+            together = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
+            self.merge(lang, n, *together)
+
+    def text(self, symbols: np.ndarray) -> bytes:
+        return b" ".join([self.names[s] for s in symbols.tolist()])
+
+    def out(self) -> Iterator[tuple[list, list, list]]:
+        """Columns of (lang, phrase, count); empties all."""
+        for (lang, n), parts in list(self.held.items()):
+            if len(parts) > 1:
+                together = [np.concatenate(x) for x in zip(*parts)]
+                parts.clear()
+                self.merge(lang, n, *together)
+            for _, symbols, counts in parts:
+                for a in range(0, len(counts), 20_000):
+                    texts = [b" ".join([self.names[s] for s in row]) for row in symbols[a : a + 20_000].tolist()]
+                    yield [lang] * len(texts), texts, counts[a : a + 20_000]
+        if self.odd:
+            yield [k[0] for k in self.odd], [k[1] for k in self.odd], np.array(list(self.odd.values()))
+        self.__init__()
+
+
 def _read(shared, mask: int):
     """(lang, phrase, count) of the n-grams that are marked, by their text."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, held = shared.value, Counter()
+        marks, read = shared.value, Read()
 
         def out() -> Iterator[pa.RecordBatch]:
-            listed = list(held.items())
-            held.clear()
-            for a in range(0, len(listed), 20_000):
-                part = listed[a : a + 20_000]
+            for langs, texts, counts in read.out():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())],
-                    schema=schema,
+                    [pa.array(langs, pa.string()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], schema=schema
                 )
 
         for lang, block in blocks(rows):
             words = Words(block, lang, mask)
-            odd_word = words.odd_words()
+            odd_word = read.odd_words(words, marks[0].has(words.prints(1)[0]))
             for n in range(1, len(marks) + 1):
                 prints, fit = possible(words, n, marks)
-                at = np.flatnonzero(fit & marks[n - 1].has(prints))
-                _, first, which, times = np.unique(prints[at], return_index=True, return_inverse=True, return_counts=True)
-                like = at[first][which]
-                odd = np.zeros(len(at), bool)  # occurrences that are not what the first of their fingerprint is
-                for k in range(n):
-                    odd |= (words.symbols[at + k] != words.symbols[like + k]) | odd_word[at + k] | odd_word[like + k]
-                times -= np.bincount(which[odd], minlength=len(first))
-                for i, c in zip(at[first[times > 0]].tolist(), times[times > 0].tolist()):
-                    held[lang, words.text(i, n)] += c
-                for i in at[odd].tolist():
-                    held[lang, words.text(i, n)] += 1
-            if len(held) > HELD // 4:
+                read.add(lang, n, words, odd_word, prints, np.flatnonzero(fit & marks[n - 1].has(prints)))
+            if read.size() > HELD:
                 yield from out()
         yield from out()
 
