@@ -185,11 +185,14 @@ def _marks(counts: DataFrame, bits: int) -> Marks:
 
 
 def possible(words: Words, n: int, marks: list[Marks]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, which of them may be frequent): in one piece, and both n-1-grams in them are marked."""
-    prints, fit = words.prints(n)
-    if n > 1:
-        part = marks[n - 2].has(words.prints(n - 1)[0])
-        fit = fit & part[: len(prints)] & part[1 : 1 + len(prints)]
+    """(fingerprints, which of them may be frequent): in one piece, and all shorter n-grams in them are marked."""
+    kept = None
+    for k in range(1, n + 1):
+        prints, fit = words.prints(k)
+        if kept is not None:
+            fit = fit & kept[: len(prints)] & kept[1 : 1 + len(prints)]
+        if k < n:
+            kept = fit & marks[k - 1].has(prints)
     return prints, fit
 
 
