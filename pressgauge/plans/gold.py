@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 
 from pressgauge.operators import contributions, picks, shares, tone, versions
 from pressgauge.operators.picks import BUCKET_KEYS, WINDOW_KEYS
+from pressgauge.plans import refresh
 from pressgauge.session import scratch_scope, staged
+from pressgauge.sources.builds import Builds, with_week
 
 
 def labelled_observations(
@@ -60,31 +62,30 @@ def aggregate(
 
 
 def publish(lake, built: Gold) -> Gold:
-    """Write the six datasets, each replaced whole, and hand back what readers will see."""
-    out = {}
-    for name, rows in built.datasets().items():
-        by = ["bucket_unit"] if "bucket_unit" in rows.columns else None
-        out[name] = lake.write_records("gold", name, rows, by)
-    return Gold(**out)
+    """Replace the six datasets at once, whole, and hand back what readers will see. What a later refresh
+    would build upon is gone with them, so that one folds all again."""
+    Builds(lake, "gold").commit({name: (with_week(rows), None) for name, rows in built.datasets().items()})
+    lake.write_records("gold", "fold_cycle", lake.read_records("gold", "fold_cycle").limit(0))
+    return read(lake)
 
 
 def aggregate_lake(lake, decision: tuple[str, str, str] | None = None) -> Gold:
     """The whole job on a lake, after an optional (decision, version, memo).
 
     Publishing or rolling back only moves the pointer to a label version: Gold is folded again
-    from the rows that version serves, and nothing is labelled again.
+    from the rows that version serves, and nothing is labelled again. Without a decision only what
+    changed since the last time is folded again.
     """
     if decision is not None:
         versions.record_decision(lake, *decision)
-    pointed = versions.serving_version(lake.read_records("silver", "reprocess_decision"))
-    bronze = lake.read_cycles("bronze", "news_item")
-    silver = lake.read_cycles("silver", "analysis")
     with scratch_scope(lake.spark):
-        return publish(lake, aggregate(bronze, silver, pointed))
+        refresh.refresh(lake)
+    return read(lake)
 
 
 def read(lake) -> Gold:
-    return Gold(**{name: lake.read_records("gold", name) for name in Gold.__dataclass_fields__})
+    builds = Builds(lake, "gold")
+    return Gold(**{name: builds.rows(name) for name in Gold.__dataclass_fields__})
 
 
 __all__ = ["BUCKET_KEYS", "WINDOW_KEYS", "Gold", "aggregate", "aggregate_lake", "all_picks", "labelled_observations", "publish",

@@ -543,17 +543,14 @@ def _keep_in_step(
 def settled_marks(lake, version: str, visited: DataFrame, before: DataFrame) -> DataFrame:
     """A mark per visited cycle: Bronze's signature from before the run, Silver's as written by it."""
     parts = list(PARTITION)
-    bronze = before.join(visited, parts, "left_semi").select(
-        *parts,
-        F.col("signature").alias("bronze_signature"),
-        F.col("row_count").alias("bronze_count"),
-    )
-    silver = lake.signatures("silver", "analysis").select(
-        *parts,
-        F.col("signature").alias("silver_signature"),
-        F.col("row_count").alias("silver_count"),
-    )
-    return with_cycle(bronze.join(silver, parts)).select(
+
+    def marks(layer: str, dataset: str, tokens: DataFrame) -> DataFrame:
+        counts = lake.row_counts(layer, dataset, visited).withColumnRenamed("row_count", f"{layer}_count")
+        own = only_cycles(tokens, visited.select(*parts).distinct())
+        return own.withColumnRenamed("signature", f"{layer}_signature").join(counts, parts)
+
+    both = marks("bronze", "news_item", before).join(marks("silver", "analysis", lake.signatures("silver", "analysis")), parts)
+    return with_cycle(both).select(
         F.lit(version).alias("analyzer_version"),
         "collection_cycle",
         "bronze_signature",

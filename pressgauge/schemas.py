@@ -88,6 +88,19 @@ RECORD_LATEST = (
     "confidence double, analyzer_version string, run_id string, call_id string, no_call_reason string, "
     "exchange_state string, call_outcome string, title string, source_id string, collected_at string"
 )
+#: Newest observation of each article per axis and hour: what windows are folded from.
+HOUR_PICK = (
+    f"axis string, {BUCKET}, article string, collected_at string, record_id string, source_id string, "
+    "`keys` array<string>, sentiment string"
+)
+#: In how many buckets of a week a subject is present.
+LINE_WEEK = "axis string, bucket_unit string, subject string, buckets bigint"
+#: The cycles that Gold was folded from, as they were, and the weeks their observations fall into.
+FOLD_CYCLE = (
+    f"{PARTITION_DDL}, bronze_signature string, silver_signature string, weeks array<string>, "
+    "serving_version string"
+)
+POINTER = "dataset string, bucket_unit string, week string, build string"
 BODY_SHARE = "body_hash string, shares bigint"
 RUN_CALL = "run_id string, call_outcome string, calls bigint"
 
@@ -111,4 +124,8 @@ DATASETS = {
     ("index", "body_share"): BODY_SHARE,
     ("index", "run_call"): RUN_CALL,
     ("gold", "axis_window"): AXIS_WINDOW,
+    ("gold", "hour_pick"): HOUR_PICK,
+    ("gold", "line_week"): LINE_WEEK,
+    ("gold", "fold_cycle"): FOLD_CYCLE,
+    ("gold", "pointer"): POINTER,
 }

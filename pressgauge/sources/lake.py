@@ -160,29 +160,27 @@ class Lake:
     def partitions(self, layer: str, dataset: str) -> DataFrame:
         return self.read_cycles(layer, dataset).select(*_PARTS).distinct()
 
-    def signatures(self, layer: str, dataset: str) -> DataFrame:
-        """A token per partition that differs after any rewrite.
+    def listed(self, layer: str, dataset: str) -> DataFrame:
+        """(path, length, modificationTime, partition columns) of the dataset's files. Spark lists the
+        folders in tasks; no file is opened."""
+        path = self.folder(layer, dataset)
+        files = "path string, modificationTime timestamp, length bigint"
+        if not self._exists(path):
+            return self._empty(f"{files}, {PARTITION_DDL}")
+        return self.spark.read.schema(f"{files}, content binary, {PARTITION_DDL}").format("binaryFile").load(path).drop("content")
 
-        It comes from the files' own metadata, so unchanged partitions are told without
-        comparing their rows.
-        """
-        rows = self.read_cycles(layer, dataset)
-        if not self._exists(self.folder(layer, dataset)):
-            return self._empty(f"{PARTITION_DDL}, signature string, row_count bigint")
-        files = rows.groupBy(
-            *_PARTS,
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_modification_time").alias("changed_at"),
-        ).agg(F.count("*").alias("file_rows"))
-        mark = F.xxhash64("file_path", "file_size", "changed_at")
-        return files.groupBy(*_PARTS).agg(
-            F.concat_ws(
-                "-", F.count("*"), F.hex(F.bit_xor(mark)), F.sum("file_size")
-            ).alias("signature"),
-            F.sum("file_rows").alias("row_count"),
+    def signatures(self, layer: str, dataset: str) -> DataFrame:
+        """A token per partition that differs after any rewrite, from the listing of its files alone."""
+        mark = F.xxhash64("path", "length", "modificationTime")
+        return self.listed(layer, dataset).groupBy(*_PARTS).agg(
+            F.concat_ws("-", F.count("*"), F.hex(F.bit_xor(mark)), F.sum("length")).alias("signature")
         )
 
+    def row_counts(self, layer: str, dataset: str, cycles: DataFrame) -> DataFrame:
+        """Rows of each of these partitions; no column is read."""
+        rows = only_cycles(self.read_cycles(layer, dataset), cycles_of(cycles))
+        return rows.groupBy(*_PARTS).agg(F.count("*").alias("row_count"))
+
     def write_cycles(self, layer: str, dataset: str, rows: DataFrame) -> None:
         """Replace exactly the partitions ``rows`` has rows for.
 

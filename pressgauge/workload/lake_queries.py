@@ -5,17 +5,21 @@ Each run gets a fresh folder below the shared scratch folder, so runs never see
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.operators import versions
-from pressgauge.plans import gold, labelling, runs, serving
+from pressgauge.plans import gold, labelling, refresh, runs, serving
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, NEWS_ITEM, PARTITION
 from pressgauge.session import scratch_path
+from pressgauge.sources.builds import Builds
 from pressgauge.sources.lake import Lake, with_cycle, with_partition
 from pressgauge.streaming import observations as stream
 from pressgauge.workload import tables
-from pressgauge.workload.oracle import sql
+from pressgauge.workload.gold_queries import spark_units
+from pressgauge.workload.oracle import _CTES, sql
 from pressgauge.workload.screen_queries import published
 
 QUERIES: dict = {}
@@ -259,8 +263,11 @@ def upserted(spark: SparkSession, sf: str) -> DataFrame:
 # -- label versions ---------------------------------------------------------------------------
 
 
-def _silver_rows(spark: SparkSession, sf: str, version: str) -> DataFrame:
-    rows = tables.analyses(spark, sf).filter(F.col("analyzer_version") == version)
+def _silver_rows(spark: SparkSession, sf: str, version: str | None = None) -> DataFrame:
+    """Analyses of one version or of both."""
+    rows = tables.analyses(spark, sf)
+    if version:
+        rows = rows.filter(F.col("analyzer_version") == version)
     return rows.withColumn("sentiment_rationale", F.lit(None).cast("string")).select(
         *_names_of_analysis()
     )
@@ -329,47 +336,109 @@ def decision_log(spark: SparkSession, sf: str) -> DataFrame:
     return lake.read_records("silver", "reprocess_decision").drop("decided_at")
 
 
+def _stored_lake(spark: SparkSession, sf: str, first: str, rest: str = "false") -> Lake:
+    """A lake of observations and both versions of their labels, without what ``rest`` selects."""
+    lake = _new_lake(spark)
+    items = _hourly(spark, sf).filter(first).filter(f"NOT ({rest})")
+    lake.write_cycles("bronze", "news_item", items)
+    versions.store_analyses(lake, items, _silver_rows(spark, sf), counted=False)
+    return lake
+
+
+_UNITS = "CAST(round({} * 10000) AS BIGINT)"
+_TONES = ("positive", "neutral", "negative", "mixed", "unanalyzed")
+
+
+def _flat(built: gold.Gold) -> DataFrame:
+    """All values of the six datasets as (dataset, row) texts; shares in whole ten-thousandths."""
+    units = lambda c: F.round(F.col(c) * 10000).cast("bigint")
+    bucket = ["axis", "bucket_unit", "time_bucket"]
+    window = ["axis", "range", "period", "window_start", "window_end"]
+    listed = {
+        "article_pick": [*bucket, "record_id", "source_id", "collected_at", F.array_join("counted_subjects", ",")],
+        "subject_trend": ["subject", *bucket, "raw_count", units("normalized_share"), F.round(F.col("delta") * 100).cast("bigint"), spark_units()],
+        "subject_source_contribution": ["subject", *bucket, "source_id", "raw_count", units("raw_share"), units("normalized_contribution")],
+        "axis_sentiment": [*bucket, *[units(f"distribution.{t}") for t in _TONES], "analyzed_total"],
+        "subject_window": ["subject", *window, "raw_count", units("normalized_share")],
+        "axis_window": [*window, "collected", "analyzed_total"],
+    }
+    rows = built.datasets()
+    flat = [rows[n].select(F.lit(n).alias("dataset"), F.concat_ws("|", *columns).alias("row")) for n, columns in listed.items()]
+    return reduce(DataFrame.unionByName, flat)
+
+
+_BUCKET = "axis, bucket_unit, time_bucket"
+_WINDOW = "axis, range, period, window_start, window_end"
+#: The DuckDB twin of :func:`_flat`.
+_FLAT = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, concat_ws('|', {columns}) AS row FROM {table}"
+    for name, columns, table in (
+        ("article_pick", f"{_BUCKET}, record_id, source_id, collected_at, array_to_string(keys, ',')", "picks WHERE len(keys) > 0"),
+        ("subject_trend", f"subject, {_BUCKET}, raw_count, units, CAST(round(delta * 100) AS BIGINT), array_to_string(spark_units, ',')", "trend"),
+        ("subject_source_contribution", f"subject, {_BUCKET}, source_id, raw_count, {_UNITS.format('raw_share')}, "
+         f"{_UNITS.format('normalized_contribution')}", "contrib"),
+        ("axis_sentiment", f"{_BUCKET}, {', '.join(_UNITS.format(t) for t in _TONES)}, analyzed_total", "axis_sentiment"),
+        ("subject_window", f"subject, {_WINDOW}, raw_count, {_UNITS.format('normalized_share')}", "subject_window"),
+        ("axis_window", f"{_WINDOW}, collected, analyzed_total", "axis_window"),
+    )
+)
+
+
 @query(
     "q13_rebuilt_with_decision",
-    "SELECT subject, axis, time_bucket, CAST(count(*) AS BIGINT) AS raw_count FROM ("
-    "SELECT p.axis, p.time_bucket, unnest(p.keys) AS subject FROM chosen_picks p) GROUP BY ALL",
-    chosen="SELECT * FROM silver QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY "
+    _FLAT,
+    served="SELECT * FROM silver QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY "
     "analyzer_version = 'v1' DESC, analyzed_at DESC, analyzer_version DESC) = 1",
-    chosen_picks="SELECT b.axis, substr(b.collected_at, 1, 10) AS time_bucket, "
-    "coalesce(c.subject_categories, c.narrative_subjects) AS keys FROM bronze b JOIN chosen c "
-    "USING (record_id) QUALIFY row_number() OVER (PARTITION BY b.axis, substr(b.collected_at, 1, "
-    "10), coalesce(nullif(b.source_url, ''), b.record_id) ORDER BY b.collected_at DESC, "
-    "b.record_id DESC) = 1",
 )
 def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
-    """Publishing a version moves a pointer; Gold is folded again and nothing is relabelled."""
-    lake = _new_lake(spark)
-    versions.record_decision(lake, "publish", "v1", "compare looked right")
-    pointed = versions.serving_version(lake.read_records("silver", "reprocess_decision"))
-    built = gold.aggregate(tables.observations(spark, sf), tables.analyses(spark, sf), pointed)
-    return built.subject_trend.filter("bucket_unit = 'day' AND axis <> 'ALL'").select(
-        "subject", "axis", "time_bucket", "raw_count"
-    )
+    """Publishing a version moves a pointer; Gold of the lake is folded again and nothing is relabelled."""
+    lake = _stored_lake(spark, sf, "true")
+    gold.aggregate_lake(lake)
+    gold.aggregate_lake(lake, ("publish", "v2", "newer"))
+    return _flat(gold.aggregate_lake(lake, ("rollback", "v1", "compare looked wrong")))
+
+
+@query("k10_b3_gold_datasets", _FLAT)
+def gold_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(published(spark, sf))
+
+
+#: What the lake of ``b3_incremental`` holds in the end, as a condition on observations.
+_LEFT = "NOT (day = '11' OR (day = '19' AND view_count >= 5))"
 
 
 @query(
-    "k10_b3_gold_datasets",
-    "SELECT 'article_pick' AS dataset, (SELECT count(*) FROM picks WHERE len(keys) > 0) AS rows "
-    "UNION ALL SELECT 'subject_trend', (SELECT count(*) FROM trend) "
-    "UNION ALL SELECT 'subject_source_contribution', (SELECT count(*) FROM contrib) "
-    "UNION ALL SELECT 'axis_sentiment', (SELECT count(*) FROM axis_sentiment) "
-    "UNION ALL SELECT 'subject_window', (SELECT count(*) FROM subject_window) "
-    "UNION ALL SELECT 'axis_window', (SELECT count(*) FROM axis_window)",
+    "b3_incremental",
+    _FLAT,
+    all_bronze=_CTES["bronze"],
+    bronze="SELECT * FROM all_bronze WHERE substr(collected_at, 9, 2) <> '11' AND NOT (substr(collected_at, 9, 2) = '19' AND view_count >= 5)",
 )
-def gold_datasets(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = [
-        rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
-        for name, rows in published(spark, sf).datasets().items()
-    ]
-    out = sizes[0]
-    for more in sizes[1:]:
-        out = out.unionByName(more)
-    return out
+def incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold of a lake, then late cycles, a day that is gone and a day that is written again: only their weeks are
+    folded again, and the six datasets are as if all had been."""
+    lake = _stored_lake(spark, sf, "true", "day IN ('05', '25')")
+    gold.aggregate_lake(lake)
+    items = _hourly(spark, sf)
+    late = items.filter("day IN ('05', '25')")
+    lake.write_cycles("bronze", "news_item", late)
+    versions.store_analyses(lake, late, _silver_rows(spark, sf), counted=False)
+    gold.aggregate_lake(lake)
+    again = items.filter(f"day = '19' AND {_LEFT}")
+    empty = items.filter("day = '19'").join(again, list(PARTITION), "left_anti")
+    lake.clear_cycles("bronze", "news_item", items.filter("day = '11'").unionByName(empty))
+    lake.write_cycles("bronze", "news_item", again)
+    return _flat(gold.aggregate_lake(lake))
+
+
+@query(
+    "t3_bounded_windows",
+    "SELECT axis, range, period, window_start, window_end, collected, analyzed_total FROM axis_window",
+)
+def bounded_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a stored Gold, folded from the weeks they reach into and no others."""
+    lake = _stored_lake(spark, sf, "true")
+    gold.aggregate_lake(lake)
+    return refresh.windows(refresh.window_hours(Builds(lake, "gold")))["axis_window"]
 
 
 @query(
