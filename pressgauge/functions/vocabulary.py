@@ -37,34 +37,34 @@ TITLE_ALIASES = (
     ("환율", "원/달러 환율"),
 )
 
-# Subject -> the name the Korean press uses for it.
-PRESS_NAMES = {
-    "Federal Reserve": "연준",
-    "Nvidia": "엔비디아",
-    "US CPI": "미국 소비자물가지수",
-    "AI 반도체 capex": "AI 반도체 설비투자",
-}
-
-# Surface form -> press name, beyond the two lists above.
-SURFACE_FORMS = {
-    "the fed": "연준",
-    "미 연준": "연준",
-    "미국 연준": "연준",
-    "연방준비제도": "연준",
-    "미국 연방준비제도": "연준",
-    "미국 cpi": "미국 소비자물가지수",
-    "미국 소비자물가": "미국 소비자물가지수",
-    "world bank": "세계은행",
-    "세계은행그룹": "세계은행",
-    "world bank group": "세계은행",
-    "imf": "국제통화기금",
-    "ifc": "국제금융공사",
-    "ida": "국제개발협회",
-    "ibrd": "국제부흥개발은행",
-    "miga": "다자간투자보증기구",
-    "imfc": "국제통화금융위원회",
-    "중동 전쟁": "중동 전쟁",
-    "이란 전쟁": "이란 전쟁",
+# Canonical name -> the names that are folded onto it.
+SPELLINGS = {
+    "한국은행 기준금리": ("한국은행 기준금리", "기준금리"),
+    "삼성전자": ("삼성전자", "samsung", "삼성"),
+    "원/달러 환율": ("원/달러 환율", "환율"),
+    "코스피": ("코스피",),
+    "전기요금": ("전기요금",),
+    "가계부채": ("가계부채",),
+    "SK하이닉스": ("SK하이닉스",),
+    "부동산 PF": ("부동산 PF",),
+    "연준": (
+        "Federal Reserve", "연준", "fed", "the fed", "미 연준", "미국 연준", "연방준비제도", "미국 연방준비제도",
+    ),
+    "엔비디아": ("Nvidia", "엔비디아"),
+    "미국 소비자물가지수": ("US CPI", "미국 소비자물가지수", "미국 cpi", "미국 소비자물가"),
+    "S&P 500": ("S&P 500",),
+    "AI 반도체 설비투자": ("AI 반도체 capex", "AI 반도체 설비투자"),
+    "원유 가격": ("원유 가격",),
+    "글로벌 공급망": ("글로벌 공급망",),
+    "세계은행": ("world bank", "세계은행그룹", "world bank group"),
+    "국제통화기금": ("imf",),
+    "국제금융공사": ("ifc",),
+    "국제개발협회": ("ida",),
+    "국제부흥개발은행": ("ibrd",),
+    "다자간투자보증기구": ("miga",),
+    "국제통화금융위원회": ("imfc",),
+    "중동 전쟁": ("중동 전쟁",),
+    "이란 전쟁": ("이란 전쟁",),
 }
 
 # A trailing Latin acronym in brackets, plain or full-width.

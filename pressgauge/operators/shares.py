@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import numeric
 from pressgauge.functions import vocabulary as V
 from pressgauge.operators.picks import BUCKET_KEYS, WINDOW_KEYS
+from pressgauge.session import staged
 
 SPARK_POINTS = 6
 
@@ -211,3 +212,38 @@ def source_subject_table(picks: DataFrame, min_mentions: int = 1) -> DataFrame:
             numeric.round4(F.col("ratio")).alias("source_share"),
         )
     )
+
+
+def source_grid(
+    picks: DataFrame, sources: DataFrame, measure: str = "share", min_articles: int = 1
+) -> DataFrame:
+    """Source x subject tables, one per axis and bucket of ``picks``, with every cell filled.
+
+    ``sources`` holds the configured (source_id, axis). A source that collected anything in a bucket has a
+    cell for each subject of the bucket's table: its share inside the source, or its count. A cell nobody
+    mentioned is 0 and ``no mention``. A source that collected nothing has one row without a subject or a
+    value, ``no collection``: that is no 0. ``enough`` tells sources with fewer articles than ``min_articles``.
+    """
+    if measure not in ("share", "count"):
+        raise ValueError(f"measure is share or count, not {measure!r}")
+    counted = staged(mentions(picks, BUCKET_KEYS), "mentions")
+    totals = counted.groupBy(*BUCKET_KEYS, "source_id").agg(
+        F.sum("n").alias("source_total"), F.sum("articles").alias("articles")
+    )
+    subjects = counted.filter(F.col("n") > 0).select(*BUCKET_KEYS, "subject").distinct()
+    cells = totals.join(subjects, BUCKET_KEYS).join(
+        counted.select(*BUCKET_KEYS, "source_id", "subject", "n"), [*BUCKET_KEYS, "source_id", "subject"], "left"
+    )
+    n = F.coalesce("n", F.lit(0))
+    ratio = F.when(F.col("source_total") > 0, n / F.col("source_total")).otherwise(F.lit(0.0))
+    value = numeric.round4(F.col("ratio")) if measure == "share" else n.cast("double")
+    filled = cells.withColumn("ratio", ratio).select(
+        *BUCKET_KEYS, "source_id", "subject", value.alias("value"), "articles",
+        F.when(n > 0, "mentioned").otherwise("no mention").alias("state"),
+    )
+    places = totals.select(*BUCKET_KEYS).distinct().join(sources.select("source_id", "axis").distinct(), "axis")
+    silent = places.join(totals.select(*BUCKET_KEYS, "source_id"), [*BUCKET_KEYS, "source_id"], "left_anti").select(
+        *BUCKET_KEYS, "source_id", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("value"),
+        F.lit(0).cast("bigint").alias("articles"), F.lit("no collection").alias("state"),
+    )
+    return filled.unionByName(silent).withColumn("enough", F.col("articles") >= min_articles)

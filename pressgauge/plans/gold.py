@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from pressgauge.operators import contributions, picks, shares, tone, versions
 from pressgauge.operators.picks import BUCKET_KEYS, WINDOW_KEYS
-from pressgauge.plans import refresh
+from pressgauge.plans import ingestion, refresh
 from pressgauge.session import scratch_scope, staged
 from pressgauge.sources.builds import Builds, with_week
 
@@ -78,6 +78,7 @@ def aggregate_lake(lake, decision: tuple[str, str, str] | None = None) -> Gold:
     """
     if decision is not None:
         versions.record_decision(lake, *decision)
+    ingestion.recover(lake)
     with scratch_scope(lake.spark):
         refresh.refresh(lake)
     return read(lake)

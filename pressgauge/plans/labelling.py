@@ -22,6 +22,7 @@ from pressgauge.functions import vocabulary as V
 from pressgauge.operators import runlog, scope, versions
 from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import first_by
+from pressgauge.plans import ingestion
 from pressgauge.schemas import ANALYSIS, MODEL_CALL, PARTITION
 from pressgauge.session import scratch_scope, staged
 from pressgauge.sources.lake import cycles_of, only_cycles, with_cycle
@@ -430,6 +431,7 @@ def label_lake(
     version a decision serves. Replies and call records are written before the check that
     anybody answered, so an outage leaves its trace and no analyses. Returns outcome counts.
     """
+    ingestion.recover(lake)
     with scratch_scope(lake.spark):
         booked = _label_lake(lake, run_id, called_at, completer, version, wanted or Scope(), model).collect()
     return lake.spark.createDataFrame(booked, "outcome_name string, outcome_count bigint")

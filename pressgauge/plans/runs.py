@@ -1,8 +1,8 @@
 """The run log: every state of every stage is a row that is only added; runs are rolled up from these.
 
 A stage adds a row when it begins, so a driver that dies leaves a trace, and one when it ends. What a
-run looks like is a question over the rows (``operators.runlog.run_records``); its answer is kept as
-the run's record.
+run looks like is a question over the rows (``operators.runlog.run_records``). Nothing is rewritten for a
+state; the lake puts many small files of the log together.
 """
 
 from __future__ import annotations
@@ -69,5 +69,9 @@ class RunningStage:
             self.failure, list(self.sources.items()),
         )
         self.lake.append_log("silver", "stage_state", self.lake.spark.createDataFrame([state], STAGE_STATE))
-        mine = self.lake.read_log("silver", "stage_state").where(F.col("run_id") == self.run_id)
-        self.lake.upsert_objects("silver", "pipeline_run", "run_id", runlog.run_records(mine), [F.col("run_ended_at").desc()])
+
+
+def run_records(lake, run_id: str | None = None) -> DataFrame:
+    """The record of each run, or of one, rolled up from the states when it is asked for."""
+    states = lake.read_log("silver", "stage_state")
+    return runlog.run_records(states if run_id is None else states.where(F.col("run_id") == run_id))

@@ -25,6 +25,8 @@ MODEL_CALL = (
     "call_outcome string, call_failure_reason string, call_attempt_count bigint, "
     "called_at string, duration_ms bigint, reused_from_call_id string"
 )
+#: A call record with the file it was read from.
+CALL_FILE = f"{MODEL_CALL}, file_path string, file_length bigint, file_changed timestamp, decoded boolean"
 STAGE = (
     "struct<stage_name:string, stage_status:string, stage_started_at:string, "
     "stage_ended_at:string, duration_ms:bigint, input_count:bigint, output_count:bigint, "
@@ -39,10 +41,6 @@ STAGE_STATE = (
     "outcomes array<struct<outcome_name:string, outcome_count:bigint>>, failure_reason string, "
     "source_failures array<struct<source_id:string, source_failure_reason:string>>"
 )
-PIPELINE_RUN = (
-    "run_id string, run_trigger string, run_started_at string, run_ended_at string, "
-    f"run_status string, stages array<{STAGE}>"
-)
 DECISION = (
     "decided_at string, decision string, analyzer_version string, memo string, "
     "notify_consumer boolean"
@@ -56,6 +54,11 @@ SETTLED = (
     "analyzer_version string, collection_cycle string, bronze_signature string, "
     "silver_signature string, bronze_count bigint, silver_count bigint"
 )
+#: What a collected cycle's entries came to.
+INTAKE_COUNT = (
+    "cycle string, collected bigint, duplicates bigint, pages_asked bigint, pages_used bigint, feed_body_kept bigint"
+)
+INTAKE_FAILURE = "source_id string, cycle string, reason string"
 FEED_CONFIG = (
     "source_id string, axis string, feed_url string, `limit` int, format string, "
     "body_extraction string"
@@ -107,9 +110,10 @@ RUN_CALL = "run_id string, call_outcome string, calls bigint"
 DATASETS = {
     ("bronze", "news_item"): NEWS_ITEM,
     ("bronze", "news_body"): NEWS_BODY,
+    ("bronze", "intake_count"): INTAKE_COUNT,
+    ("bronze", "intake_failure"): INTAKE_FAILURE,
     ("silver", "analysis"): ANALYSIS,
     ("silver", "llm_call"): MODEL_CALL,
-    ("silver", "pipeline_run"): PIPELINE_RUN,
     ("silver", "stage_state"): STAGE_STATE,
     ("silver", "reprocess_decision"): DECISION,
     ("silver", "analysis_cache"): REPLY_CACHE,
@@ -123,6 +127,7 @@ DATASETS = {
     ("index", "record_latest"): RECORD_LATEST,
     ("index", "body_share"): BODY_SHARE,
     ("index", "run_call"): RUN_CALL,
+    ("index", "call_file"): CALL_FILE,
     ("gold", "axis_window"): AXIS_WINDOW,
     ("gold", "hour_pick"): HOUR_PICK,
     ("gold", "line_week"): LINE_WEEK,

@@ -29,6 +29,8 @@ from pressgauge.session import configure, remove, staged
 _PARTS = list(PARTITION)
 #: Snapshots of a record dataset that stay after a write; readers may still be at the older ones.
 KEPT = 3
+#: Files of a log that are read one by one before they are put together.
+TAIL = 200
 
 
 def prefix_of(key: str | Column) -> Column:
@@ -134,14 +136,43 @@ class Lake:
 
     # -- logs ---------------------------------------------------------------------------
 
+    def _tail(self, layer: str, dataset: str) -> list[str]:
+        names = self._children(f"{self.folder(layer, dataset)}/tail")
+        return [n for n in names if not n.startswith(("_", "."))]
+
     def append_log(self, layer: str, dataset: str, rows: DataFrame) -> None:
-        """Add rows, each call in one file that appears at once; meant for a few rows a call."""
-        rows.coalesce(1).write.format(self.fmt).mode("append").save(self.folder(layer, dataset))
+        """Add rows, each call in one file that appears at once; meant for a few rows a call. When there are
+        many such files, they are put together."""
+        rows.coalesce(1).write.format(self.fmt).mode("append").save(f"{self.folder(layer, dataset)}/tail")
+        if len(self._tail(layer, dataset)) > TAIL:
+            self.compact_log(layer, dataset)
+
+    def _log(self, layer: str, dataset: str, names: list[str]) -> DataFrame:
+        """The newest snapshot and what these files of the tail add to it, with the file each row came in. A file
+        that the snapshot has in it already may still lie in the tail, if its removal was cut short."""
+        base, schema = self.folder(layer, dataset), DATASETS[layer, dataset]
+        folders = self._committed(layer, dataset)
+        whole = f"{schema}, log_file string"
+        rows = self._read(folders[0], whole) if folders else self._empty(whole)
+        if not names:
+            return rows
+        tail = self.spark.read.schema(schema).format(self.fmt).load([f"{base}/tail/{n}" for n in names])
+        tail = tail.withColumn("log_file", F.col("_metadata.file_name"))
+        return rows.unionByName(tail.join(rows.select("log_file").distinct(), "log_file", "left_anti"))
 
     def read_log(self, layer: str, dataset: str) -> DataFrame:
-        path = self.folder(layer, dataset)
-        schema = DATASETS[layer, dataset]
-        return self._read(path, schema) if self._exists(path) else self._empty(schema)
+        return self._log(layer, dataset, self._tail(layer, dataset)).drop("log_file")
+
+    def compact_log(self, layer: str, dataset: str) -> None:
+        """Put the tail's files into a new snapshot; they are removed once it is committed."""
+        base, names = self.folder(layer, dataset), self._tail(layer, dataset)
+        rows = self._log(layer, dataset, names)
+        rows.coalesce(max(1, rows.rdd.getNumPartitions() // 64)).write.format(self.fmt).save(f"{base}/snapshot={self._stamp()}")
+        for name in names:
+            remove(self.spark, f"{base}/tail/{name}")
+        stamps = sorted(n for n in self._children(base) if n.startswith("snapshot="))
+        for old in stamps[:-KEPT]:
+            remove(self.spark, f"{base}/{old}")
 
     # -- partitioned datasets -----------------------------------------------------------
 
@@ -211,20 +242,58 @@ class Lake:
             dropped += int(fs.delete(path, True))
         return dropped
 
-    def relay_to_cycles(self, layer: str, dataset: str, flat: DataFrame, located: DataFrame) -> None:
+    def relay_to_cycles(
+        self, layer: str, dataset: str, flat: DataFrame, located: DataFrame, keys: tuple[str, ...] = ("record_id", "analyzer_version")
+    ) -> None:
         """Lay a flat dataset out in partitions; rows with no known cycle are dropped.
 
         ``located`` maps ``record_id`` to ``collection_cycle``. Rows already stored in a touched
-        partition stay.
+        partition stay, and rows of their keys are skipped, so a second run changes nothing.
         """
+        stored = self.read_cycles(layer, dataset)
+        own = [k for k in keys if k in stored.columns]
         moved = with_partition(flat.join(located, "record_id"), F.col("collection_cycle"))
-        columns = self.read_cycles(layer, dataset).columns
-        moved = moved.filter(F.col("year").isNotNull()).select(*columns)
-        kept = self.read_cycles(layer, dataset).join(
-            moved.select(*_PARTS).distinct(), _PARTS, "left_semi"
-        )
+        moved = moved.filter(F.col("year").isNotNull()).select(*stored.columns)
+        kept = only_cycles(stored, moved.select(*_PARTS).distinct())
+        moved = moved.join(kept.select(*own, *_PARTS), [*own, *_PARTS], "left_anti")
         self.write_cycles(layer, dataset, staged(kept.unionByName(moved), "relay"))
 
+    # -- retiring flat datasets -----------------------------------------------------------
+
+    def flat_rows(self, layer: str, dataset: str) -> DataFrame | None:
+        """The rows of a dataset that is still one JSON-lines file, None if there is no such file."""
+        path = f"{self.folder(layer, dataset)}.jsonl"
+        return self.spark.read.schema(DATASETS[layer, dataset]).json(path) if self._exists(path) else None
+
+    def _retire(self, layer: str, dataset: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, dataset)}.jsonl")
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, dataset)}.jsonl.migrated")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(path, done)
+
+    def migrate_to_objects(self, layer: str, dataset: str, key: str, first: list[Column]) -> int:
+        """Move a flat dataset's rows to keyed objects and retire the file; returns how many were new.
+
+        Keys that are stored already stay as they are. The file is renamed only after every key is seen in
+        the objects: a run that is cut short leaves it, and the next one skips what has moved.
+        """
+        flat = self.flat_rows(layer, dataset)
+        if flat is None:
+            return 0
+        written = self.put_objects(layer, dataset, key, flat.filter(F.col(key).isNotNull()), first).count()
+        stored = self.read_objects(layer, dataset, key)
+        left = flat.filter(F.col(key).isNotNull()).join(stored.select(key), key, "left_anti")
+        if not left.isEmpty():
+            raise RuntimeError(f"{layer}/{dataset}: rows of the flat file have not arrived; it stays")
+        self._retire(layer, dataset)
+        return written
+
+    def migrate_to_cycles(self, layer: str, dataset: str, located: DataFrame) -> None:
+        """Move a flat dataset's rows to cycle partitions and retire the file after that, as above."""
+        flat = self.flat_rows(layer, dataset)
+        if flat is not None:
+            self.relay_to_cycles(layer, dataset, flat, located)
+            self._retire(layer, dataset)
+
     # -- object datasets ----------------------------------------------------------------
 
     def read_objects(self, layer: str, dataset: str, key: str) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import replies, subjects
 from pressgauge.functions import vocabulary as V
-from pressgauge.plans import labelling
+from pressgauge.plans import ingestion, labelling
+from pressgauge.schemas import PARTITION
 from pressgauge.session import scratch_path, staged
 from pressgauge.sources import feeds, pages
+from pressgauge.sources.lake import Lake
 from pressgauge.workload import tables
 from pressgauge.workload.oracle import sql
 
@@ -132,9 +134,8 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("lines", _lines())
         .select(
             "doc_id",
-            F.col("source").alias("source_id"),
+            F.when(F.col("doc_id") % 3 == 2, F.concat("source", F.lit("-search"))).otherwise(F.col("source")).alias("source_id"),
             F.expr(_CYCLE).alias("cycle"),
-            F.when(F.col("doc_id") % 3 == 2, "worldbank-json").otherwise("rss").alias("format"),
             F.when(cut, F.substr(whole, F.lit(1), F.length(whole) - 9))
             .otherwise(whole)
             .alias("payload"),
@@ -142,19 +143,9 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _formats(spark: SparkSession, sf: str) -> DataFrame:
-    return payloads(spark, sf).select("source_id", "cycle", "format")
-
-
-_LANDED: dict[tuple[str, str], DataFrame] = {}
-
-
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """The landing table as the jobs find it: written, in many files, once per application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LANDED:
-        _LANDED[key] = staged(_fetched(spark, sf).repartition("source_id", "cycle"), "landing")
-    return _LANDED[key]
+    """The landing table as the jobs find it: written, in many files."""
+    return staged(_fetched(spark, sf).repartition("source_id", "cycle"), "landing")
 
 
 def _fetched(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,18 +167,20 @@ def _fetched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def configs(spark: SparkSession, sf: str) -> DataFrame:
-    """One configured source per document source."""
+    """Two configured sources per document source: its feed and its search."""
     number = F.substring("source", 4, 9).cast("int")
-    named = tables.table(spark, sf, "documents").select("source").distinct()
+    docs = tables.table(spark, sf, "documents")
+    named = docs.select("source", (F.col("doc_id") % 3 == 2).alias("search")).distinct()
     modes = F.array(*[F.lit(m) for m in feeds.BODY_MODES])
     axes = F.array(*[F.lit(a) for a in V.AXES])
     return named.select(
-        number.alias("place"),
-        F.col("source").alias("source_id"),
+        (number * 2 + F.col("search").cast("int")).alias("place"),
+        F.when(F.col("search"), F.concat("source", F.lit("-search"))).otherwise(F.col("source")).alias("source_id"),
         F.element_at(axes, number % 3 + 1).alias("axis"),
         F.concat(F.lit("https://feeds.example/"), "source").alias("feed_url"),
         (number % 5 + 2).alias("limit"),
         F.element_at(modes, number % 3 + 1).alias("body_extraction"),
+        F.when(F.col("search"), "worldbank-json").otherwise("rss").alias("format"),
     )
 
 
@@ -204,7 +197,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 _DOCS = {
     "cut_lines": "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, "
     "unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents",
-    "entries": "SELECT doc_id, source AS source_id, strftime(make_timestamp((1704067200 + "
+    "entries": "SELECT doc_id, source || CASE doc_id % 3 WHEN 2 THEN '-search' ELSE '' END AS source_id, strftime(make_timestamp((1704067200 + "
     "(doc_id // 20) * 3600) * 1000000), '%Y-%m-%dT%H:00') AS cycle, "
     "row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place, trim(line) AS line "
     "FROM cut_lines WHERE trim(line) <> ''",
@@ -212,9 +205,10 @@ _DOCS = {
     "'https://news.example/' || md5(line) AS url, line AS body, CASE doc_id % 3 WHEN 0 "
     "THEN length(line) ELSE 0 END AS view_count FROM entries "
     "WHERE doc_id % 50 <> 7 AND doc_id % 25 <> 3",
-    "conf": "SELECT DISTINCT source AS source_id, CAST(substr(source, 4) AS INTEGER) AS num, "
-    "num % 5 + 2 AS lim, ['KR', 'US', 'GLOBAL'][num % 3 + 1] AS axis, "
-    "['feed', 'article', 'article_always'][num % 3 + 1] AS mode FROM documents",
+    "conf": "SELECT DISTINCT source || CASE doc_id % 3 WHEN 2 THEN '-search' ELSE '' END AS source_id, "
+    "CAST(substr(source, 4) AS INTEGER) AS base, base * 2 + CASE doc_id % 3 WHEN 2 THEN 1 ELSE 0 END AS num, "
+    "base % 5 + 2 AS lim, ['KR', 'US', 'GLOBAL'][base % 3 + 1] AS axis, "
+    "['feed', 'article', 'article_always'][base % 3 + 1] AS mode FROM documents",
     "leaders": "SELECT a.*, c.axis, c.num, c.mode, row_number() OVER (PARTITION BY source_id, "
     "cycle ORDER BY view_count DESC, place) AS rank FROM articles a JOIN conf c USING (source_id) "
     "QUALIFY rank <= c.lim",
@@ -237,25 +231,26 @@ _COLLECTED = "2024-02-01T00:00:00+00:00"
 
 def _answered(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     answered, _ = feeds.acquired(attempts(spark, sf))
-    return answered.join(_formats(spark, sf), ["source_id", "cycle"]).filter(
-        F.col("format") == fmt
-    )
+    return answered.join(configs(spark, sf).filter(F.col("format") == fmt).select("source_id"), "source_id")
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked entries with their bodies, before duplicates go."""
+    return feeds.ingested(configs(spark, sf), attempts(spark, sf), page_texts(spark, sf), F.lit(_COLLECTED)).marked
+
+
+def _collected(spark: SparkSession, sf: str) -> tuple[Lake, dict[str, DataFrame]]:
+    """A lake after the collection job over the landing table, and what the job says of it."""
+    lake = Lake(spark, scratch_path(spark, "lake"))
+    return lake, ingestion.collect(lake, configs(spark, sf), attempts(spark, sf), page_texts(spark, sf), _COLLECTED)
 
 
-def _ingested(spark: SparkSession, sf: str) -> feeds.Ingested:
-    """All formats at once: here the format belongs to the payload, not to the source."""
-    from_feeds, bad_feeds = feeds.parse_feeds(_answered(spark, sf, "rss"))
-    from_search, bad_search = feeds.parse_search_replies(_answered(spark, sf, "worldbank-json"))
-    checked = feeds.checked_configs(configs(spark, sf).withColumn("format", F.lit("rss")))
-    listed = staged(feeds.ranked(from_feeds.unionByName(from_search), checked), "ranked-entries")
-    marked = feeds.marked_duplicates(feeds.with_bodies(listed, page_texts(spark, sf)))
-    items, bodies = feeds.bronze_rows(marked, F.lit(_COLLECTED))
-    return feeds.Ingested(items, bodies, bad_feeds.unionByName(bad_search), marked)
+_SOURCE = "source || CASE doc_id % 3 WHEN 2 THEN '-search' ELSE '' END AS source_id"
 
 
 @query(
     "s7_acquired_payloads",
-    "SELECT source AS source_id, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
+    f"SELECT {_SOURCE}, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
     "1000000), '%Y-%m-%dT%H:00') AS cycle FROM documents WHERE doc_id % 25 <> 3",
 )
 def acquired(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +259,7 @@ def acquired(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s7_failed_sources",
-    "SELECT source AS source_id, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
+    f"SELECT {_SOURCE}, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
     "1000000), '%Y-%m-%dT%H:00') AS cycle, 'failed after retries: timeout 3' AS reason "
     "FROM documents WHERE doc_id % 25 = 3",
 )
@@ -295,26 +290,26 @@ def search_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s8_s9_malformed_payloads",
-    "SELECT source AS source_id, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
+    f"SELECT {_SOURCE}, strftime(make_timestamp((1704067200 + (doc_id // 20) * 3600) * "
     "1000000), '%Y-%m-%dT%H:00') AS cycle, CASE doc_id % 3 WHEN 2 THEN "
     "'malformed worldbank-json response' ELSE 'malformed feed' END AS reason "
     "FROM documents WHERE doc_id % 50 = 7 AND doc_id % 25 <> 3",
 )
 def malformed(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).failures
+    return _collected(spark, sf)[1]["failures"].where("reason LIKE 'malformed%'")
 
 
 @query(
     "s10_feed_config",
-    "SELECT num AS place, source_id, axis, lim AS limit, mode AS body_extraction, 'rss' AS format "
-    "FROM conf",
+    "SELECT CAST(row_number() OVER (ORDER BY num) - 1 AS INTEGER) AS place, source_id, axis, lim AS limit, "
+    "mode AS body_extraction, CASE num % 2 WHEN 1 THEN 'worldbank-json' ELSE 'rss' END AS format FROM conf",
     **_DOCS,
 )
 def feed_config(spark: SparkSession, sf: str) -> DataFrame:
     """The configuration as a file of one JSON array, written and read again."""
-    listed = configs(spark, sf).orderBy("place").drop("place")
+    listed = configs(spark, sf)
     text = listed.agg(F.to_json(F.sort_array(F.collect_list(
-        F.struct(F.substring("source_id", 4, 9).cast("int").alias("n"), *listed.columns)
+        F.struct(F.col("place").alias("n"), *(c for c in listed.columns if c != "place"))
     ))).alias("value"))
     path = scratch_path(spark, "feeds")
     text.write.text(path)
@@ -330,7 +325,7 @@ def feed_config(spark: SparkSession, sf: str) -> DataFrame:
     **_DOCS,
 )
 def ranked_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).marked.select("source_id", "cycle", "url", "place", "rank")
+    return _marked(spark, sf).select("source_id", "cycle", "url", "place", "rank")
 
 
 @query(
@@ -339,7 +334,7 @@ def ranked_entries(spark: SparkSession, sf: str) -> DataFrame:
     **_DOCS,
 )
 def bodies_and_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).marked.select(
+    return _marked(spark, sf).select(
         "source_id", "cycle", "url", "rank", "page_asked", "page_used", "body", "duplicate"
     )
 
@@ -353,12 +348,12 @@ def bodies_and_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     **_DOCS,
 )
 def intake_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).counters()
+    return _collected(spark, sf)[1]["counters"]
 
 
 @query("b1_bronze_items", "SELECT * EXCLUDE (body) FROM items", **_DOCS)
 def bronze_items(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).items
+    return _collected(spark, sf)[0].read_cycles("bronze", "news_item").drop(*PARTITION)
 
 
 @query(
@@ -368,7 +363,8 @@ def bronze_items(spark: SparkSession, sf: str) -> DataFrame:
     **_DOCS,
 )
 def bronze_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).bodies
+    lake, _ = _collected(spark, sf)
+    return lake.read_objects("bronze", "news_body", "body_hash").drop("body_hash_prefix")
 
 
 _PLAIN = "CASE WHEN doc_id % 3 = 0 THEN '경제' || chr(10) || regexp_replace(text, '[^\x00-\x7F]', '?', 'g') ELSE text END"
@@ -481,8 +477,9 @@ def keyword_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_FORMS = tuple(V.SURFACE_FORMS) + ("Nvidia", "엔비디아", "samsung", "미지의 주제")
-_NAMES = tuple(V.SURFACE_FORMS.values()) + ("엔비디아", "엔비디아", "삼성전자", "미지의 주제")
+_SPELLED = [(name, own) for own, names in V.SPELLINGS.items() for name in names]
+_FORMS = tuple(name for name, _ in _SPELLED) + ("미지의 주제",)
+_NAMES = tuple(own for _, own in _SPELLED) + ("미지의 주제",)
 
 
 @query(

@@ -5,6 +5,7 @@ Each run gets a fresh folder below the shared scratch folder, so runs never see
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from pressgauge.operators import versions
 from pressgauge.plans import gold, labelling, refresh, runs, serving
-from pressgauge.schemas import ANALYSIS, MODEL_CALL, NEWS_ITEM, PARTITION
-from pressgauge.session import scratch_path
+from pressgauge.schemas import ANALYSIS, MODEL_CALL, NEWS_ITEM, PARTITION, STAGE_STATE
+from pressgauge.session import remove, scratch_path, staged
+from pressgauge.sources import calls
 from pressgauge.sources.builds import Builds
 from pressgauge.sources.lake import Lake, with_cycle, with_partition
 from pressgauge.streaming import observations as stream
@@ -40,6 +42,11 @@ def _new_lake(spark: SparkSession, fmt: str = "parquet") -> Lake:
     return Lake(spark, scratch_path(spark, "lake"), fmt)
 
 
+def _fields(ddl: str) -> list[str]:
+    """The parts of a flat list of columns; commas inside types don't count."""
+    return re.split(r", (?=[a-z_]+ (?:string|bigint|array))(?![^<]*>)", ddl)
+
+
 def _names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
@@ -514,7 +521,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
             stage.book(seen)
     with runs.RunningStage(lake, "run-1", "analysis") as stage:
         stage.inputs, stage.failure = 7, "nobody answered"
-    row = lake.read_objects("silver", "pipeline_run", "run_id")
+    row = runs.run_records(lake)
 
     def booked(name: str) -> Column:
         every = F.flatten(F.transform("stages", lambda s: s["outcomes"]))
@@ -530,6 +537,31 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "b5_compacted_log",
+    "SELECT 'run-' || CAST(event_id % 50 AS VARCHAR) AS run_id, CASE WHEN bool_or(event_id % 11 = 0) THEN 'failed' ELSE "
+    "'succeeded' END AS run_status, count(DISTINCT user_id) AS stages FROM events GROUP BY 1",
+)
+def compacted_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of many small files, rolled up after they were put together twice: each event is a stage's end."""
+    lake = _new_lake(spark)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    # The last state of a stage counts: one that failed once is noted as failed by the latest row too.
+    failed = F.bool_or(F.col("event_id") % 11 == 0)
+    run = F.concat(F.lit("run-"), F.col("event_id") % 50)
+    ended = tables.table(spark, sf, "events").groupBy(run.alias("run_id"), F.concat(F.lit("stage-"), "user_id").alias("stage_name")).agg(
+        F.max(at).alias("noted_at"), F.when(failed, "failed").otherwise("succeeded").alias("stage_status")
+    )
+    state = {part.split()[0]: part.split(" ", 1)[1] for part in _fields(STAGE_STATE)}
+    rows = staged(ended.select(*(F.col(c) if c in ended.columns else F.lit(None).cast(t).alias(c) for c, t in state.items())), "states")
+    log = f"{lake.folder('silver', 'stage_state')}/tail"
+    for half in (0, 1):
+        part = rows.where(F.pmod(F.hash("stage_name"), F.lit(2)) == half)
+        part.repartition(60, "run_id", "stage_name").write.mode("append").parquet(log)
+        lake.compact_log("silver", "stage_state")
+    return runs.run_records(lake).select("run_id", "run_status", F.size("stages").cast("bigint").alias("stages"))
+
+
 # -- serving tables ---------------------------------------------------------------------------
 
 
@@ -558,6 +590,54 @@ def body_share_table(spark: SparkSession, sf: str) -> DataFrame:
     return _served(spark, sf, "body_share")
 
 
+@query(
+    "b4_served_lake",
+    "SELECT 'record_latest' AS dataset, concat_ws('|', record_id, versions, analyzed_at, analysis_status, sentiment, "
+    f"{_UNITS.format('confidence')}, analyzer_version, run_id, call_id, no_call_reason, exchange_state, call_outcome, title, "
+    "source_id, collected_at) AS row FROM record_latest "
+    "UNION ALL SELECT 'body_share', concat_ws('|', body_hash, shares) FROM body_share "
+    "UNION ALL SELECT 'run_call', concat_ws('|', run_id, call_outcome, count(*)) FROM calls WHERE decoded GROUP BY run_id, call_outcome",
+    all_silver=_CTES["silver"],
+    silver="SELECT * FROM all_silver WHERE record_id IN (SELECT record_id FROM bronze)",
+)
+def served_lake(spark: SparkSession, sf: str) -> DataFrame:
+    """The serving job over a lake that holds observations, labels and call records; all values of its three tables."""
+    lake = _stored_lake(spark, sf, "true")
+    known = tables.calls(spark, sf).filter("decoded")
+    state = {part.split()[0]: part.split()[1] for part in MODEL_CALL.split(", ")}
+    full = known.select(*(F.col(c) if c in known.columns else F.lit(None).cast(t).alias(c) for c, t in state.items()))
+    lake.put_objects("silver", "llm_call", "call_id", full, [F.col("called_at")])
+    served = serving.serve_lake(lake)
+    latest = served["record_latest"].withColumn("confidence", F.round(F.col("confidence") * 10000).cast("bigint"))
+    flat = [rows.select(F.lit(n).alias("dataset"), F.concat_ws("|", *rows.columns).alias("row")) for n, rows in (served | {"record_latest": latest}).items()]
+    return reduce(DataFrame.unionByName, flat)
+
+
+@query(
+    "b2_labelled_tones",
+    "SELECT record_id, sentiment, CASE WHEN sentiment IS NULL THEN 'unanalyzed' WHEN sentiment = 'mixed' THEN 'low_confidence' "
+    "ELSE 'analyzed' END AS analysis_status, CASE WHEN sentiment IS NULL THEN 0 WHEN sentiment = 'mixed' THEN 5500 ELSE 9200 END "
+    "AS confidence FROM (SELECT record_id, CASE WHEN body_available AND num % 6 < 4 THEN "
+    "['positive', 'neutral', 'negative', 'mixed'][num % 6 + 1] END AS sentiment FROM "
+    "(SELECT *, CAST(substr(record_id, 2) AS BIGINT) AS num FROM bronze))",
+)
+def labelled_tones(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelling job over bodies with every tone, with none, and observations without a body."""
+    number = F.substring("record_id", 2, 20).cast("bigint")
+    marks = F.array(*(F.lit(f"tone={t} in this text") for t in ("positive", "neutral", "negative", "mixed")))
+    text = F.concat(number.cast("string"), F.lit(" "), F.coalesce(F.get(marks, (number % 6).cast("int")), F.lit("no mark")))
+    items = _hourly(spark, sf).withColumn("raw_text", text)
+    items = items.withColumn("body_hash", F.when(F.col("body_available"), F.sha2("raw_text", 256)).otherwise(F.lit("")))
+    lake = _new_lake(spark)
+    lake.write_cycles("bronze", "news_item", items.drop("raw_text"))
+    seen = [F.col("collected_at").alias("first_seen_at"), F.col("collection_cycle").alias("first_seen_cycle")]
+    lake.put_objects("bronze", "news_body", "body_hash", items.filter("body_available").select("body_hash", "raw_text", *seen), [F.col("first_seen_at")])
+    labelling.label_lake(lake, "run-1", "2024-02-01T00:00:00+00:00")
+    return lake.read_cycles("silver", "analysis").select(
+        "record_id", "sentiment", "analysis_status", F.round(F.col("confidence") * 10000).cast("int").alias("confidence")
+    )
+
+
 # -- streams ----------------------------------------------------------------------------------
 
 
@@ -644,3 +724,50 @@ def call_files(spark: SparkSession, sf: str) -> DataFrame:
         .parquet(path)
         .select("call_id", "call_outcome", "decoded")
     )
+
+
+@query(
+    "s14_refreshed_call_files",
+    "SELECT CASE WHEN doc_id % 7 <> 3 THEN 'call-' || CAST(doc_id AS VARCHAR) END AS call_id, doc_id % 7 <> 3 AS decoded, "
+    "CASE WHEN doc_id % 7 <> 3 THEN CASE WHEN doc_id % 9 = 4 THEN 'changed' ELSE lang END END AS call_outcome, "
+    "CASE WHEN doc_id % 7 <> 3 THEN length(text) END AS reply_size FROM documents WHERE doc_id % 9 <> 1",
+)
+def refreshed_call_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder with a file per call, read once; then files are added, written again and removed. Some are broken."""
+    folder, lake = scratch_path(spark, "call-files"), _new_lake(spark)
+    docs = tables.table(spark, sf, "documents")
+    name = F.concat(F.lit("call-"), "doc_id")
+
+    def put(rows: DataFrame, outcome: Column) -> None:
+        text = F.to_json(F.struct(name.alias("call_id"), outcome.alias("call_outcome"), F.col("text").alias("response_raw")))
+        whole = F.when(F.col("doc_id") % 7 == 3, F.substring(text, 1, 20)).otherwise(text)
+        files = rows.select(name.alias("call"), whole.alias("value"))
+        files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("call").text(folder)
+
+    put(docs.where("doc_id % 5 <> 2"), F.col("lang"))
+    calls.refresh_calls(lake, folder, "*.txt")
+    put(docs.where("doc_id % 5 = 2"), F.col("lang"))
+    put(docs.where("doc_id % 9 = 4"), F.lit("changed"))
+    for row in docs.where("doc_id % 9 = 1").select(name.alias("call")).toLocalIterator():
+        remove(spark, f"{folder}/call={row.call}")  # a call of the file system for each
+    calls.refresh_calls(lake, folder, "*.txt")
+    return calls.refresh_calls(lake, folder, "*.txt").select(
+        "call_id", "decoded", "call_outcome", F.length("response_raw").cast("bigint").alias("reply_size")
+    )
+
+
+@query(
+    "k7_migrated_to_objects",
+    "SELECT body_hash, any_value(raw_text) AS raw_text, CASE WHEN min(first_seen_at) < '2024-01-16' THEN "
+    "min(first_seen_at) ELSE 'flat' END AS first_seen_at FROM bodies GROUP BY body_hash",
+)
+def migrated(spark: SparkSession, sf: str) -> DataFrame:
+    """A flat file of bodies moved to objects that hold some of them already; the second run finds nothing to do."""
+    lake, first = _new_lake(spark), [F.col("first_seen_at")]
+    texts = tables.bodies(spark, sf)
+    lake.put_objects("bronze", "news_body", "body_hash", texts.filter("first_seen_at < '2024-01-16'"), first)
+    flat = texts.withColumn("first_seen_at", F.lit("flat"))
+    flat.write.json(f"{lake.folder('bronze', 'news_body')}.jsonl")
+    lake.migrate_to_objects("bronze", "news_body", "body_hash", first)
+    lake.migrate_to_objects("bronze", "news_body", "body_hash", first)
+    return lake.read_objects("bronze", "news_body", "body_hash").select("body_hash", "raw_text", "first_seen_at")

@@ -10,6 +10,7 @@ from pressgauge.operators import picks, records, runlog, scope, shares, tone, ve
 from pressgauge.operators.joins import left_join_present
 from pressgauge.operators.picks import BUCKET_KEYS
 from pressgauge.plans import gold
+from pressgauge.session import staged
 from pressgauge.workload import tables
 from pressgauge.workload.oracle import round4, sql
 
@@ -754,6 +755,39 @@ def source_subject_table(spark: SparkSession, sf: str) -> DataFrame:
     return shares.source_subject_table(rows, min_mentions=5)
 
 
+_CELL = round4("(coalesce(m.n, 0)::DOUBLE/c.source_total::DOUBLE)")
+
+
+@query(
+    "e3_source_grid",
+    # Both measures; an hour's table has a line for every configured source of its axis.
+    f"SELECT t.axis, t.time_bucket, t.source_id, m.subject, measure, CASE measure WHEN 'count' THEN "
+    f"CAST(coalesce(m.n, 0) AS DOUBLE) ELSE m.share END AS value, t.articles, m.state, t.articles >= 2 AS enough "
+    "FROM lines t JOIN grid m USING (axis, time_bucket, source_id), (VALUES ('share'), ('count')) AS v(measure) "
+    "UNION ALL SELECT p.axis, p.time_bucket, p.source_id, NULL, measure, NULL, 0, 'no collection', false "
+    "FROM places p LEFT JOIN lines l USING (axis, time_bucket, source_id), (VALUES ('share'), ('count')) AS v(measure) "
+    "WHERE l.source_id IS NULL",
+    night="SELECT * FROM picks WHERE bucket_unit = 'hour' AND time_bucket LIKE '2024-01-0%'",
+    lines="SELECT axis, time_bucket, source_id, CAST(sum(len(keys)) AS BIGINT) AS source_total, count(*) AS articles "
+    "FROM night GROUP BY ALL",
+    said="SELECT axis, time_bucket, source_id, subject, count(*) AS n FROM (SELECT axis, time_bucket, source_id, "
+    "unnest(keys) AS subject FROM night) GROUP BY ALL",
+    grid=f"SELECT c.axis, c.time_bucket, c.source_id, s.subject, m.n, CASE WHEN c.source_total > 0 THEN {_CELL} ELSE 0 END "
+    "AS share, CASE WHEN m.n > 0 THEN 'mentioned' ELSE 'no mention' END AS state FROM lines c JOIN (SELECT DISTINCT axis, "
+    "time_bucket, subject FROM said) s USING (axis, time_bucket) LEFT JOIN said m ON m.axis = c.axis AND m.time_bucket = "
+    "c.time_bucket AND m.source_id = c.source_id AND m.subject = s.subject",
+    places="SELECT * FROM (SELECT DISTINCT axis, time_bucket FROM lines) JOIN (SELECT DISTINCT source_id, axis FROM bronze) "
+    "USING (axis)",
+)
+def source_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The first nine days' hours, in which many sources are silent."""
+    hours = gold.all_picks(items(spark, sf), labels(spark, sf)).filter("bucket_unit = 'hour' AND time_bucket LIKE '2024-01-0%'")
+    hours = staged(hours, "hour-picks")
+    configured = items(spark, sf).select("source_id", "axis").distinct()
+    tables_ = [shares.source_grid(hours, configured, m, 2).withColumn("measure", F.lit(m)) for m in ("share", "count")]
+    return tables_[0].unionByName(tables_[1]).drop("bucket_unit")
+
+
 @query(
     "e4_articles_by_tone",
     "SELECT record_id, source_id, collected_at FROM picks WHERE axis = 'KR' AND "

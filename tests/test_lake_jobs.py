@@ -245,9 +245,9 @@ def test_article_text(spark):
 
 def test_decode():
     body = "원/달러 환율 급등"
-    assert body in pages.decode(f'<meta charset="euc-kr"><body>{body}'.encode("cp949"))
+    assert body in pages.decode(f'<meta charset="euc-kr"><body>{body}'.encode("cp949"), "euc-kr")
     assert body in pages.decode(f"<body>{body}".encode("cp949"))
-    assert body in pages.decode(f'<meta charset="nonsense"><body>{body}'.encode())
+    assert body in pages.decode(f'<meta charset="nonsense"><body>{body}'.encode(), "nonsense")
 
 
 def test_page_policy(spark):
@@ -367,7 +367,7 @@ def test_run_parameters_are_checked():
 
 def test_runs_keep_the_last_attempt_of_a_stage(spark, lake):
     def run(run_id):
-        return lake.get_object("silver", "pipeline_run", "run_id", run_id).first()
+        return runs.run_records(lake, run_id).first()
 
     with pytest.raises(RuntimeError), runs.RunningStage(lake, "run-1", "analysis") as stage:
         assert (run("run-1").run_status, run("run-1").run_ended_at) == ("running", None)  # a killed driver leaves this
