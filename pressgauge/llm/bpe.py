@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import Memo, prepared, spans
+from pressgauge.llm.common import Memo, giving_back, prepared, spans
 
 #: Unicode's white space, as a character class (fixed value).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -229,6 +229,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
     shared = prepared(df.sparkSession).sparkContext.broadcast(load(vocabulary))  # size of the file
 
     @F.arrow_udf("array<int>")
+    @giving_back
     def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(*shared.value))
         for column in columns:
@@ -245,6 +246,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     shared = prepared(df.sparkSession).sparkContext.broadcast(Vocabulary(*load(vocabulary)).table())
 
     @F.arrow_udf("string")
+    @giving_back
     def text_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield decode_all(column, *shared.value)

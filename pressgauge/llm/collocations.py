@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import LOWER, UPPER, batches, prepared, spans, texts_of, written
+from pressgauge.llm.common import LOWER, UPPER, batches, giving_back, prepared, spans, texts_of, written
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LEAST, MOST_WORDS, KEEP = 10, 3, 2000
@@ -211,6 +211,7 @@ def _counted(n: int, shared, mask: int):
                 [pa.nulls(len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(counts[a : a + 200_000])], schema=schema
             )
 
+    @giving_back
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, totals = shared.value if shared else [], Counter()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -305,6 +306,7 @@ def _read(shared, mask: int):
     """(lang, phrase, count) of the n-grams that are marked, by their text."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
 
+    @giving_back
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, read = shared.value, Read()
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,18 +92,48 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """``memo[key]`` computes a missing value once; emptied when full, so that memory is bounded."""
+    """``memo[key]`` computes a missing value once; emptied when what it holds may pass ``room`` bytes. Long keys
+    and values are not kept."""
 
-    def __init__(self, compute, room: int = 400_000):
+    LONG = 512
+
+    def __init__(self, compute, room: int = 64 << 20):
         super().__init__()
-        self.compute, self.room = compute, room
+        self.compute, self.room, self.size = compute, room, 0
 
     def __missing__(self, key):
-        if len(self) >= self.room:
+        value = self.compute(key)
+        longest = max((len(x) for x in (key, value) if isinstance(x, (bytes, str, tuple))), default=0)
+        if longest > self.LONG:
+            return value
+        self.size += 200 + 8 * longest
+        if self.size > self.room:
             self.clear()
-        value = self[key] = self.compute(key)
+            self.size = 0
+        self[key] = value
         return value
 
 
+def released(parts: Iterator) -> Iterator:
+    """Pass ``parts`` on and give freed memory back at the end: workers live on, and what one job has freed in
+    them would count beside what the next one takes."""
+    yield from parts
+    del parts
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(work):
+    """A function over batches that gives freed memory back when it is through."""
+
+    @functools.wraps(work)
+    def run(parts):
+        return released(work(parts))
+
+    return run
+
+
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)

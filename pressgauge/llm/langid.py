@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import prepared, spans, text_buffers
+from pressgauge.llm.common import giving_back, prepared, spans, text_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -175,6 +175,7 @@ def predict(df: DataFrame, model: tuple[list[str], dict | None], text: str = "te
     shared = prepared(df.sparkSession).sparkContext.broadcast(model)  # a fixed size
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @giving_back
     def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, tables = shared.value
         for column in columns:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import UPPER, batches, prepared, texts_of, words_of, written
+from pressgauge.llm.common import UPPER, batches, giving_back, prepared, texts_of, words_of, written
 
 #: Words that are sent to all tasks at most, and the longest of them in characters.
 FREQUENT, LONGEST = 150_000, 64
@@ -318,6 +318,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     end_own = float(np.log10((ends - d) / n)) if n else float(np.log10(0.5))
 
     @F.arrow_udf("struct<n_tokens: bigint, n_known: bigint, base: double, own: double, words: array<string>, times: array<int>>")
+    @giving_back
     def read(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places, base, own = shared.value
         base, own = np.append(base, 0.0), np.append(own, 0.0)

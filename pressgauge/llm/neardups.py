@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import prepared, texts_of, words_of, written
+from pressgauge.llm.common import giving_back, prepared, texts_of, words_of, written
 from pressgauge.llm.components import components
 from pressgauge.llm.simhash import first_of_each, majority, near_links
 
@@ -67,6 +67,7 @@ def _sets(df: DataFrame, text: str) -> DataFrame:
     """(tie, set) of the distinct texts: shingles without repeats."""
 
     @F.arrow_udf("array<bigint>")
+    @giving_back
     def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([np.unique(shingles(words_of(t))).view(np.int64) for t in texts_of(column)], pa.list_(pa.int64()))
@@ -87,6 +88,7 @@ def _signed(rows: DataFrame, common: np.ndarray) -> DataFrame:
     shared = prepared(rows.sparkSession).sparkContext.broadcast(common)  # a bounded size
 
     @F.arrow_udf("struct<node: bigint, n: bigint, fingerprint: bigint, leading: array<bigint>>")
+    @giving_back
     def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         late = shared.value
         for column in columns:

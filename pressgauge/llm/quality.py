@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import prepared, text_buffers
+from pressgauge.llm.common import giving_back, prepared, text_buffers
 
 #: A score of this or more keeps a text.
 KEEP = 0.7
@@ -99,10 +99,11 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     part = int((1 << 30) * min(1.0, TEXTS / max(1, known.count())))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part).limit(2 * TEXTS).collect()
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TEXTS).collect()
     sent = F.broadcast(spark.createDataFrame(chosen, "__known bigint, label int"))  # 2 * TEXTS rows at most
 
     @F.arrow_udf("binary")
+    @giving_back
     def vector(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([row.tobytes() for row in _matrix(column)], pa.binary())
@@ -123,6 +124,7 @@ def scored(df: DataFrame, model: dict, text: str = "text", out: str = "score") -
     weights, cut, slope = model["weights"], model["cut"], model["slope"]
 
     @F.arrow_udf("double")
+    @giving_back
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         base = np.log(KEEP / (1 - KEEP))
         for column in columns:

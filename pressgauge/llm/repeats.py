@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import batches, prepared, spans, text_buffers, written
+from pressgauge.llm.common import batches, giving_back, prepared, released, spans, text_buffers, written
 from pressgauge.llm.induced import CAP, Sorter
 
 LENGTH, RUN = 50, 16
@@ -207,7 +207,7 @@ def _candidates(rows: DataFrame, names: DataFrame, length: int) -> DataFrame:
     table = bit_table(names, "name")
     if table is not None:
         sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most
-        return rows.mapInArrow(lambda r: _segments_of(r, sent.value, length), _SEGMENT + ", segment binary")
+        return rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length)), _SEGMENT + ", segment binary")
     found = rows.mapInArrow(lambda r: _segments_of(r, None, length), _SEGMENT).join(names, "name", "left_semi")
     listed = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "strings", "name")).alias("s"))  # a document's own
     cut = rows.join(listed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select(
@@ -333,8 +333,8 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = prepared(docs.sparkSession)
     rows = docs.where("doc_id is not null")
     names = written(
-        rows.select("doc_id", "text").mapInArrow(lambda r: _names(r, length), "name bigint, doc_id bigint, times bigint")
-        .repartition("name").mapInArrow(_shared, "name bigint, times bigint"),
+        rows.select("doc_id", "text").mapInArrow(lambda r: released(_names(r, length)), "name bigint, doc_id bigint, times bigint")
+        .repartition("name").mapInArrow(lambda r: released(_shared(r)), "name bigint, times bigint"),
         "shared-names",
     )
     crowded = names.where(f"times > {CROWD}").count()
@@ -350,7 +350,7 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     judged = (
         found.select("name", "segment", "doc_id").mapInArrow(_distinct, "name bigint, segment binary, least bigint, most bigint")
         .repartition("name").sortWithinPartitions("name")
-        .mapInArrow(lambda r: _sorted_shards(r, length), "name bigint, hash bigint, least bigint, bits bigint")
+        .mapInArrow(lambda r: released(_sorted_shards(r, length)), "name bigint, hash bigint, least bigint, bits bigint")
     )
     judged = written(judged, "judged-segments")
     places = found.select("name", F.xxhash64("segment").alias("hash"), "doc_id", "tie", "start", "strings")
@@ -374,6 +374,7 @@ def as_text(kept: Column) -> Column:
     """Kept bytes as text; what is left of a character that was cut in part goes too."""
 
     @F.arrow_udf("string")
+    @giving_back
     def decoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
@@ -395,6 +396,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     )
 
     @F.arrow_udf("struct<kept: binary, removed: array<struct<start: bigint, end: bigint>>, n_bytes: bigint, n_removed: bigint>")
+    @giving_back
     def cut(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, starts, bits in columns:
             offsets, data = text_buffers(texts)

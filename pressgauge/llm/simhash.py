@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import prepared, texts_of, words_of, written
+from pressgauge.llm.common import giving_back, prepared, released, texts_of, words_of, written
 from pressgauge.llm.components import components
 
 QUARTER, QUARTERS = 16, 4
@@ -62,6 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = 3, out: str = "f
     prepared(df.sparkSession)
 
     @F.arrow_udf("bigint")
+    @giving_back
     def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([fingerprint(words_of(t), size) for t in texts_of(column)], pa.int64())
@@ -258,7 +259,7 @@ def near_links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     if budget >= QUARTERS:
         raise ValueError("the budget must be less than the number of quarters")
     dealt = _dealt(distinct, budget).repartition("q", "group").sortWithinPartitions("q", "group")
-    return dealt.mapInArrow(lambda rows: _groups(rows, budget), "a bigint, b bigint, near bigint")
+    return dealt.mapInArrow(lambda rows: released(_groups(rows, budget)), "a bigint, b bigint, near bigint")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, budget: int = 3) -> DataFrame:

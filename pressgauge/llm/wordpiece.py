@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import Memo, prepared
+from pressgauge.llm.common import Memo, giving_back, prepared
 
 #: The vocabulary's own rule for words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -117,6 +117,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     shared = prepared(df.sparkSession).sparkContext.broadcast(load_pieces(vocabulary))  # size of the file
 
     @F.arrow_udf("struct<n_words: bigint, n_pieces: bigint>")
+    @giving_back
     def counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(shared.value)
         for column in columns:
