@@ -11,7 +11,8 @@ around it must be equal in a share of SHARE at least. An item with fewer words t
 there whole, with that share of equal words; such items have masks of their own, by their number of
 words, that are joined at all places of a document and meet any substitutions which that share allows
 (only numbers of words that the benchmark has are looked for). An item of fewer than SEEDED words must
-be there word for word; one of fewer than LEAST words is no evidence and is never found.
+be there word for word; one of fewer than ``least`` words is taken for no evidence (with ``least`` = 1 all are
+looked for).
 
 The benchmark's distinct seeds are sent to all tasks if there are at most SENT of them; if more, the
 join shuffles. Either way only rows with hits go on, so the documents' words are read again just for
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressgauge.llm.common import written
+
 MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 6, 7))
 SPAN, STRIDE, WINDOW, SHARE, LEAST = 8, 2, 13, 0.8, 5
 #: An item of fewer words must be there word for word.
@@ -37,7 +40,8 @@ DENSE = {
     11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
     12: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
 }
-#: Distinct benchmark seeds that are broadcast at most: 8 bytes each, some 20 MB as a hash table.
+#: Distinct benchmark seeds, or ids of documents that were hit, that are broadcast at most: 8 bytes each, some
+#: 20 MB as a hash table. If there are more, they join.
 SENT = 1_000_000
 
 
@@ -81,7 +85,7 @@ def _document_seeds(docs: DataFrame, short: list[int]) -> DataFrame:
     )
 
 
-def _benchmark_seeds(items: DataFrame) -> DataFrame:
+def _benchmark_seeds(items: DataFrame, least: int) -> DataFrame:
     """(seed, at, before, around, need, item_id): around are the item's words near the seed, of which
     ``before`` come before it; need words in a window of ``wide`` must be equal."""
     margin = WINDOW - SPAN
@@ -97,20 +101,22 @@ def _benchmark_seeds(items: DataFrame) -> DataFrame:
         F.expr(f"CASE WHEN n <= {WINDOW} THEN words ELSE slice(words, greatest(s.at - {margin}, 0) + 1, {SPAN + margin} + least(s.at, {margin})) END").alias("around"),
         F.expr(f"least(n, {WINDOW})").alias("wide"),
     ).withColumn("need", F.ceil(F.col("wide") * SHARE).cast("int"))
-    short = items.where(f"n between {LEAST} and {SEEDED - 1}")
+    short = items.where(f"n between {least} and {SEEDED - 1}")
     runs = [
         short.where(f"n = {n}").select(
             "item_id", F.expr(f"{_runs('words', n, 'array(0)')}[0].seed").alias("seed"), F.lit(0).alias("before"),
             F.col("words").alias("around"), F.lit(n).alias("wide"), F.lit(n).alias("need"),
         )
-        for n in range(LEAST, SEEDED)
+        for n in range(max(1, least), SEEDED)
     ]
     for one in runs:
         long = long.unionByName(one)
     return long
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = LEAST
+) -> DataFrame:
     """(doc_id, item_id, n_equal, at) of every document and benchmark item that share a passage.
 
     n_equal: the most equal words in a window of the shared passage; at: where the first verified
@@ -118,8 +124,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("words")).withColumn("n", F.size("words"))
     worded = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    short = [r.n for r in items.where(f"n between {LEAST} and {WINDOW - 1}").select("n").distinct().collect()]  # WINDOW at most
-    seeds = _benchmark_seeds(items)
+    short = [r.n for r in items.where(f"n between {max(1, least)} and {WINDOW - 1}").select("n").distinct().collect()]  # WINDOW at most
+    seeds = _benchmark_seeds(items, least)
     # items that have the same words around a seed are verified once
     contexts = seeds.select("seed", "before", "around", "wide", "need").distinct()
     distinct = seeds.select("seed").distinct()
@@ -128,15 +134,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     hits = _document_seeds(worded, sorted(short)).join(distinct, "seed", "left_semi")
     found = hits.join(contexts, "seed").select("doc_id", "at", "before", "around", "wide", "need")
     # one row for each place where the two lie side by side
-    found = found.select("doc_id", (F.col("at") - F.col("before")).alias("start"), "around", "wide", "need").distinct()
+    found = written(found.select("doc_id", (F.col("at") - F.col("before")).alias("start"), "around", "wide", "need").distinct(), "side-by-side")
     equal = F.expr(
         "transform(sequence(0, size(around) - 1), j -> CASE WHEN start + j >= 0 AND get(words, start + j) = around[j] THEN 1 ELSE 0 END)"
     )
     best = F.expr(
         "array_max(transform(sequence(0, size(around) - wide), j -> aggregate(slice(equal, j + 1, wide), 0, (a, x) -> a + x)))"
     )
+    # only what was hit is split into words again
     ids = found.select(F.col("doc_id").alias("id")).distinct()
-    again = worded.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    if ids.count() <= SENT:
+        ids = F.broadcast(ids)
+    hit = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = hit.select("doc_id", words(F.col("text")).alias("words"))
     held = (
         found.withColumnRenamed("doc_id", "id").join(again, F.col("id").eqNullSafe(F.col("doc_id")))
         .select("doc_id", "start", "around", "wide", "need", equal.alias("equal"))
@@ -149,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names: str) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """The documents that share no passage with the benchmark, all columns kept."""
     leaking = matches(docs, benchmark, doc_id, **names).select(F.col("doc_id").alias("__leaking")).distinct()
     return docs.join(leaking, F.col(doc_id).eqNullSafe(F.col("__leaking")), "left_anti")

@@ -64,7 +64,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = sketches.with_next(sketches.with_sketch(docs, "text", "sketch"), "doc_id", "text", ["sketch"])
+    both = sketches.with_next(docs, "doc_id", "text", ["sketch"], lambda rows: sketches.with_sketch(rows, "text", "sketch"))
     quarter = "cast(n_chars div 4 as int)"
     edited = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {quarter}), substring(next_text, 1, {quarter}))")

@@ -97,13 +97,15 @@ def fingerprint(sketch: str) -> str:
     return f"array_join(transform({sketch}, h -> hex(h)), ',')"
 
 
-def with_next(df: DataFrame, doc_id: str, text: str, carried: list[str]) -> DataFrame:
-    """Add ``next_<column>`` for ``text`` and each of ``carried``: the values of the row that follows."""
+def with_next(df: DataFrame, doc_id: str, text: str, carried: list[str], derived=lambda rows: rows) -> DataFrame:
+    """Add ``next_<column>`` for ``text`` and each of ``carried``: the values of the row that follows.
+
+    ``derived`` adds the columns to carry; it is applied once to all rows, and to a first row of each range."""
     columns = [text, *carried]
-    rows = df.withColumn("__tie", F.xxhash64(text))
+    rows = derived(df).withColumn("__tie", F.xxhash64(text))
     count = df.count()
     if not count:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return rows.select(*derived(df).columns, *(F.col(c).alias(f"next_{c}") for c in columns))
     ranges = max(1, min(RANGES, count // RANGE))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(doc_id, shares, 100 * ranges).alias("c")).first().c if shares else None
@@ -119,11 +121,11 @@ def with_next(df: DataFrame, doc_id: str, text: str, carried: list[str]) -> Data
     spark = df.sparkSession
     follows = [(s["__range"], t["first"]["id"], t["first"]["tie"]) for s, t in zip(starts, starts[1:] + starts[:1])]
     wanted = spark.createDataFrame(follows, "__range int, __id bigint, __first bigint")
-    first = (
-        rows.join(F.broadcast(wanted.select("__id", "__first").distinct()),  # a row for each range
+    first = derived(
+        df.withColumn("__tie", F.xxhash64(text)).join(F.broadcast(wanted.select("__id", "__first").distinct()),  # a row for each range
                   F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__first")))
-        .groupBy("__id", "__first").agg(*(F.first(c).alias(f"__first_{c}") for c in columns))
-    )
+        .groupBy("__id", "__first").agg(F.first(text).alias(text))
+    ).select("__id", "__first", *(F.col(c).alias(f"__first_{c}") for c in columns))
     heads = (
         wanted.alias("w").join(first.alias("f"), F.expr("w.__id <=> f.__id AND w.__first = f.__first"))
         .select("w.__range", *(f"f.__first_{c}" for c in columns))
@@ -132,7 +134,7 @@ def with_next(df: DataFrame, doc_id: str, text: str, carried: list[str]) -> Data
     led = rows.withColumn("__next", F.lead(F.struct(*columns)).over(window))
     got = led.join(heads, "__range", "left")
     return got.select(
-        *df.columns,
+        *derived(df).columns,
         *(F.when(F.col("__next").isNotNull(), F.col(f"__next.{c}")).otherwise(F.col(f"__first_{c}")).alias(f"next_{c}") for c in columns),
     )
 
