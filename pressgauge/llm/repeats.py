@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +121,9 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tup
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])])
     starts = np.flatnonzero(new)
     runs = np.diff(np.append(starts, len(at)))
-    pieces = -(-runs // STRINGS)
-    first = np.repeat(starts, pieces) + spans(np.zeros(len(runs), np.int64), pieces) * STRINGS
+    most = min(STRINGS, length)  # so that the first and the last string of a segment cover it
+    pieces = -(-runs // most)
+    first = np.repeat(starts, pieces) + spans(np.zeros(len(runs), np.int64), pieces) * most
     strings = np.diff(np.append(first, len(at)))
     return text[first], at[first], strings, name[first]
 
@@ -178,11 +178,20 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _cut(found)
 
 
-_SEGMENT = "doc_id bigint, tie bigint, start int, strings int, name bigint"
+_SEGMENT = "doc_id bigint, tie bigint, start int, strings int, name bigint, hash bigint"
 
 
-def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, length: int) -> Iterator[pa.RecordBatch]:
-    """Segments of (doc_id, tie, text). With a bit table those of its names, with their bytes."""
+def segment_hashes(data: np.ndarray, at: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each segment from those of its first and its last string, which cover it if it has ``length``
+    strings at most."""
+    string = hashes(data, length)
+    out = (string[at] * _ODD[0]) ^ (string[at + strings - 1] * _ODD[1] + strings.astype(np.uint64) * _ODD[2])
+    out ^= out >> np.uint64(31)
+    return out * _MIX[1]
+
+
+def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, length: int, cut: bool = False) -> Iterator[pa.RecordBatch]:
+    """Segments of (doc_id, tie, text), with a bit table those of its names, if ``cut`` with their bytes."""
     for batch in batches(rows):
         offsets, data = text_buffers(batch.column(2))
         text, at, strings, name = segments(offsets, data, length)
@@ -192,9 +201,12 @@ def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, lengt
         if not len(text):
             continue
         ids, ties = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[text] for i in (0, 1))
-        columns = [pa.array(ids), pa.array(ties), pa.array((at - offsets[text]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(name.view(np.int64))]
-        names = ["doc_id", "tie", "start", "strings", "name"]
-        if table is not None:
+        columns = [
+            pa.array(ids), pa.array(ties), pa.array((at - offsets[text]).astype(np.int32)), pa.array(strings.astype(np.int32)),
+            pa.array(name.view(np.int64)), pa.array(segment_hashes(data, at, strings, length).view(np.int64)),
+        ]
+        names = ["doc_id", "tie", "start", "strings", "name", "hash"]
+        if cut:
             sizes = strings + length - 1
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             columns.append(pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, sizes)])]))
@@ -202,18 +214,51 @@ def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, lengt
         yield from _cut(pa.RecordBatch.from_arrays(columns, names), 8192)
 
 
-def _candidates(rows: DataFrame, names: DataFrame, length: int) -> DataFrame:
-    """(doc_id, tie, start, strings, name, segment) of the segments with one of the names."""
+def _candidates(rows: DataFrame, names: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tie, start, strings, name, hash) of the segments with one of the names, and (name, segment, least,
+    most): their bytes, each segment once for some of a task's bytes."""
+    told = "name bigint, segment binary, least bigint, most bigint"
     table = bit_table(names, "name")
     if table is not None:
         sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most
-        return rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length)), _SEGMENT + ", segment binary")
+        places = rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length)), _SEGMENT)
+        return places, rows.mapInArrow(lambda r: released(_distinct(_segments_of(r, sent.value, length, True))), told)
     found = rows.mapInArrow(lambda r: _segments_of(r, None, length), _SEGMENT).join(names, "name", "left_semi")
-    listed = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "strings", "name")).alias("s"))  # a document's own
+    listed = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "strings", "name", "hash")).alias("s"))  # a document's own
     cut = rows.join(listed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select(
-        "doc_id", "tie", F.expr(f"explode(transform(s, x -> struct(x.start, x.strings, x.name, substring(encode(text, 'utf-8'), x.start + 1, x.strings + {length - 1}) AS segment))) AS x"),
+        "doc_id", "tie", F.expr(f"explode(transform(s, x -> struct(x.start, x.strings, x.name, x.hash, substring(encode(text, 'utf-8'), x.start + 1, x.strings + {length - 1}) AS segment))) AS x"),
     )
-    return written(cut.select("doc_id", "tie", "x.*"), "segments")
+    found = written(cut.select("doc_id", "tie", "x.*"), "segments")
+    return found.drop("segment"), found.select("doc_id", "name", "segment").mapInArrow(lambda r: released(_distinct(r)), told)
+
+
+def _single(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Segments string by string, each under its own hash as its name."""
+    for batch in batches(rows):
+        strings = batch["strings"].to_numpy().astype(np.int64)
+        offsets, data = text_buffers(batch["segment"])
+        row = np.repeat(np.arange(len(strings)), strings)
+        at = spans(offsets[:-1], strings)
+        one = np.ones(len(at), np.int64)
+        columns = {c: batch[c].to_numpy()[row] for c in ("doc_id", "tie")}
+        start = batch["start"].to_numpy()[row] + at - offsets[:-1][row]
+        ends = np.arange(len(at) + 1, dtype=np.int32) * length
+        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, one * length)])])
+        hashed = segment_hashes(data, at, one, length).view(np.int64)
+        made = [pa.array(x) for x in (columns["doc_id"], columns["tie"], start.astype(np.int32), one.astype(np.int32), hashed, hashed)]
+        yield from _cut(pa.RecordBatch.from_arrays([*made, cut], ["doc_id", "tie", "start", "strings", "name", "hash", "segment"]), 8192)
+
+
+def _dealt_anew(rows: DataFrame, names: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """As ``_candidates``; the names with more than CROWD segments string by string."""
+    told = "name bigint, segment binary, least bigint, most bigint"
+    table = bit_table(names, "name")
+    sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most, or nothing
+    found = rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length, True)), _SEGMENT + ", segment binary")
+    known = found.join(names.select("name", (F.col("times") > CROWD).alias("crowd")), "name")
+    single = known.where("crowd").drop("crowd").select(*found.columns).mapInArrow(lambda r: released(_single(r, length)), _SEGMENT + ", segment binary")
+    both = known.where("not crowd").select(*found.columns).unionByName(single)
+    return both.drop("segment"), both.select("doc_id", "name", "segment").mapInArrow(lambda r: released(_distinct(r)), told)
 
 
 def _distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +272,8 @@ def _distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.combine_chunks().to_batches(max_chunksize=8192)
 
     for batch in batches(rows):
-        held.append(batch)
-        size += batch.nbytes
+        held.append(batch.select(["name", "segment", "doc_id"]))
+        size += held[-1].nbytes
         if size >= 4 * SHARD:
             yield from out()
             held, size = [], 0
@@ -306,9 +351,11 @@ def _sorted_shards(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             bits[wanted] = earlier(table.column("segment").take(wanted).to_pylist(), least[wanted], length)
         some = (bits != 0) | (table.column("most").to_numpy() > least)  # the others remove nothing
         found = table.append_column("bits", pa.array(bits)).filter(pa.array(some))
-        hashed = [xxhash.xxh64_intdigest(x, 42) for x in found.column("segment").to_pylist()]
-        hashed = pa.array(np.array(hashed, np.uint64).view(np.int64))
-        found = found.append_column("hash", hashed).select(["name", "hash", "least", "bits"])
+        if not found.num_rows:
+            return
+        offsets, data = text_buffers(found.column("segment").combine_chunks())
+        hashed = segment_hashes(data, offsets[:-1], np.diff(offsets) - length + 1, length)
+        found = found.append_column("hash", pa.array(hashed.view(np.int64))).select(["name", "hash", "least", "bits"])
         yield from (b for part in found.to_batches() for b in _cut(part))
 
     for batch in batches(rows):
@@ -338,22 +385,11 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "shared-names",
     )
     crowded = names.where(f"times > {CROWD}").count()
-    found = _candidates(rows, names, length)
-    if crowded:
-        many = names.where(f"times > {CROWD}").select("name", F.lit(True).alias("crowd"))
-        found = found.join(many, "name", "left")
-        single = found.where("crowd").select("doc_id", "tie", "start", "segment", F.expr("explode(sequence(0, strings - 1)) AS i")).select(
-            "doc_id", "tie", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("strings"),
-            F.expr(f"substring(segment, i + 1, {length})").alias("segment"),
-        ).withColumn("name", F.xxhash64("segment"))
-        found = found.where("crowd is null").drop("crowd").unionByName(single)
-    judged = (
-        found.select("name", "segment", "doc_id").mapInArrow(_distinct, "name bigint, segment binary, least bigint, most bigint")
-        .repartition("name").sortWithinPartitions("name")
-        .mapInArrow(lambda r: released(_sorted_shards(r, length)), "name bigint, hash bigint, least bigint, bits bigint")
+    places, distinct = (_dealt_anew if crowded else _candidates)(rows, names, length)
+    judged = distinct.repartition("name").sortWithinPartitions("name").mapInArrow(
+        lambda r: released(_sorted_shards(r, length)), "name bigint, hash bigint, least bigint, bits bigint"
     )
     judged = written(judged, "judged-segments")
-    places = found.select("name", F.xxhash64("segment").alias("hash"), "doc_id", "tie", "start", "strings")
     marks = places.join(judged, ["name", "hash"]).withColumn(
         "bits", F.expr("CASE WHEN doc_id > least THEN shiftleft(1L, strings) - 1 ELSE bits END")
     ).where("bits <> 0")
