@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.session import scratch_path
+from pressgauge.session import remove, scratch_path, scratch_scope
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,11 +33,38 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Spark's switch for removing a query's shuffle files when the query is through.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write and read back. The shuffle files that the write needed go with it: nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts the lineage, work is done once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, scratch_path(df.sparkSession, name))
+
+
+def only_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns; all that it has written on its way is removed then."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        return _write(make(), path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Remove a table that ``written`` or ``only_result`` wrote."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        remove(table.sparkSession, folder)
 
 
 def lower_ascii(text: Column) -> Column:

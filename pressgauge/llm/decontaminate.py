@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import written
+from pressgauge.llm.common import only_result, written
 
 MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 6, 7))
 SPAN, STRIDE, WINDOW, SHARE, LEAST = 8, 2, 13, 0.8, 5
@@ -161,5 +161,6 @@ def matches(
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """The documents that share no passage with the benchmark, all columns kept."""
-    leaking = matches(docs, benchmark, doc_id, **names).select(F.col("doc_id").alias("__leaking")).distinct()
+    found = only_result(docs.sparkSession, "leaking", lambda: matches(docs, benchmark, doc_id, **names).select("doc_id").distinct())
+    leaking = found.select(F.col("doc_id").alias("__leaking"))
     return docs.join(leaking, F.col(doc_id).eqNullSafe(F.col("__leaking")), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import giving_back, prepared, texts_of, words_of, written
+from pressgauge.llm.common import giving_back, only_result, prepared, texts_of, words_of, written
 from pressgauge.llm.components import components
 from pressgauge.llm.simhash import first_of_each, majority, near_links
 
@@ -151,10 +151,11 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
     row = shared.select(F.struct("node", "n", "place").alias("x"), F.col("before").alias("y")).where("y is not null")
     next_to = row.where(_possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    first = written(_verified(near.union(equal).union(next_to), nodes, rows), "near-first")
+    spark = df.sparkSession
+    first = only_result(spark, "near-first", lambda: _verified(near.union(equal).union(next_to), nodes, rows))
 
     # then all pairs of different components
-    roots = written(components(first), "near-roots")
+    roots = only_result(spark, "near-roots", lambda: components(first))
     named = shared.select("shingle", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("shingle", "root").count()
     largest = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots"))
@@ -162,7 +163,7 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     others = open_.where("root <> largest").alias("x").join(
         open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND (y.root = y.largest OR x.node < y.node) AND {_possible('x', 'y')}")
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = _verified(others, nodes, rows)
+    rest = only_result(spark, "near-rest", lambda: _verified(others, nodes, rows))
     roots = components(first.union(rest))
     return signed.select("doc_id", "tie", "node").join(roots, "node", "left").select(
         "doc_id", "tie", F.coalesce("root", "node").alias("component")
@@ -171,4 +172,5 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, as ``simhash.one_of_each``."""
-    return first_of_each(df, near_sets(df, doc_id, text), doc_id, text)
+    found = only_result(df.sparkSession, "near-sets", lambda: near_sets(df, doc_id, text))
+    return first_of_each(df, found, doc_id, text)

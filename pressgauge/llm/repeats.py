@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import batches, giving_back, prepared, released, spans, text_buffers, written
+from pressgauge.llm.common import batches, giving_back, only_result, prepared, released, spans, text_buffers, written
 from pressgauge.llm.induced import CAP, Sorter
 
 LENGTH, RUN = 50, 16
@@ -426,7 +426,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     rows = rows.withColumn("__tie", F.xxhash64("__text"))
     keyed = rows.select(F.col("__id").alias("doc_id"), F.col("__tie").alias("tie"), F.col("__text").alias("text"))
     # rows that are equal in id and text lose the same; they are looked through once
-    marks = removed_starts(keyed, length).select(
+    marks = only_result(spark, "removed-starts", lambda: removed_starts(keyed, length)).select(
         F.col("doc_id").alias("__mark_id"), F.col("tie").alias("__mark_tie"),
         F.col("starts.start").alias("__starts"), F.col("starts.bits").alias("__bits"),
     )

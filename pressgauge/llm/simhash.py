@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import giving_back, prepared, released, texts_of, words_of, written
+from pressgauge.llm.common import giving_back, only_result, prepared, released, texts_of, words_of, written
 from pressgauge.llm.components import components
 
 QUARTER, QUARTERS = 16, 4
@@ -293,7 +293,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
 
     A row that is repeated in id and text stays once, with the least values in its other columns.
     """
-    return first_of_each(df, near_duplicates(df, doc_id, text, size, budget), doc_id, text)
+    found = only_result(df.sparkSession, "simhash-components", lambda: near_duplicates(df, doc_id, text, size, budget))
+    return first_of_each(df, found, doc_id, text)
 
 
 def first_of_each(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:

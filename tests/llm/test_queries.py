@@ -149,3 +149,13 @@ def test_the_rest_works_without_this_package(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(contract)
+
+
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        left = glob.glob(f"{tmp_path}/pressgauge/*")
+        assert [os.path.basename(p).rsplit("-", 1)[0] for p in left] == ["bpe_encoding"] and out.count() > 0
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
