@@ -63,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
-    return common.written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    """What the last stage returns, written. Tables that stages wrote on their way go as soon as they are read."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, read = common.only_result(spark, name, lambda: stage(spark, docs, sf_dir)), before
+        before = docs
+        if read is not None:
+            common.dropped(read)
+    return docs
