@@ -21,6 +21,7 @@ import __spark_entry__ as contract  # noqa: E402
 import check_oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
+from pressgauge import session  # noqa: E402
 from pressgauge.llm import common, queries, quality  # noqa: E402
 
 
@@ -151,11 +152,8 @@ def test_the_rest_works_without_this_package(monkeypatch):
         importlib.reload(contract)
 
 
-def test_pipeline_leaves_only_its_result(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        left = glob.glob(f"{tmp_path}/pressgauge/*")
-        assert [os.path.basename(p).rsplit("-", 1)[0] for p in left] == ["bpe_encoding"] and out.count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_pipeline_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(session._LOCAL_SCRATCH, spark.sparkContext.applicationId, str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    left = glob.glob(f"{tmp_path}/pressgauge/*")
+    assert [os.path.basename(p).rsplit("-", 1)[0] for p in left] == ["bpe_encoding"] and out.count() > 0
