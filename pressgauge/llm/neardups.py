@@ -7,7 +7,8 @@ shingles: two sets that are NEAR have a common shingle among the first n - ceil(
 in any order that holds for all sets. Shingles that are frequent in a sample of the texts come last in
 that order, so that common lines and passages gather few texts; which ones they are changes the work,
 not the result. Every candidate is decided by its two whole sets (of 64-bit hashes), so no pair is lost
-and none is linked that isn't NEAR.
+and none is linked that isn't NEAR; but first by small pictures of the sets, which show of most pairs that
+they can't be.
 
 Only a first part of the candidates is made at once: each text of a shingle with the one before it.
 What these connect needs no more links, so after that only pairs of different components are made. A
@@ -35,6 +36,8 @@ from pressgauge.llm.simhash import first_of_each, majority, near_links
 SIZE = 5
 #: NEAR as a fraction of whole numbers: shared / all >= 4 / 5.
 PART, WHOLE = 4, 5
+#: Bits of the picture of a set that its elements are drawn into, by which most pairs are told apart.
+BITS = 2048
 #: Of one in SAMPLE texts, the COMMON most frequent shingles that OFTEN or more of them have come last.
 SAMPLE, OFTEN, COMMON = 16, 4, 50_000
 
@@ -54,6 +57,14 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def drawn(distinct: np.ndarray) -> np.ndarray:
+    """A set's picture: the bits that its elements point to."""
+    at = (distinct & np.uint64(BITS - 1)).astype(np.int64)
+    out = np.zeros(BITS // 64, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def leading(distinct: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first of a set's shingles, of which a set that is NEAR has one at least among its own first."""
     n = len(distinct)
@@ -84,34 +95,45 @@ def _common(rows: DataFrame) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, tie, node, n, fingerprint, leading) of every row; node: a hash of the set."""
+    """(doc_id, tie, node, n, fingerprint, drawn, leading) of every row; node: a hash of the set."""
     shared = prepared(rows.sparkSession).sparkContext.broadcast(common)  # a bounded size
 
-    @F.arrow_udf("struct<node: bigint, n: bigint, fingerprint: bigint, leading: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, n: bigint, fingerprint: bigint, drawn: array<bigint>, leading: array<bigint>>")
     @giving_back
     def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         late = shared.value
         for column in columns:
-            node, n, prints, first = [], [], [], []
+            node, n, prints, pictures, first = [], [], [], [], []
             for t in texts_of(column):
                 found = shingles(words_of(t))
                 distinct = np.unique(found)
                 node.append(xxhash.xxh64_intdigest(distinct.tobytes()))
                 n.append(len(distinct))
                 prints.append(majority(found))
+                pictures.append(drawn(distinct))
                 first.append(leading(distinct, late).view(np.int64))
             yield pa.StructArray.from_arrays(
                 [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(prints, pa.int64()),
-                 pa.array(first, pa.list_(pa.int64()))],
-                ["node", "n", "fingerprint", "leading"],
+                 pa.array(pictures, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                ["node", "n", "fingerprint", "drawn", "leading"],
             )
 
     return rows.select("doc_id", "tie", of(F.col("__text")).alias("s")).select("doc_id", "tie", "s.*")
 
 
+def _missing(x: str, y: str) -> str:
+    """So many elements of x's set, at least, that are not in y's: bits of its picture that y's has not, as SQL."""
+    return f"aggregate(zip_with(drawn_{x}, drawn_{y}, (p, q) -> bit_count(p & ~q)), 0, (s, p) -> s + p)"
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the node pairs (a, b) that are NEAR, decided by their whole sets."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    """Those of the node pairs (a, b) that are NEAR. Most others are told by the sets' pictures, which bound what two
+    sets share; the rest is decided by the whole sets."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pictures = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("drawn").alias(f"drawn_{x}"))
+    most = F.expr(f"least(n_a - {_missing('a', 'b')}, n_b - {_missing('b', 'a')})")
+    bounded = pairs.join(pictures("a"), "a").join(pictures("b"), "b").withColumn("most", most)
+    pairs = written(bounded.where(f"{WHOLE} * most >= {PART} * (n_a + n_b - most)").select("a", "b"), "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ties = nodes.join(wanted, "node").select("node", "tie", "n")
     sets = written(_sets(rows.join(ties, "tie", "left_semi"), "__text").join(ties, "tie").select("node", "n", "set"), "near-sets")
@@ -131,7 +153,7 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     of a component have."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("tie"))
     signed = written(_signed(rows, _common(rows)), "signed")
-    nodes = written(signed.select("node", "tie", "n", "fingerprint", "leading").dropDuplicates(["node"]), "nodes")
+    nodes = written(signed.select("node", "tie", "n", "fingerprint", "drawn", "leading").dropDuplicates(["node"]), "nodes")
 
     # by fingerprint: equal ones with the least node of them, and the least nodes of near ones
     prints = nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("__weight"))

@@ -542,3 +542,14 @@ def test_all_pairs_of_near_shingle_sets_are_linked(spark, docs, rows, nothing, m
     want = sorted(min((d for d in ids if d is not None), default=-1) for ids in least.values())
     assert sorted(r.doc_id for r in neardups.one_of_each(df).collect()) == want and len(want) < len(made) - 40
     assert neardups.one_of_each(nothing).count() == 0
+
+
+def test_pictures_never_hide_a_near_pair():
+    rnd = np.random.default_rng(8)
+    for n in (1, 5, 60, 900, 6000):
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[: int(share * len(a))], rnd.integers(0, 1 << 63, len(a) - int(share * len(a)), dtype=np.uint64)]))
+            x, y = neardups.drawn(a).view(np.uint64), neardups.drawn(b).view(np.uint64)
+            same = len(np.intersect1d(a, b))
+            assert int(np.bitwise_count(x & ~y).sum()) <= len(a) - same and int(np.bitwise_count(y & ~x).sum()) <= len(b) - same

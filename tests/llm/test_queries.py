@@ -152,8 +152,9 @@ def test_the_rest_works_without_this_package(monkeypatch):
         importlib.reload(contract)
 
 
-def test_pipeline_leaves_only_its_result(spark, tmp_path, monkeypatch):
-    monkeypatch.setitem(session._LOCAL_SCRATCH, spark.sparkContext.applicationId, str(tmp_path))
+def test_pipeline_leaves_only_its_result(spark):
+    root = os.path.dirname(session.scratch_path(spark, "probe")).removeprefix("file://")
+    listed = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before = listed()
     out = corpus_pipeline.run(spark, SF)
-    left = glob.glob(f"{tmp_path}/pressgauge/*")
-    assert [os.path.basename(p).rsplit("-", 1)[0] for p in left] == ["bpe_encoding"] and out.count() > 0
+    assert [name.rsplit("-", 1)[0] for name in listed() - before] == ["bpe_encoding"] and out.count() > 0
