@@ -10,7 +10,8 @@ not the result. Every candidate is decided by its two whole sets (of 64-bit hash
 and none is linked that isn't NEAR; but first by small pictures of the sets, which show of most pairs that
 they can't be.
 
-Only a first part of the candidates is made at once: each text of a shingle with the one before it.
+Only a first part of the candidates is made at once: each text of a shingle with the one before it, and with the one
+that shares most with others.
 What these connect needs no more links, so after that only pairs of different components are made. A
 shingle's largest component meets the other ones but not itself.
 
@@ -168,13 +169,18 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     postings = nodes.select("node", "n", F.posexplode("leading").alias("place", "shingle"))
     before = F.lag(F.struct("node", "n", "place")).over(of_shingle.orderBy("n", "node"))
     shared = written(
-        postings.withColumn("before", before).withColumn("gathered", F.count("*").over(of_shingle)).where("gathered > 1").drop("gathered"),
+        postings.withColumn("before", before).withColumn("gathered", F.count("*").over(of_shingle)).where("gathered > 1"),
         "shared-shingles",
     )
     row = shared.select(F.struct("node", "n", "place").alias("x"), F.col("before").alias("y")).where("y is not null")
     next_to = row.where(_possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # and with the most central text of each shingle: what many texts are edits of has most in common with all
+    central = shared.groupBy("node").agg(F.sum("gathered").alias("central"))
+    hubs = shared.join(central, "node").groupBy("shingle").agg(F.max_by(F.struct("node", "n", "place"), F.struct("central", "node")).alias("y"))
+    spokes = shared.select("shingle", F.struct("node", "n", "place").alias("x")).join(hubs, "shingle").where(_possible("x", "y"))
+    to_hub = spokes.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     spark = df.sparkSession
-    first = only_result(spark, "near-first", lambda: _verified(near.union(equal).union(next_to), nodes, rows))
+    first = only_result(spark, "near-first", lambda: _verified(near.union(equal).union(next_to).union(to_hub), nodes, rows))
 
     # then all pairs of different components
     roots = only_result(spark, "near-roots", lambda: components(first))
