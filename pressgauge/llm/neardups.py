@@ -13,7 +13,9 @@ they can't be.
 Only a first part of the candidates is made at once: each text of a shingle with the one before it, and with the one
 that shares most with others.
 What these connect needs no more links, so after that only pairs of different components are made. A
-shingle's largest component meets the other ones but not itself.
+shingle's largest component meets the other ones but not itself. Small pictures of the sets meet in that join, so
+that of a group of texts that share shingles without being NEAR hardly a pair leaves it; all of its pairs in
+different components are compared there, 64 bytes with 64 bytes.
 
 A text with fewer words than a shingle has one shingle of all its words; texts without words (null and
 empty ones) are equal to each other. Rows with a null id belong to the component of their text.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,6 +41,8 @@ SIZE = 5
 PART, WHOLE = 4, 5
 #: Bits of the picture of a set that its elements are drawn into, by which most pairs are told apart.
 BITS = 2048
+#: Bits of the small picture that goes with each shingle of a text into the join that makes the last pairs.
+SMALL = 512
 #: Of one in SAMPLE texts, the COMMON most frequent shingles that OFTEN or more of them have come last.
 SAMPLE, OFTEN, COMMON = 16, 4, 50_000
 
@@ -122,6 +126,19 @@ def _signed(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.select("doc_id", "tie", of(F.col("__text")).alias("s")).select("doc_id", "tie", "s.*")
 
 
+def _folded() -> Column:
+    """A set's picture laid on itself to SMALL bits, as a struct of longs."""
+    step = SMALL // 64
+    return F.struct(*(F.expr(" | ".join(f"drawn[{i}]" for i in range(k, BITS // 64, step))).alias(f"p{k}") for k in range(step)))
+
+
+def _told_apart(x: str, y: str) -> str:
+    """Whether the small pictures show that two sets aren't NEAR, as SQL without lambdas: it is asked of every pair."""
+    lacks = lambda a, b: " + ".join(f"bit_count({a}.small.p{k} & ~{b}.small.p{k})" for k in range(SMALL // 64))
+    most = f"least({x}.n - ({lacks(x, y)}), {y}.n - ({lacks(y, x)}))"
+    return f"{PART + WHOLE} * {most} < {PART} * ({x}.n + {y}.n)"
+
+
 def _missing(x: str, y: str) -> str:
     """So many elements of x's set, at least, that are not in y's: bits of its picture that y's has not, as SQL."""
     return f"aggregate(zip_with(drawn_{x}, drawn_{y}, (p, q) -> bit_count(p & ~q)), 0, (s, p) -> s + p)"
@@ -184,12 +201,13 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     # then all pairs of different components
     roots = only_result(spark, "near-roots", lambda: components(first))
-    named = shared.select("shingle", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    told = nodes.select("node", _folded().alias("small")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = shared.select("shingle", "node", "n", "place").join(told, "node")
     sizes = named.groupBy("shingle", "root").count()
     largest = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots"))
     open_ = written(named.join(largest.where("roots > 1"), "shingle").drop("roots"), "open-shingles")
     others = open_.where("root <> largest").alias("x").join(
-        open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND (y.root = y.largest OR x.node < y.node) AND {_possible('x', 'y')}")
+        open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND (y.root = y.largest OR x.node < y.node) AND {_possible('x', 'y')} AND NOT ({_told_apart('x', 'y')})")
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     rest = only_result(spark, "near-rest", lambda: _verified(others, nodes, rows))
     roots = components(first.union(rest))
