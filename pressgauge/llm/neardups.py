@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import giving_back, only_result, prepared, texts_of, words_of, written
+from pressgauge.llm.common import dropped, giving_back, only_result, prepared, texts_of, words_of, written
 from pressgauge.llm.components import components
 from pressgauge.llm.simhash import first_of_each, majority, near_links
 
@@ -172,6 +172,8 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("tie"))
     signed = written(_signed(rows, _common(rows)), "signed")
     nodes = written(signed.select("node", "tie", "n", "fingerprint", "drawn", "leading").dropDuplicates(["node"]), "nodes")
+    node_of = written(signed.select("doc_id", "tie", "node"), "row-nodes")
+    dropped(signed)
 
     # by fingerprint: equal ones with the least node of them, and the least nodes of near ones
     prints = nodes.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("__weight"))
@@ -206,12 +208,13 @@ def near_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sizes = named.groupBy("shingle", "root").count()
     largest = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots"))
     open_ = written(named.join(largest.where("roots > 1"), "shingle").drop("roots"), "open-shingles")
+    dropped(shared)
     others = open_.where("root <> largest").alias("x").join(
         open_.alias("y"), F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND (y.root = y.largest OR x.node < y.node) AND {_possible('x', 'y')} AND NOT ({_told_apart('x', 'y')})")
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     rest = only_result(spark, "near-rest", lambda: _verified(others, nodes, rows))
     roots = components(first.union(rest))
-    return signed.select("doc_id", "tie", "node").join(roots, "node", "left").select(
+    return node_of.join(roots, "node", "left").select(
         "doc_id", "tie", F.coalesce("root", "node").alias("component")
     )
 

@@ -201,11 +201,11 @@ def _joined(block: np.ndarray, budget: int) -> pa.RecordBatch:
 def _groups(rows: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Walk the groups of a partition that is sorted by group; whole groups, BLOCK rows at a time."""
     held: list[np.ndarray] = []
-    size = 0
+    size, wanted = 0, BLOCK
     for batch in rows:
         held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
         size += batch.num_rows
-        if size < BLOCK:
+        if size < wanted:
             continue
         block = np.concatenate(held, axis=1)
         change = np.flatnonzero((block[:2, 1:] != block[:2, :-1]).any(axis=0))
@@ -214,6 +214,7 @@ def _groups(rows: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBa
             yield _joined(block[:, :end], budget)
         held = [block[:, end:]]
         size = block.shape[1] - end
+        wanted = max(BLOCK, 2 * size)  # a group over several blocks is put together a few times, not once a batch
     if size:
         yield _joined(np.concatenate(held, axis=1), budget)
 
