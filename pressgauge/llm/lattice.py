@@ -3,20 +3,28 @@
 A word's segmentations into pieces of an existing vocabulary form a lattice. Pieces that begin a word
 and pieces within one have weights of their own, normalised apart; a stop ends the word. The word's
 lattice probability is the sum over all segmentations, by a forward recursion in log space. Weights
-start from the vocabulary's own scores and are learnt by expectation over the training words: each
-distinct word counts once, so the lattice describes words that weren't seen before. Every byte has a
-piece, so every word has a probability.
+start from the vocabulary's own scores and are learnt by expectation over the training tokens. Every
+byte has a piece, so every word has a probability.
 
-A word seen ``c`` times among N training tokens has one more arc, itself:
+No piece reaches over a word's end, so a text's probability, summed over all of its segmentations, is
+the product of its words' sums. With ``e`` ends among N training tokens and p = (e + 1/2) / (N + 1),
+
+    P(text) = p * product over words of (1 - p) * P_lattice(word)
+
+which sums to at most one over all texts. A text's score is its log10.
+
+With ``whole_words`` a word seen ``c`` times has one more arc, itself, and the lattice, in which each
+distinct word counts once, describes those that weren't seen:
 
     P(word) = max(c - d, 0) / N + d * V / N * P_lattice(word)
 
-with V distinct tokens and the discount d from how many tokens occur once and twice. These sum to at
-most one over all words. A text's score is the sum of log10 P over its words and its end.
+with V distinct tokens and the discount d from how many tokens occur once and twice.
 
 How it runs: words are counted in tasks and summed by one shuffle. Lattices are walked once for each
 distinct word. The most frequent words, FREQUENT of them at most, go to all tasks; they are most of
-a text's words. The other (text, word) pairs join the word table.
+a text's words. The other (text, word) pairs join the word table. Words of one length are walked
+together, byte by byte; a word over ALONE bytes is walked by itself, arc by arc, with two numbers a byte
+and the arcs of a BLOCK of bytes in memory.
 
 Null and empty texts have only their end. Repeated rows are scored each. Rows with a null id are
 training rows. Without training rows N is 0: the lattice keeps its first weights, and a word or end
@@ -25,6 +33,8 @@ has half the mass. Other columns are dropped.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress, repeat
@@ -38,10 +48,11 @@ from pressgauge.llm.common import UPPER, batches, giving_back, prepared, texts_o
 
 #: Words that are sent to all tasks at most, and the longest of them in characters.
 FREQUENT, LONGEST = 150_000, 64
-#: Counted words that a task holds before it hands them on.
-HELD = 400_000
+#: Counted words that a task holds before it hands them on, and bytes of text that it reads for them.
+HELD, HELD_BYTES = 400_000, 256 << 20
 ROUNDS = 2
 CHUNK = 4096  # words of one length that are walked together
+ALONE, BLOCK = 1024, 1 << 15
 MARK = "▁"
 
 def load_pieces(path: str, ranks: bool = True) -> tuple[dict[bytes, float], dict[bytes, float]]:
@@ -149,28 +160,86 @@ class Lattice:
 
     def log_probability(self, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Natural logarithms for words of one length (rows of bytes)."""
+        if words.shape[1] > ALONE:
+            return np.array([self._forward_alone(word, logs)[-1] for word in words]) + logs[self.stop]
         return self._forward(words, logs)[-1][-1] + logs[self.stop]
 
-    def expected(self, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """How often each piece is used in the words, over all segmentations."""
-        begin, inside, values, padded, alpha = self._forward(words, logs)
+    def expected(self, words: np.ndarray, logs: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """How often each piece is used in the words, over all segmentations; a word counts ``times`` times."""
         rows, n = words.shape
+        times = np.ones(rows) if times is None else times.astype(np.float64)
+        if n > ALONE:
+            return sum(self._expected_alone(word, logs) * t for word, t in zip(words, times))
+        begin, inside, values, padded, alpha = self._forward(words, logs)
         beta = np.full((n + 1, rows), -np.inf)
         beta[n] = 0.0
         for j in range(n - 1, -1, -1):
             beta[j] = _log_sum(np.stack([values[k - 1][:, j] + beta[j + k] for k in range(1, min(n - j, len(values)) + 1)]))
         whole = alpha[n]
         counts = np.zeros(self.size + 1)
-        counts[self.stop] = rows
-        counts[0] = np.exp(logs[0] + beta[0] - whole).sum()
+        counts[self.stop] = times.sum()
+        counts[0] = (np.exp(logs[0] + beta[0] - whole) * times).sum()
         for k, pieces in enumerate(inside, 1):
-            share = np.exp(alpha[: n + 1 - k].T + values[k - 1][:, : n + 1 - k] + beta[k:].T - whole[:, None])
+            share = np.exp(alpha[: n + 1 - k].T + values[k - 1][:, : n + 1 - k] + beta[k:].T - whole[:, None]) * times[:, None]
             counts += np.bincount(pieces[:, : n + 1 - k].ravel() % (self.size + 1), share.ravel(), self.size + 1)
         for k, pieces in enumerate(begin, 1):
-            share = np.exp(padded[pieces[:, 0]] + beta[k] - whole)
+            share = np.exp(padded[pieces[:, 0]] + beta[k] - whole) * times
             counts += np.bincount(pieces[:, 0] % (self.size + 1), share, self.size + 1)
         return counts[:-1]
 
+    def _arcs_alone(self, word: np.ndarray, trie: tuple, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of the arcs of one word that start in lo .. hi - 1, in order of their starts."""
+        keys, nodes, piece_of = trie
+        at, node, length = np.arange(lo, hi), np.zeros(hi - lo, np.int64), 0
+        starts, ends, pieces = [], [], []
+        while len(keys) and len(at):
+            length += 1
+            inside = at + length <= len(word)
+            at, node = at[inside], node[inside]
+            edge = node * 256 + word[at + length - 1]
+            place = np.minimum(np.searchsorted(keys, edge), len(keys) - 1)
+            found = keys[place] == edge
+            at, node = at[found], nodes[place[found]]
+            is_piece = piece_of[node] >= 0
+            starts.append(at[is_piece])
+            ends.append(at[is_piece] + length)
+            pieces.append(piece_of[node[is_piece]])
+        if not starts:
+            return (np.zeros(0, np.int64),) * 3
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def _forward_alone(self, word: np.ndarray, logs: np.ndarray) -> array:
+        n = len(word)
+        alpha = array("d", [-math.inf]) * (n + 1)
+        alpha[0] = float(logs[0])
+        _, ends, pieces = self._arcs_alone(word, self.tries[0], 0, 1)
+        for end, value in zip(ends.tolist(), logs[pieces].tolist()):
+            alpha[end] = value
+        for lo in range(0, n, BLOCK):
+            starts, ends, pieces = self._arcs_alone(word, self.tries[1], lo, min(n, lo + BLOCK))
+            _flow(alpha, zip(starts.tolist(), ends.tolist(), logs[pieces].tolist()))
+        return alpha
+
+    def _expected_alone(self, word: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        n = len(word)
+        alpha = np.frombuffer(self._forward_alone(word, logs))
+        beta = array("d", [-math.inf]) * (n + 1)
+        beta[n] = 0.0
+        after = np.frombuffer(beta)
+        counts = np.zeros(self.size)
+        for lo in reversed(range(0, n, BLOCK)):
+            starts, ends, pieces = self._arcs_alone(word, self.tries[1], lo, min(n, lo + BLOCK))
+            _flow(beta, zip(ends[::-1].tolist(), starts[::-1].tolist(), logs[pieces[::-1]].tolist()))
+            share = np.exp(alpha[starts] + logs[pieces] + after[ends] - alpha[n])
+            counts += np.bincount(pieces, share, self.size)
+        _, ends, pieces = self._arcs_alone(word, self.tries[0], 0, 1)
+        counts += np.bincount(pieces, np.exp(logs[pieces] + after[ends] - alpha[n]), self.size)
+        counts[0] += np.exp(logs[0] + after[0] - alpha[n])
+        counts[self.stop] += 1
+        return counts
+
     def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in the list, bytes) of words of one length, CHUNK at a time; long ones fewer."""
         data = [w.encode() for w in words]
@@ -198,6 +267,18 @@ def _blocks(rows: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _flow(logs: array, arcs: Iterator[tuple[int, int, float]]) -> None:
+    """Add to each arc's target what comes from its source; all arcs into a source come before those out of it."""
+    exp, log1p = math.exp, math.log1p
+    for source, target, value in arcs:
+        value += logs[source]
+        there = logs[target]
+        if value > there:
+            logs[target] = value + log1p(exp(there - value))
+        elif value > -math.inf:
+            logs[target] = there + log1p(exp(value - there))
+
+
 def _log_sum(values: np.ndarray) -> np.ndarray:
     top = values.max(axis=0)
     safe = np.where(np.isfinite(top), top, 0)
@@ -209,6 +290,7 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of (text, learn) with how often the rows to learn from have them; 0 for the others."""
     learnt: Counter = Counter()
     other: set[bytes] = set()
+    read = 0
 
     def out() -> pa.RecordBatch:
         rest = [w for w in other if w not in learnt]
@@ -223,13 +305,15 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
         for text, learn in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
             (learnt if learn else other).update(words_of(text))
-        if len(learnt) + len(other) > HELD:
+            read += len(text)
+        if len(learnt) + len(other) > HELD or read > HELD_BYTES:
             yield out()
+            read = 0
     if learnt or other:
         yield out()
 
 
-def train(docs: DataFrame, learn: str, vocabulary: str, text: str = "text", ranks: bool = True) -> dict:
+def train(docs: DataFrame, learn: str, vocabulary: str, text: str = "text", ranks: bool = True, whole_words: bool = False) -> dict:
     """Word counts and lattice weights from the rows of which column ``learn`` is true.
 
     Returns ``words`` (word, c, logp: a table of all distinct words), the totals, and the frequent
@@ -251,6 +335,7 @@ def train(docs: DataFrame, learn: str, vocabulary: str, text: str = "text", rank
     prior = np.array([*(first[p] for p in lattice.first), *(inner[p] for p in lattice.inner), max(inner.values())])
     prior /= prior.sum()
     logs = lattice.normal(prior)
+    seen = kinds if whole_words else total
     for _ in range(ROUNDS):
         logs_now = logs
 
@@ -258,13 +343,14 @@ def train(docs: DataFrame, learn: str, vocabulary: str, text: str = "text", rank
             net = Lattice(*pieces)
             found = np.zeros(net.size)
             for block in _blocks(rows):
-                for _, words in net.by_length(block.column("word").to_pylist()):
-                    found += net.expected(words, logs_now)
+                c = block.column("c").to_numpy()
+                for place, words in net.by_length(block.column("word").to_pylist()):
+                    found += net.expected(words, logs_now, None if whole_words else c[place])
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["piece", "n"])
 
-        used = counts.where("c > 0").select("word").mapInArrow(expect, "piece bigint, n double")
-        weights = prior * max(1.0, 0.01 * kinds)
+        used = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece bigint, n double")
+        weights = prior * max(1.0, 0.01 * seen)
         for row in used.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # the pieces of the vocabulary
             weights[row.piece] += row.n
         logs = lattice.normal(weights)
@@ -291,15 +377,21 @@ def train(docs: DataFrame, learn: str, vocabulary: str, text: str = "text", rank
     frequent = [] if least is None else words.where(
         (F.col("c") > 0) & (F.floor(F.log2("c") * 16).cast("int") >= least) & (F.char_length("word") <= LONGEST)
     ).collect()  # FREQUENT rows of LONGEST characters at most
-    return {"words": words, "n": n, "v": v, "ends": ends, "discount": discount, "frequent": [(r.word, r.c, r.logp) for r in frequent]}
+    return {"words": words, "n": n, "v": v, "ends": ends, "discount": discount, "whole_words": whole_words,
+            "frequent": [(r.word, r.c, r.logp) for r in frequent]}
+
+
+def _end(model: dict) -> float:
+    """How likely a token is an end."""
+    return (model["ends"] + 0.5) / (model["n"] + 1)
 
 
 def logs10(c, logp, model: dict) -> tuple:
     """(base, score) of a word as expressions or arrays: log10 of its probabilities."""
     n, v, d = model["n"], model["v"], model["discount"]
     base = f"log10(({c} + 0.1D) / {n + 0.1 * (v + 1)!r}D)"
-    if not n:
-        return base, f"({logp} + log10(0.5D))"
+    if not (n and model["whole_words"]):
+        return base, f"({logp} + {math.log10(1 - _end(model))!r}D)"
     # log10(a + b) where b may be far below the least double
     rest = f"({logp} + {float(np.log10(d * v / n))!r}D)"
     return base, f"CASE WHEN {c} > {d!r}D THEN log10(({c} - {d!r}D) / {n}D + pow(10D, {rest})) ELSE {rest} END"
@@ -312,10 +404,12 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     n, v, d, ends = model["n"], model["v"], model["discount"], model["ends"]
     c = np.array([x[1] for x in frequent], np.float64)
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    own = np.log10((c - d) / n + 10 ** (np.array([x[2] for x in frequent]) + np.log10(d * v / n))) if n else c
+    whole = n and model["whole_words"]
+    own = np.array([x[2] for x in frequent], np.float64)
+    own = np.log10((c - d) / n + 10 ** (own + np.log10(d * v / n))) if whole else own + math.log10(1 - _end(model))
     shared = spark.sparkContext.broadcast(({x[0].encode(): i for i, x in enumerate(frequent)}, base, own))
     end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-    end_own = float(np.log10((ends - d) / n)) if n else float(np.log10(0.5))
+    end_own = math.log10((ends - d) / n if whole else _end(model))
 
     @F.arrow_udf("struct<n_tokens: bigint, n_known: bigint, base: double, own: double, words: array<string>, times: array<int>>")
     @giving_back

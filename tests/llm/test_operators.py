@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 
@@ -151,7 +152,12 @@ def test_lattice_sums_all_segmentations():
         found[place] = net.log_probability(rows_, logs)
         counts += net.expected(rows_, logs)
     for w, got in zip(words, found):
+        alone = np.frombuffer(w.encode(), np.uint8)
+        assert math.isclose(net._forward_alone(alone, logs)[-1] + logs[net.stop], got, rel_tol=1e-12)
+        assert np.allclose(net._expected_alone(alone, logs), net.expected(alone[None], logs), rtol=1e-9, atol=1e-12)
         assert math.isclose(math.exp(got), every_cut(w.encode(), first, inner, logs, net), rel_tol=1e-9)
+    again = sum(net.expected(r, logs, np.full(len(r), 3)) for _, r in net.by_length(words))
+    assert np.allclose(again, 3 * counts)
     # expectations are the derivatives of the log likelihood by the log weights
     for piece in (0, 1, len(net.first) + 256, net.stop):
         moved = logs.copy()
@@ -160,11 +166,36 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(change / 1e-5, counts[piece], rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_long_words_are_walked_in_blocks(monkeypatch):
+    first, inner = lattice.load_pieces(PIECES)
+    net = lattice.Lattice(list(first), list(inner))
+    logs = net.normal(np.array([*(first[p] for p in net.first), *(inner[p] for p in net.inner), 0.5]))
+    word = "".join(random.Random(5).choice(["there", "é", "日本", "x", "in"]) for _ in range(400)).encode()
+    rows_ = np.frombuffer(word, np.uint8)[None]
+    want = net.log_probability(rows_, logs), net.expected(rows_, logs, np.array([2]))
+    monkeypatch.setattr(lattice, "ALONE", 10)
+    monkeypatch.setattr(lattice, "BLOCK", 7)
+    assert np.allclose(net.log_probability(rows_, logs), want[0], rtol=1e-12)
+    assert np.allclose(net.expected(rows_, logs, np.array([2])), want[1], rtol=1e-8, atol=1e-12)
+
+
+def test_a_word_of_a_million_bytes(spark):
+    word = "".join(random.Random(6).choices("abcdefghij", k=1_000_000))
+    df = spark.createDataFrame([(1, word, True), (2, "some words", True)], "doc_id int, text string, learn boolean")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in lattice.score(df, lattice.train(df, "learn", PIECES)).collect()}
+    assert got[1].n_tokens == 2 and math.isfinite(got[1].score) and got[1].score < 1000 * got[2].score
+    assert wordpiece.token_counts(df, WORDS).where("n_pieces > 100000").count() == 1
+    assert bpe.decode(bpe.encode(df, BYTES), BYTES).where("decoded <> text").count() == 0
+    assert time.monotonic() - began < 180
+
+
 @pytest.mark.parametrize("frequent", [150_000, 3])
-def test_language_model_scores(docs, monkeypatch, frequent):
+@pytest.mark.parametrize("whole_words", [True, False])
+def test_language_model_scores(docs, monkeypatch, frequent, whole_words):
     monkeypatch.setattr(lattice, "FREQUENT", frequent)
     marked = docs.withColumn("learn", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
-    model = lattice.train(marked, "learn", PIECES)
+    model = lattice.train(marked, "learn", PIECES, whole_words=whole_words)
     assert len(model["frequent"]) <= frequent
     rows = docs.select("doc_id", "text").collect()
     counts = Counter(t for r in rows if r.doc_id is None or r.doc_id % 2 == 0 for t in [*tokens(r.text), None])
@@ -179,9 +210,12 @@ def test_language_model_scores(docs, monkeypatch, frequent):
     assert all(r.score < 0 for r in got)
     d, logp = model["discount"], {r.word: r.logp for r in model["words"].collect()}
     own = lambda t: math.log10((max(counts[t] - d, 0) + d * v * 10 ** logp[t]) / n) if counts[t] else logp[t] + math.log10(d * v / n)
+    end = (counts[None] - d) / n if whole_words else (counts[None] + 0.5) / (n + 1)
+    if not whole_words:
+        own = lambda t: logp[t] + math.log10(1 - end)
     by_id = {(r.doc_id, r.n_tokens): r.score for r in got}
     for r in rows:
-        want_score = sum(map(own, tokens(r.text))) + math.log10((counts[None] - d) / n)
+        want_score = sum(map(own, tokens(r.text))) + math.log10(end)
         assert math.isclose(by_id[r.doc_id, len(tokens(r.text)) + 1], want_score, rel_tol=1e-9)
 
 
