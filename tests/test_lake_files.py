@@ -15,7 +15,7 @@ from pressgauge import schemas
 from pressgauge.operators import shares
 from pressgauge.plans import gold, ingestion, runs
 from pressgauge.sources import calls, feeds
-from pressgauge.sources.lake import Lake
+from pressgauge.sources.lake import Lake, with_partition
 
 
 def put_call(folder, name, text):
@@ -168,6 +168,27 @@ def test_a_broken_collection_shows_nothing_and_a_marked_one_is_finished(spark, l
     assert lake._children(f"{lake.root}/bronze/_pending") == []
 
 
+def test_cycles_are_dealt_out_by_their_number_and_small_rows_lie_by_day(spark, lake):
+    """Many small cycles are not written by one task, however few bytes they have."""
+    hours = spark.range(72).select(F.date_format(F.timestamp_seconds(F.col("id") * 3600 + 1704067200), "yyyy-MM-dd'T'HH:00").alias("cycle"))
+    full = hours.select("cycle", *(F.lit(1).cast("bigint").alias(c) for c in lake._empty(schemas.INTAKE_COUNT).columns[1:]))
+    rows = with_partition(full, F.col("cycle"))
+    lake.write_cycles("bronze", "intake_count", rows)
+    files = glob.glob(f"{lake.folder('bronze', 'intake_count')}/**/part-*", recursive=True)
+    assert len(files) == 72 and len({os.path.basename(f).split("-")[1] for f in files}) > 1
+
+    days = Lake(spark, f"{lake.root}-days", lake.fmt)
+    days.write_days("bronze", "intake_count", rows)
+    lost = rows.limit(1).select(F.lit(None).cast("string").alias("cycle"), *full.columns[1:], *(F.lit(None).cast("string").alias(p) for p in schemas.PARTITION))
+    again = rows.where("day = '02' AND hour < '10'").withColumn("collected", F.lit(7).cast("bigint")).unionByName(lost)
+    for _ in range(2):
+        days.write_days("bronze", "intake_count", again)
+    assert len(glob.glob(f"{days.folder('bronze', 'intake_count')}/**/part-*", recursive=True)) == 4
+    got = {(r.cycle, r.day, r.hour): r.collected for r in days.read_cycles("bronze", "intake_count").collect()}
+    want = {(r.cycle, r.day, r.hour): r.collected for r in rows.collect()} | {(r.cycle, r.day, r.hour): r.collected for r in again.collect()}
+    assert got == want and days.read_cycles("bronze", "intake_count").count() == 73
+
+
 @pytest.mark.parametrize("measure", ["share", "count"])
 def test_source_grid(spark, measure):
     said = [("r1", "KR", "s1", "2026-06-23T14", ["a", "b"]), ("r2", "KR", "s1", "2026-06-23T14", ["a"]), ("r3", "KR", "s2", "2026-06-23T14", ["c"]),
