@@ -733,7 +733,9 @@ def call_files(spark: SparkSession, sf: str) -> DataFrame:
     "CASE WHEN doc_id % 7 <> 3 THEN length(text) END AS reply_size FROM documents WHERE doc_id % 9 <> 1",
 )
 def refreshed_call_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder with a file per call, read once; then files are added, written again and removed. Some are broken."""
+    """A folder with a file per call, read once; then files are added, written again and removed. Some are broken.
+
+    The files of the calls that are added, changed or removed together lie in folders of their own."""
     folder, lake = scratch_path(spark, "call-files"), _new_lake(spark)
     docs = tables.table(spark, sf, "documents")
     name = F.concat(F.lit("call-"), "doc_id")
@@ -741,15 +743,19 @@ def refreshed_call_files(spark: SparkSession, sf: str) -> DataFrame:
     def put(rows: DataFrame, outcome: Column) -> None:
         text = F.to_json(F.struct(name.alias("call_id"), outcome.alias("call_outcome"), F.col("text").alias("response_raw")))
         whole = F.when(F.col("doc_id") % 7 == 3, F.substring(text, 1, 20)).otherwise(text)
-        files = rows.select(name.alias("call"), whole.alias("value"))
-        files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("call").text(folder)
+        # Lines of one call are one file; a task writes some hundred files.
+        dealt = rows.withColumn("part", F.col("doc_id") % 45).repartition(max(1, rows.count() // 200), "part", "doc_id")
+        files = dealt.groupBy("part", "doc_id").agg(F.array_join(F.collect_list(whole), "\n").alias("value"))
+        files.drop("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).partitionBy(
+            "part"
+        ).text(folder)
 
     put(docs.where("doc_id % 5 <> 2"), F.col("lang"))
     calls.refresh_calls(lake, folder, "*.txt")
     put(docs.where("doc_id % 5 = 2"), F.col("lang"))
     put(docs.where("doc_id % 9 = 4"), F.lit("changed"))
-    for row in docs.where("doc_id % 9 = 1").select(name.alias("call")).toLocalIterator():
-        remove(spark, f"{folder}/call={row.call}")  # a call of the file system for each
+    for part in range(1, 45, 9):  # the folders of calls whose number leaves 1 by nine
+        remove(spark, f"{folder}/part={part}")
     calls.refresh_calls(lake, folder, "*.txt")
     return calls.refresh_calls(lake, folder, "*.txt").select(
         "call_id", "decoded", "call_outcome", F.length("response_raw").cast("bigint").alias("reply_size")
