@@ -7,6 +7,7 @@ import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from rows import bronze, silver
 from test_lake_jobs import analyses
@@ -15,7 +16,9 @@ from pressgauge import schemas
 from pressgauge.operators import shares
 from pressgauge.plans import gold, ingestion, runs
 from pressgauge.sources import calls, feeds
+from pressgauge.session import remove
 from pressgauge.sources.lake import Lake, with_partition
+from pressgauge.workload import lake_queries
 
 
 def put_call(folder, name, text):
@@ -56,6 +59,19 @@ def test_only_new_and_changed_call_files_are_opened(spark, lake, tmp_path):
     assert seen() == want | {"c1.json": (True, "c1", "call_failed"), "d1.json": (True, "d1", None)}
 
 
+def test_call_files_need_no_folder_and_no_removal_each(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "en") for i in [*range(90), 5, None]]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    removed = []
+    monkeypatch.setattr(lake_queries, "remove", lambda spark, path: (removed.append(path), remove(spark, path)))
+    got = sorted(map(str, lake_queries.refreshed_call_files(spark, str(tmp_path)).collect()))
+    want = [i for i in range(90) if i % 9 != 1]
+    full = [(f"call-{i}", True, "changed" if i % 9 == 4 else "en", len(f"text {i}")) if i % 7 != 3 else (None, False, None, None) for i in want]
+    names = ["call_id", "decoded", "call_outcome", "reply_size"]
+    assert [r for r in got if "call-5'" not in r] == sorted(str(Row(**dict(zip(names, r)))) for r in full if r[0] != "call-5")
+    assert len(removed) == 5 < sum(i % 9 == 1 for i in range(90))
+
+
 def flat_file(lake, layer, dataset, rows):
     path = f"{lake.folder(layer, dataset)}.jsonl"
     os.makedirs(os.path.dirname(path), exist_ok=True)
