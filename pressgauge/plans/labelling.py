@@ -102,15 +102,20 @@ def keyword_labels(
 _ANSWER = "cache_key string, reply string, error string, duration_ms bigint"
 
 
-#: Prompts that a task asks at most; what it has answered is lost if it fails.
+#: Prompts that a task asks, as long as there are no more than TASKS tasks a core; what it has answered is lost
+#: if it fails.
 PROMPTS = 50
+#: Beyond so many tasks a core tasks ask more prompts each: a task and the file of its answers cost a tenth of a
+#: second, whatever it asks, and a lost one is a small part of all.
+TASKS = 64
 
 
 def spread(prompts: DataFrame) -> DataFrame:
     """Deal prompts out by their number: they are few bytes, but each is a long call."""
     cores = prompts.sparkSession.sparkContext.defaultParallelism
     count = prompts.count()
-    return prompts.repartition(max(1, min(count, max(cores, -(-count // PROMPTS)))), "cache_key")
+    wanted = min(-(-count // PROMPTS), TASKS * cores)
+    return prompts.repartition(max(1, min(count, max(cores, wanted))), "cache_key")
 
 
 def ask(prompts: DataFrame, completer: Completer, system: str) -> DataFrame:

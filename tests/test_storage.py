@@ -70,3 +70,12 @@ def test_prompts_are_dealt_by_their_number(spark):
     sizes = [len(p) for p in dealt.rdd.glom().collect()]
     assert len(sizes) >= max(spark.sparkContext.defaultParallelism, 1000 // labelling.PROMPTS)
     assert sum(sizes) == 1000 and max(sizes) < 3 * labelling.PROMPTS
+
+
+def test_many_prompts_are_dealt_to_so_many_tasks_a_core_and_no_more(spark):
+    tasks = labelling.TASKS * spark.sparkContext.defaultParallelism
+    count = 3 * tasks * labelling.PROMPTS
+    dealt = labelling.spread(spark.range(count).select(F.col("id").cast("string").alias("cache_key")))
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert dealt.rdd.getNumPartitions() == tasks
+    assert sum(sizes) == count and max(sizes) < 6 * labelling.PROMPTS
