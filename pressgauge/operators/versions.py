@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import buckets
 from pressgauge.schemas import DECISION, PARTITION
-from pressgauge.session import staged
+from pressgauge.session import dealt, staged
 from pressgauge.sources.lake import cycles_of, only_cycles
 
 KEY = ["record_id", "analyzer_version"]
@@ -29,17 +29,19 @@ def merged_analyses(
 
     Stored rows whose record is gone from, or moved out of, their partition drop out. Without
     ``coexist`` the touched records also lose their other versions, except ``keep_versions``.
+
+    Records are joined by merging: by its estimate of bytes Spark would send millions of keys to every task.
     """
     kept = (
         only_cycles(stored, cycles_of(rows))
-        .join(located.select(*_HOME).distinct(), _HOME, "left_semi")
-        .join(rows.select(*KEY), KEY, "left_anti")
+        .join(located.select(*_HOME).hint("merge"), _HOME, "left_semi")
+        .join(rows.select(*KEY).hint("merge"), KEY, "left_anti")
     )
     if not coexist:
         guarded = F.col("analyzer_version").isin(*keep_versions) if keep_versions else F.lit(False)
         rewritten = rows.select("record_id", F.lit(True).alias("rewritten")).distinct()
         kept = (
-            kept.join(rewritten, "record_id", "left")
+            kept.join(rewritten.hint("merge"), "record_id", "left")
             .filter(F.col("rewritten").isNull() | guarded)
             .drop("rewritten")
         )
@@ -60,15 +62,16 @@ def store_analyses(
     ``located`` needs to hold the observations of the cycles ``rows`` belong to, no others.
     """
     stored = lake.read_cycles("silver", "analysis")
-    placed = staged(rows.join(located.select(*_HOME).distinct(), "record_id"), "analyses")
-    merged = staged(
-        merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
-    )
-    lost = None
-    if counted:  # before the write: what is read here is replaced by it
-        before = only_cycles(stored, cycles_of(placed))
-        gone = before.join(merged.select(*KEY, *_PARTS), [*KEY, *_PARTS], "left_anti")
-        lost = gone.agg(F.count("*").alias("n")).first()["n"]
+    with dealt(lake.spark, located.count()):
+        placed = staged(rows.join(located.select(*_HOME).distinct().hint("merge"), "record_id"), "analyses")
+        merged = staged(
+            merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
+        )
+        lost = None
+        if counted:  # before the write: what is read here is replaced by it
+            before = only_cycles(stored, cycles_of(placed))
+            gone = before.join(merged.select(*KEY, *_PARTS).hint("merge"), [*KEY, *_PARTS], "left_anti")
+            lost = gone.agg(F.count("*").alias("n")).first()["n"]
     lake.write_cycles("silver", "analysis", merged.sortWithinPartitions(*_PARTS, *KEY))
     return merged.agg(F.count("*").alias("written"), F.lit(lost).cast("bigint").alias("pruned"))
 
@@ -80,7 +83,7 @@ def cycles_without_bronze(silver: DataFrame, bronze: DataFrame, cycle: list[str]
 
 def orphans(stored: DataFrame, located: DataFrame) -> DataFrame:
     """Silver rows whose record Bronze no longer holds in the same partition."""
-    return stored.join(located.select(*_HOME).distinct(), _HOME, "left_anti")
+    return stored.join(located.select(*_HOME).hint("merge"), _HOME, "left_anti")
 
 
 def prune_orphans(lake, located: DataFrame, cycles: DataFrame | None = None) -> None:
@@ -91,13 +94,12 @@ def prune_orphans(lake, located: DataFrame, cycles: DataFrame | None = None) ->
     stored = lake.read_cycles("silver", "analysis")
     if cycles is not None:
         stored = only_cycles(stored, cycles_of(cycles))
-    dirty = staged(orphans(stored, located).select(*_PARTS).distinct(), "dirty-cycles")
-    kept = staged(
-        only_cycles(stored, cycles_of(dirty)).join(
-            located.select(*_HOME).distinct(), _HOME, "left_semi"
-        ),
-        "kept-analyses",
-    )
+    with dealt(lake.spark, located.count()):
+        dirty = staged(orphans(stored, located).select(*_PARTS).distinct(), "dirty-cycles")
+        kept = staged(
+            only_cycles(stored, cycles_of(dirty)).join(located.select(*_HOME).hint("merge"), _HOME, "left_semi"),
+            "kept-analyses",
+        )
     lake.write_cycles("silver", "analysis", kept)
     lake.clear_cycles(
         "silver", "analysis", dirty.join(kept.select(*_PARTS).distinct(), _PARTS, "left_anti")

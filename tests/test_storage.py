@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_registry import plan_of
 
 from pressgauge import schemas, session
+from pressgauge.operators import versions
 from pressgauge.plans import labelling
 from pressgauge.sources import lake as lakes
 
@@ -79,3 +80,33 @@ def test_many_prompts_are_dealt_to_so_many_tasks_a_core_and_no_more(spark):
     sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert dealt.rdd.getNumPartitions() == tasks
     assert sum(sizes) == count and max(sizes) < 6 * labelling.PROMPTS
+
+
+def test_a_store_of_many_labels_is_dealt_by_their_number(spark, lake, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    files = {}
+
+    def counted(df, name):
+        out = session.staged(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(versions, "staged", counted)
+    ids = spark.range(1000).select(F.format_string("r%d", "id").alias("record_id"))
+    located = ids.select("record_id", *(F.lit(v).alias(p) for p, v in zip(schemas.PARTITION, ("2026", "06", "24", "10"), strict=True)))
+    empty = spark.createDataFrame([], schemas.ANALYSIS)
+    rows = empty.drop("analyzer_version").unionByName(ids, allowMissingColumns=True)
+    labels = {v: rows.withColumn("analyzer_version", F.lit(v)) for v in ("v1", "v2")}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        count = versions.store_analyses(lake, located, labels["v1"]).first()
+        assert (count.written, count.pruned) == (1000, 0)
+        assert files["analyses"] >= 20
+        count = versions.store_analyses(lake, located, labels["v2"].where("record_id < 'r5'"), coexist=False).first()
+        assert files["merged-analyses"] >= 20
+        assert count.written == 1000 and count.pruned == labels["v2"].where("record_id < 'r5'").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionNum", None) is None
