@@ -64,14 +64,17 @@ def store_analyses(
     stored = lake.read_cycles("silver", "analysis")
     with dealt(lake.spark, located.count()):
         placed = staged(rows.join(located.select(*_HOME).distinct().hint("merge"), "record_id"), "analyses")
-        merged = staged(
-            merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
-        )
-        lost = None
-        if counted:  # before the write: what is read here is replaced by it
-            before = only_cycles(stored, cycles_of(placed))
-            gone = before.join(merged.select(*KEY, *_PARTS).hint("merge"), [*KEY, *_PARTS], "left_anti")
-            lost = gone.agg(F.count("*").alias("n")).first()["n"]
+        lost = 0 if counted else None
+        if only_cycles(lake.listed("silver", "analysis"), cycles_of(placed)).isEmpty():
+            merged = placed.select(*stored.columns)  # first labels of all these cycles: there is nothing to merge
+        else:
+            merged = staged(
+                merged_analyses(stored, located, placed, coexist, keep_versions), "merged-analyses"
+            )
+            if counted:  # before the write: what is read here is replaced by it
+                before = only_cycles(stored, cycles_of(placed))
+                gone = before.join(merged.select(*KEY, *_PARTS).hint("merge"), [*KEY, *_PARTS], "left_anti")
+                lost = gone.agg(F.count("*").alias("n")).first()["n"]
     lake.write_cycles("silver", "analysis", merged.sortWithinPartitions(*_PARTS, *KEY))
     return merged.agg(F.count("*").alias("written"), F.lit(lost).cast("bigint").alias("pruned"))
 
