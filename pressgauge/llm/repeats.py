@@ -9,7 +9,7 @@ id. Strings lie within one document; overlapping ones count; all are judged on t
    with such a name is in one document. Each task hands on a name once, so a passage that most
    documents share is no burden to the task that gathers it.
 2. Equal segments become one, with the least id that has it. In all other documents such a segment is
-   removed as a whole. A name with more than CROWD segments is dealt anew string by string, each under
+   removed as a whole. A name with more than CROWD segments is dealt string by string, each under
    its own hash, so that no name's segments must meet in one place.
 3. Suffix sorting. Segments are dealt out by name. Those without a string whose hash another one has
    are left. Each task joins the others into texts (SHARD bytes or one name's segments) and sorts all
@@ -17,8 +17,9 @@ id. Strings lie within one document; overlapping ones count; all are judged on t
    equal strings; the least id among them decides for each.
 4. The removed starts go back to their documents by the segment, and documents drop the bytes.
 
-Names of candidates go to all tasks as a bit table if there are at most SENT, some 32 MB; a name that
-is there by chance costs a little work. If there are more, names join, and only then bytes are cut.
+Names of candidates go to all tasks as a bit table of 64 MB at most; a name that is there by chance costs a
+little work. More than SENT names are dealt with in several rounds, each with a table of its own: what lies
+on disk then is a round's share. No segment is shuffled before the table has told that it is wanted.
 
 A null text is empty. Rows that repeat an id don't remove from each other, and each is cleared by
 smaller ids. Rows with a null id neither remove nor lose anything. An empty table gives none.
@@ -27,7 +28,9 @@ Other columns are kept; those named like the outputs are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,17 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm.common import batches, giving_back, only_result, prepared, released, spans, text_buffers, written
 from pressgauge.llm.induced import CAP, Sorter
+from pressgauge.session import dealt
 
 LENGTH, RUN = 50, 16
 #: Strings in a segment at most: the starts that are removed are the bits of one number.
 STRINGS = 32
 CROWD = 200_000
-#: Names that are sent to all tasks at most, as a table of BITS (a power of two) at most.
-SENT, BITS = 16_000_000, 28
+#: Names of a round, sent to all tasks as a table of BITS (a power of two) at most. Each round reads the texts
+#: again, so beyond ROUNDS (a power of two) tables are fuller instead: they prune less and stay exact.
+SENT, BITS, ROUNDS = 1 << 27, 29, 8
+#: Bits of the table that a task makes at once (a power of two).
+SLICE = 20
 #: Bytes that are dealt with together; names that a task holds before it hands them on.
 SHARD, HELD = 4 << 20, 1 << 21
 
@@ -72,32 +79,62 @@ def hashes(data: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _bit(values: np.ndarray, size: int) -> np.ndarray:
-    return ((values.view(np.uint64) * _MIX[0]) >> np.uint64(64 - size)).astype(np.int64)
-
-
-def bit_table(values: DataFrame, column: str) -> np.ndarray | None:
-    """A table with a bit for each long in the column, nothing if there are more than SENT."""
-    count = values.count()
-    if count > SENT:
-        return None
-    size = min(BITS, max(10, (count * 32).bit_length()))
-
-    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_bit(b.column(0).to_numpy(), size).astype(np.int32) for b in batches(rows)]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["places"])
+def _bits(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each value in a table of 1 << size."""
+    values = values.view(np.uint64)
+    return tuple(((values * factor) >> np.uint64(64 - size)).astype(np.int64) for factor in _MIX)
+
+
+def bit_table(values: DataFrame, column: str) -> np.ndarray:
+    """A table with two bits for each long in the column. Tasks make it slice by slice."""
+    size = min(BITS, max(10, (values.count() * 32).bit_length()))
+
+    def dealt_out(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            place = np.unique(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(place >> SLICE) != 0]))
+            inside = (place & ((1 << SLICE) - 1)).astype(np.int32)
+            parts = [part.tobytes() for part in np.split(inside, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array((place[first] >> SLICE).astype(np.int32)), pa.array(parts, pa.binary())], ["slice", "places"])
+
+        for batch in batches(rows):
+            held.extend(_bits(batch.column(0).to_numpy(), size))
+            if sum(map(len, held)) >= HELD:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    def filled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches(rows):
+            for at, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                marks = slices.setdefault(at, np.zeros(1 << min(SLICE, size), bool))
+                marks[np.frombuffer(places, np.int32)] = True
+        for at, marks in slices.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"]
+            )
 
+    made = values.select(column).mapInArrow(lambda r: released(dealt_out(r)), "slice int, places binary")
+    made = made.repartition("slice").mapInArrow(lambda r: released(filled(r)), "slice int, bits binary")
     table = np.zeros((1 << size) // 8, np.uint8)
-    for row in values.select(column).mapInArrow(packed, "places binary").toLocalIterator():  # SENT places at most
-        at = np.frombuffer(row.places, np.int32)
-        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    for row in made.toLocalIterator():  # 1 << BITS bits at most
+        part = np.frombuffer(row.bits, np.uint8)
+        table[row.slice * len(part) : (row.slice + 1) * len(part)] = part
     return table
 
 
 def _marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _bit(values, (len(table) * 8).bit_length() - 1)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """Which values have both of their bits."""
+    first, second = _bits(values, (len(table) * 8).bit_length() - 1)
+    out = (table[first >> 3] >> (first & 7).astype(np.uint8)) & 1 == 1
+    some = np.flatnonzero(out)
+    second = second[some]
+    out[some] = (table[second >> 3] >> (second & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def segments(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,75 +227,65 @@ def segment_hashes(data: np.ndarray, at: np.ndarray, strings: np.ndarray, length
     return out * _MIX[1]
 
 
-def _segments_of(rows: Iterator[pa.RecordBatch], table: np.ndarray | None, length: int, cut: bool = False) -> Iterator[pa.RecordBatch]:
-    """Segments of (doc_id, tie, text), with a bit table those of its names, if ``cut`` with their bytes."""
+class Wanted(NamedTuple):
+    """Names of a round, of ``rounds``: their bit table, and those (sorted) whose segments are dealt string by string."""
+
+    table: np.ndarray
+    crowd: np.ndarray
+    rounds: int
+    turn: int
+
+
+def _segments_of(rows: Iterator[pa.RecordBatch], wanted: Wanted, length: int, cut: bool = False) -> Iterator[pa.RecordBatch]:
+    """Segments of (doc_id, tie, text) with a wanted name, if ``cut`` with their bytes."""
     for batch in batches(rows):
         offsets, data = text_buffers(batch.column(2))
         text, at, strings, name = segments(offsets, data, length)
-        if table is not None:
-            keep = np.flatnonzero(_marked(table, name))
-            text, at, strings, name = text[keep], at[keep], strings[keep], name[keep]
-        if not len(text):
+        keep = _marked(wanted.table, name)
+        if wanted.rounds > 1:
+            keep &= (name & np.uint64(wanted.rounds - 1)) == wanted.turn
+        if not keep.any():
             continue
+        text, at, strings, name = text[keep], at[keep], strings[keep], name[keep]
+        single = 0
+        if len(wanted.crowd):
+            many = wanted.crowd[np.minimum(np.searchsorted(wanted.crowd, name), len(wanted.crowd) - 1)] == name
+            each = strings[many]
+            single = int(each.sum())
+            text = np.concatenate([text[~many], np.repeat(text[many], each)])
+            at = np.concatenate([at[~many], spans(at[many], each)])
+            strings = np.concatenate([strings[~many], np.ones(single, np.int64)])
+            name = name[~many]
+        hashed = segment_hashes(data, at, strings, length)
+        if single:  # strings are named by their own hash
+            name = np.concatenate([name, hashed[len(name) :]])
         ids, ties = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[text] for i in (0, 1))
         columns = [
             pa.array(ids), pa.array(ties), pa.array((at - offsets[text]).astype(np.int32)), pa.array(strings.astype(np.int32)),
-            pa.array(name.view(np.int64)), pa.array(segment_hashes(data, at, strings, length).view(np.int64)),
+            pa.array(name.view(np.int64)), pa.array(hashed.view(np.int64)),
         ]
         names = ["doc_id", "tie", "start", "strings", "name", "hash"]
         if cut:
+            columns, names = [columns[0], columns[4]], ["doc_id", "name"]
             sizes = strings + length - 1
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            columns.append(pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, sizes)])]))
-            names.append("segment")
-        yield from _cut(pa.RecordBatch.from_arrays(columns, names), 8192)
+            for a in range(0, len(sizes), 1 << 16):  # a string may be cut once for each of its bytes
+                b = a + (1 << 16)
+                ends = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int32)
+                bytes_of = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at[a:b], sizes[a:b])])])
+                yield from _cut(pa.RecordBatch.from_arrays([*(c[a:b] for c in columns), bytes_of], [*names, "segment"]), 8192)
+        else:
+            yield from _cut(pa.RecordBatch.from_arrays(columns, names), 8192)
 
 
-def _candidates(rows: DataFrame, names: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(rows: DataFrame, wanted: Wanted, length: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, start, strings, name, hash) of the segments with one of the names, and (name, segment, least,
     most): their bytes, each segment once for some of a task's bytes."""
-    told = "name bigint, segment binary, least bigint, most bigint"
-    table = bit_table(names, "name")
-    if table is not None:
-        sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most
-        places = rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length)), _SEGMENT)
-        return places, rows.mapInArrow(lambda r: released(_distinct(_segments_of(r, sent.value, length, True))), told)
-    found = rows.mapInArrow(lambda r: _segments_of(r, None, length), _SEGMENT).join(names, "name", "left_semi")
-    listed = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "strings", "name", "hash")).alias("s"))  # a document's own
-    cut = rows.join(listed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select(
-        "doc_id", "tie", F.expr(f"explode(transform(s, x -> struct(x.start, x.strings, x.name, x.hash, substring(encode(text, 'utf-8'), x.start + 1, x.strings + {length - 1}) AS segment))) AS x"),
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)  # 1 << BITS bits at most and few names
+    places = rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length)), _SEGMENT)
+    distinct = rows.mapInArrow(
+        lambda r: released(_distinct(_segments_of(r, sent.value, length, True))), "name bigint, segment binary, least bigint, most bigint"
     )
-    found = written(cut.select("doc_id", "tie", "x.*"), "segments")
-    return found.drop("segment"), found.select("doc_id", "name", "segment").mapInArrow(lambda r: released(_distinct(r)), told)
-
-
-def _single(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments string by string, each under its own hash as its name."""
-    for batch in batches(rows):
-        strings = batch["strings"].to_numpy().astype(np.int64)
-        offsets, data = text_buffers(batch["segment"])
-        row = np.repeat(np.arange(len(strings)), strings)
-        at = spans(offsets[:-1], strings)
-        one = np.ones(len(at), np.int64)
-        columns = {c: batch[c].to_numpy()[row] for c in ("doc_id", "tie")}
-        start = batch["start"].to_numpy()[row] + at - offsets[:-1][row]
-        ends = np.arange(len(at) + 1, dtype=np.int32) * length
-        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[spans(at, one * length)])])
-        hashed = segment_hashes(data, at, one, length).view(np.int64)
-        made = [pa.array(x) for x in (columns["doc_id"], columns["tie"], start.astype(np.int32), one.astype(np.int32), hashed, hashed)]
-        yield from _cut(pa.RecordBatch.from_arrays([*made, cut], ["doc_id", "tie", "start", "strings", "name", "hash", "segment"]), 8192)
-
-
-def _dealt_anew(rows: DataFrame, names: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """As ``_candidates``; the names with more than CROWD segments string by string."""
-    told = "name bigint, segment binary, least bigint, most bigint"
-    table = bit_table(names, "name")
-    sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 << BITS bits at most, or nothing
-    found = rows.mapInArrow(lambda r: released(_segments_of(r, sent.value, length, True)), _SEGMENT + ", segment binary")
-    known = found.join(names.select("name", (F.col("times") > CROWD).alias("crowd")), "name")
-    single = known.where("crowd").drop("crowd").select(*found.columns).mapInArrow(lambda r: released(_single(r, length)), _SEGMENT + ", segment binary")
-    both = known.where("not crowd").select(*found.columns).unionByName(single)
-    return both.drop("segment"), both.select("doc_id", "name", "segment").mapInArrow(lambda r: released(_distinct(r)), told)
+    return places, distinct
 
 
 def _distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,16 +411,27 @@ def removed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .repartition("name").mapInArrow(lambda r: released(_shared(r)), "name bigint, times bigint"),
         "shared-names",
     )
-    crowded = names.where(f"times > {CROWD}").count()
-    places, distinct = (_dealt_anew if crowded else _candidates)(rows, names, length)
-    judged = distinct.repartition("name").sortWithinPartitions("name").mapInArrow(
-        lambda r: released(_sorted_shards(r, length)), "name bigint, hash bigint, least bigint, bits bigint"
-    )
-    judged = written(judged, "judged-segments")
-    marks = places.join(judged, ["name", "hash"]).withColumn(
-        "bits", F.expr("CASE WHEN doc_id > least THEN shiftleft(1L, strings) - 1 ELSE bits END")
-    ).where("bits <> 0")
-    return marks.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "bits")).alias("starts"))  # a document's own
+    count, segments_in_all = names.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    rounds = 1
+    while rounds < ROUNDS and count > rounds * SENT:
+        rounds *= 2
+    crowd = [row.name for row in names.where(f"times > {CROWD}").select("name").toLocalIterator()]  # of all segments one in CROWD at most
+    crowd = np.sort(np.array(crowd, np.int64).view(np.uint64))
+    marks = []
+    for turn in range(rounds):
+        own = names.where(F.col("name").bitwiseAND(F.lit(rounds - 1)) == turn)
+        places, distinct = _candidates(rows, Wanted(bit_table(own, "name"), crowd, rounds, turn), length)
+        judged = distinct.repartition("name").sortWithinPartitions("name").mapInArrow(
+            lambda r: released(_sorted_shards(r, length)), "name bigint, hash bigint, least bigint, bits bigint"
+        )
+        with dealt(spark, segments_in_all // (4 * rounds)):  # these rows are small: four times as many a task as of records
+            judged = written(judged, "judged-segments")
+            found = places.join(judged, ["name", "hash"]).withColumn(
+                "bits", F.expr("CASE WHEN doc_id > least THEN shiftleft(1L, strings) - 1 ELSE bits END")
+            ).where("bits <> 0").select("doc_id", "tie", "start", "bits")
+            marks.append(written(found, "marks"))  # the shuffled places of all segments go before the marks are gathered
+    every = functools.reduce(DataFrame.unionByName, marks)
+    return every.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "bits")).alias("starts"))  # a document's own
 
 
 def covered(size: int, starts: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:

@@ -412,6 +412,18 @@ def test_repeated_bytes_are_removed(docs, nothing, rows, monkeypatch, crowd, sen
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("sent, bits", [(1 << 27, 29), (0, 15)])
+def test_any_number_of_names_makes_a_table(spark, monkeypatch, sent, bits):
+    """Without one, all segments of all texts were shuffled."""
+    monkeypatch.setattr(repeats, "SENT", sent)
+    monkeypatch.setattr(repeats, "BITS", bits)
+    values = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 8000)
+    table = repeats.bit_table(spark.createDataFrame([(int(v),) for v in values[:4000]], "name bigint"), "name")
+    assert len(table) * 8 <= 1 << bits
+    marked = repeats._marked(table, values.view(np.uint64))
+    assert marked[:4000].all() and marked[4000:].mean() < (0.01 if bits > 15 else 0.1)
+
+
 def shingles(text, n=5):
     w = tokens(text)
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
