@@ -746,9 +746,7 @@ def refreshed_call_files(spark: SparkSession, sf: str) -> DataFrame:
         # Lines of one call are one file; a task writes some hundred files.
         dealt = rows.withColumn("part", F.col("doc_id") % 45).repartition(max(1, rows.count() // 200), "part", "doc_id")
         files = dealt.groupBy("part", "doc_id").agg(F.array_join(F.collect_list(whole), "\n").alias("value"))
-        files.drop("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).partitionBy(
-            "part"
-        ).text(folder)
+        calls.put_files(files.select("part", name.alias("name"), "value"), folder)
 
     put(docs.where("doc_id % 5 <> 2"), F.col("lang"))
     calls.refresh_calls(lake, folder, "*.txt")

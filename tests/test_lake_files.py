@@ -72,6 +72,22 @@ def test_call_files_need_no_folder_and_no_removal_each(spark, tmp_path, monkeypa
     assert len(removed) == 5 < sum(i % 9 == 1 for i in range(90))
 
 
+def test_call_files_are_written_by_tasks_and_read_many_at_a_time(spark, lake, tmp_path):
+    folder = str(tmp_path / "files")
+    call = lambda i, outcome: (i % 3 if i else None, f"call-{i}", json.dumps({"call_id": f"call-{i}", "call_outcome": outcome}))
+    put = lambda rows: calls.put_files(spark.createDataFrame(rows, "part int, name string, value string"), folder)
+    put([call(i, "first") for i in range(200)])
+    found = sorted(os.path.join(at, n) for at, _, names in os.walk(folder) for n in names)
+    assert len(found) == 200 and f"{folder}/part=1/call-4.txt" in found  # Hadoop would add a checksum file to each
+    assert calls.refresh_calls(lake, folder, "*.txt").count() == 200
+    put([call(i, "changed") for i in range(0, 200, 2)])
+    got = calls.refresh_calls(lake, folder, "*.txt")
+    assert {(r.call_id, r.call_outcome) for r in got.collect()} == {(f"call-{i}", "first" if i % 2 else "changed") for i in range(200)}
+    assert got.count() == 200
+    listed = calls.listed_files(spark, folder, "*.txt")
+    assert calls._together(listed, 32).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < listed.rdd.getNumPartitions()
+
+
 def flat_file(lake, layer, dataset, rows):
     path = f"{lake.folder(layer, dataset)}.jsonl"
     os.makedirs(os.path.dirname(path), exist_ok=True)
