@@ -16,7 +16,7 @@ from pressgauge import schemas
 from pressgauge.operators import shares
 from pressgauge.plans import gold, ingestion, runs
 from pressgauge.sources import calls, feeds
-from pressgauge.session import remove
+from pressgauge.session import remove, staged
 from pressgauge.sources.lake import Lake, with_partition
 from pressgauge.workload import lake_queries
 
@@ -171,6 +171,36 @@ def landing(spark):
     return conf, attempts, spark.createDataFrame([], "url string, page_text string")
 
 
+def test_payloads_are_parsed_once_and_not_shuffled_by_source(spark, monkeypatch):
+    """Each payload was read once for its entries and once for its failure, and a source was parsed in one task."""
+    plans = []
+
+    def noted(df, name, *more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name, *more)
+
+    monkeypatch.setattr(feeds, "staged", noted)
+    conf, attempts, pages = landing(spark)
+    got = feeds.ingested(conf, attempts, pages, F.lit("2026-06-23T15:10:00+00:00"))
+    assert [tuple(r) for r in got.failures.collect()] == [("s2", "2026-06-23T15:00", "malformed feed")]
+    assert "from_xml" not in got.failures._jdf.queryExecution().optimizedPlan().toString()
+    ranked = dict(plans)["ranked-entries"]
+    assert "from_xml" in ranked and "hashpartitioning(source_id" in ranked
+    assert not [x for x in ranked.split("hashpartitioning(")[1:] if "cycle" not in x.split(")")[0]]
+
+
+def test_what_writes_have_shuffled_goes_with_them(spark, lake, tmp_path):
+    def shuffled():
+        places = [str(x) for x in spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+        return {name for place in places for name in glob.glob(f"{place}/*/shuffle_*")}
+
+    before = shuffled()
+    staged(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").agg(F.collect_list("id")), "grouped")
+    lake.write_cycles("bronze", "intake_count", with_partition(
+        spark.createDataFrame([("2026-06-23T14:00", 1, 0, 0, 0, 0)], schemas.INTAKE_COUNT), F.col("cycle")))
+    assert not shuffled() - before
+
+
 def test_a_broken_collection_shows_nothing_and_a_marked_one_is_finished(spark, lake, monkeypatch):
     def cut_short(*_):
         raise RuntimeError("cut short")
